@@ -18,7 +18,7 @@ class Mean:
 
     def total(self, name: str) -> Column:
         if name in self.scales:
-            return F.sum(F.round(F.col(name) * self.scales[name]).cast("long"))
+            return F.sum(F.rint(F.col(name) * self.scales[name]).cast("long"))
         return F.sum(name)
 
     def of(self, name: str) -> Column:

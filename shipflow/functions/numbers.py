@@ -3,8 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITY = r"(?i)^[+-]?inf(inity)?$"
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?)$"
 
 
 def to_number(text: Column) -> Column:
@@ -13,8 +12,7 @@ def to_number(text: Column) -> Column:
     The pattern keeps out Java spellings such as ``1.5f`` or ``0x1p3`` that a cast would take.
     """
     trimmed = F.trim(text)
-    numeric = trimmed.rlike(PLAIN_NUMBER) | trimmed.rlike(INFINITY)
-    return F.when(numeric, trimmed.try_cast("double"))
+    return F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
 
 
 def nan_to_null(value: Column) -> Column:

@@ -8,6 +8,7 @@ from shipflow.functions import labels, times
 from shipflow.functions.numbers import clamp, round_even, to_number
 from shipflow.operators.medians import medians
 from shipflow.operators.quality import require_columns
+from shipflow.session import stored
 
 CONGESTION = ("traffic_congestion_level", "weather_severity", "hub_congestion_level")
 IMPUTED = ("shipping_costs", "lead_time_days")
@@ -46,13 +47,17 @@ def limit_signals(typed: DataFrame) -> DataFrame:
     )
 
 
+def impute(typed: DataFrame) -> DataFrame:
+    """Missing costs and lead times become the median of the column."""
+    middle = medians(typed, IMPUTED).select(F.struct(*IMPUTED)).scalar()
+    return typed.withColumns({name: F.coalesce(F.col(name), middle[name]) for name in IMPUTED})
+
+
 def clean_reference(text: DataFrame) -> DataFrame:
-    """The cleaned file, 15 columns. Missing costs and lead times get the median of the column.
+    """The cleaned file, 15 columns.
 
-    The text is read four times (three times two columns for the medians), so store a very large
-    file as Parquet first.
+    The typed columns are stored first: the text is parsed once, and the passes for the medians read
+    two columns only.
     """
-    typed = type_reference(text)
-    middle = medians(typed, IMPUTED)
-    imputed = {name: F.coalesce(F.col(name), middle.select(name).scalar()) for name in IMPUTED}
-    return limit_signals(typed).withColumns(imputed).select(S.REFERENCE_CLEAN.fieldNames())
+    typed = stored(type_reference(text), "reference-typed")
+    return limit_signals(impute(typed)).select(S.REFERENCE_CLEAN.fieldNames())

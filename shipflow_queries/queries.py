@@ -188,7 +188,7 @@ def _shipments(spark, sf_dir) -> DataFrame:
     return flow.shipment_table(tables.processed(spark, sf_dir), dims.hubs(spark))
 
 
-def _constrained(spark, sf_dir) -> dict[str, DataFrame]:
+def _constrained(spark, sf_dir, events: DataFrame) -> dict[str, DataFrame]:
     """All tables with declared constraints; every 50th driver is missing."""
     driver = tables.drivers(spark, sf_dir)
     return {
@@ -196,20 +196,24 @@ def _constrained(spark, sf_dir) -> dict[str, DataFrame]:
         "hub": dims.hubs(spark),
         "driver": driver.filter(F.substring("driver_id", 5, 4).cast("int") % 50 != 0),
         "vehicle": tables.vehicles(spark, sf_dir),
-        "shipment": _shipments(spark, sf_dir),
-        "dispatch": flow.dispatch_table(tables.processed(spark, sf_dir)),
+        "shipment": flow.shipment_table(events, dims.hubs(spark)),
+        "dispatch": flow.dispatch_table(events),
     }
 
 
 @query
 def fk_violations(spark, sf_dir):
-    return quality.fk_violations(_constrained(spark, sf_dir))
+    # Shipments are child and parent here, so the columns of the two tables are stored once.
+    columns = {"dispatch_id", "event_status", *S.EVENT_ORDER, *flow.SHIPMENT_ATTRIBUTES, *flow.DISPATCH_ATTRIBUTES}
+    events = stored(tables.unique_events(spark, sf_dir).select(*sorted(columns)), "events")
+    return quality.fk_violations(_constrained(spark, sf_dir, events))
 
 
 @query
 def pk_violations(spark, sf_dir):
-    checked = _constrained(spark, sf_dir) | {
-        "shipment_metrics": metrics.shipment_metrics(tables.processed(spark, sf_dir)),
+    events = tables.processed(spark, sf_dir)
+    checked = _constrained(spark, sf_dir, events) | {
+        "shipment_metrics": metrics.shipment_metrics(events),
         "event": tables.event_copies(spark, sf_dir),
     }
     return quality.pk_violations(checked, S.PRIMARY_KEYS | {"event": "event_id"})
@@ -217,7 +221,7 @@ def pk_violations(spark, sf_dir):
 
 @query
 def not_null_violations(spark, sf_dir):
-    return quality.not_null_violations(_constrained(spark, sf_dir))
+    return quality.not_null_violations(_constrained(spark, sf_dir, tables.processed(spark, sf_dir)))
 
 
 @query

@@ -90,7 +90,8 @@ EVENT_COLUMNS = f"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    """Lines with their order. Orders grow with the data, so both sides are shuffled at any size."""
+    orders = table(spark, sf_dir, "orders").hint("merge")
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
