@@ -1,0 +1,191 @@
+"""Dimensions, lanes, constraints."""
+
+import pytest
+from helpers import at, events_frame, payload
+
+from shipflow import constants as C
+from shipflow.operators import dims, flow, lanes, quality
+
+
+def test_dimensions(spark):
+    assert [tuple(r) for r in dims.regions(spark).collect()] == list(C.REGIONS)
+    assert [tuple(r) for r in dims.hubs(spark).collect()] == list(C.HUBS)
+    assert {r.region_id for r in dims.hubs(spark).collect()} == {r[0] for r in C.REGIONS}
+
+
+def test_names_keep_marts_whole(spark):
+    mart = spark.createDataFrame(
+        [("2024-01-01", "REG_04", 5), ("2024-01-01", "REG_99", 7), ("2024-01-01", None, 1)],
+        "event_date string, destination_region_id string, total_event_count long",
+    )
+    named = {r.region_name: r.total_event_count for r in dims.mart_region_named(mart, dims.regions(spark)).collect()}
+    assert named["부산"] == 5 and sum(named.values()) >= 6 and dims.mart_region_named(mart, dims.regions(spark)).count() == 3
+
+
+def test_insert_if_absent(spark, rows):
+    existing = spark.createDataFrame([(1, "old"), (2, "old")], "id int, name string")
+    batch = spark.createDataFrame([(2, "new"), (3, "b"), (3, "a"), (4, "c")], "id int, name string")
+    once = dims.insert_if_absent(existing, batch, "id")
+    assert rows(once) == [(1, "old"), (2, "old"), (3, "a"), (4, "c")]
+    assert rows(dims.insert_if_absent(once, batch, "id")) == rows(once)
+
+
+def test_eligible_fleet(spark, rows):
+    driver = spark.createDataFrame(
+        [("D1", "R1", "ACTIVE"), ("D2", "R1", "REST")], "driver_id string, region_id string, driver_status string"
+    )
+    vehicle = spark.createDataFrame(
+        [("V1", "R2", "MAINTENANCE"), ("V2", "R2", "AVAILABLE")], "vehicle_id string, region_id string, vehicle_status string"
+    )
+    assert rows(dims.eligible_fleet(driver, vehicle)) == [("driver", "D1", "R1"), ("vehicle", "V2", "R2")]
+
+
+def shipment(spark, **fields):
+    defaults = {
+        "shipment_id": "S1",
+        "origin_region_id": "REG_01",
+        "destination_region_id": "REG_04",
+        "origin_hub_id": "HUB_002",
+        "destination_hub_id": "HUB_006",
+    }
+    return spark.createDataFrame([tuple((defaults | fields).values())], ", ".join(f"{n} string" for n in defaults))
+
+
+@pytest.mark.parametrize(
+    ("fields", "route", "steps"),
+    [
+        ({}, ["HUB_002", "HUB_001", "HUB_006"], 2),
+        ({"origin_hub_id": "HUB_001"}, ["HUB_001", "HUB_006"], 1),
+        ({"destination_region_id": "REG_02", "destination_hub_id": "HUB_004"}, ["HUB_002", "HUB_001", "HUB_003", "HUB_004"], 3),
+        ({"destination_region_id": "REG_01", "destination_hub_id": "HUB_001"}, ["HUB_002", "HUB_001"], 1),
+        ({"destination_region_id": "REG_01", "destination_hub_id": "HUB_002"}, ["HUB_002"], 1),
+        ({"destination_region_id": "REG_77", "destination_hub_id": "HUB_006"}, ["HUB_002", "HUB_001", "HUB_006"], 2),
+    ],
+)
+def test_planned_route(spark, fields, route, steps):
+    row = lanes.planned_route(shipment(spark, **fields), dims.central_hubs(spark)).first()
+    assert row.route == route and row.route_total_steps == steps
+
+
+@pytest.mark.parametrize(
+    ("origin", "destination", "region", "hub", "lane"),
+    [
+        ("REG_01", "REG_01", 0.78, 1.12, 0.88),
+        ("REG_01", "REG_10", 1.55, 1.12, 1.25),
+        ("REG_10", "REG_10", 1.55, 1.12, 0.88),
+        ("REG_01", "REG_09", 1.35, 1.12, 1.15),
+        ("REG_01", "REG_05", 1.00, 1.12, 1.08),
+        ("REG_01", "REG_77", 1.00, 1.12, 1.08),
+    ],
+)
+def test_lane_weights(spark, origin, destination, region, hub, lane):
+    frame = shipment(spark, origin_region_id=origin, destination_region_id=destination)
+    row = lanes.lane_weights(frame, dims.region_weights(spark), dims.hub_weights(spark)).first()
+    assert (row.region_weight, row.hub_weight, row.lane_weight) == (region, hub, lane)
+
+
+def tables_of(spark):
+    events = events_frame(
+        spark,
+        payload(event_id="a", event_sequence=1, cargo_type="x", lead_time_days=1.5),
+        payload(event_id="b", event_sequence=2, event_status="ASSIGNED", event_timestamp=at(12).isoformat()),
+        payload(event_id="c", shipment_id="S2", dispatch_id="D2", event_sequence=2, event_status="ASSIGNED", driver_id="DRV_9999"),
+        payload(event_id="d", shipment_id="S3", dispatch_id=None, driver_id=None, destination_hub_id="HUB_999"),
+    )
+    return events, flow.shipment_table(events, dims.hubs(spark)), flow.dispatch_table(events)
+
+
+def test_shipments_and_dispatches_from_the_log(spark):
+    _, shipments, dispatches = tables_of(spark)
+    row = {r.shipment_id: r for r in shipments.collect()}
+    assert row["S1"].created_at == at(0) and row["S1"].shipment_status == "ASSIGNED" and row["S1"].cargo_type == "x"
+    assert (row["S1"].origin_latitude, row["S1"].destination_longitude) == (37.556, 129.0756)
+    assert row["S2"].created_at is None and row["S3"].destination_latitude is None
+    row = {r.dispatch_id: r for r in dispatches.collect()}
+    assert set(row) == {"D1", "D2"} and row["D1"].assigned_at == at(12) and row["D1"].dispatch_status == "ASSIGNED"
+    joined = flow.shipment_dispatch(shipments, dispatches).filter("shipment_id = 'S1'").first()
+    assert joined.minutes_to_assign == 12.0
+
+
+def test_constraint_reports(spark):
+    _, shipments, dispatches = tables_of(spark)
+    driver = spark.createDataFrame(
+        [("DRV_0001", "n", "REG_01", "l", "ACTIVE"), ("DRV_0002", None, "REG_55", "l", "ACTIVE"), ("DRV_0002", "n", None, "l", "REST")],
+        "driver_id string, driver_name string, region_id string, license_type string, driver_status string",
+    )
+    vehicle = spark.createDataFrame(
+        [("VEH_0001", "t", 1, "REG_01", "AVAILABLE")],
+        "vehicle_id string, vehicle_type string, capacity_kg int, region_id string, vehicle_status string",
+    )
+    tables = {
+        "region": dims.regions(spark),
+        "hub": dims.hubs(spark),
+        "driver": driver,
+        "vehicle": vehicle,
+        "shipment": shipments,
+        "dispatch": dispatches,
+    }
+    lost = {
+        (r.table_name, r.column_name): (r.checked_rows, r.violating_rows, r.missing_values)
+        for r in quality.fk_violations(tables).collect()
+    }
+    assert len(lost) == 10
+    assert lost["driver", "region_id"] == (2, 1, 1)
+    assert lost["shipment", "destination_hub_id"] == (3, 1, 1)
+    assert lost["dispatch", "driver_id"] == (2, 1, 1) and lost["dispatch", "shipment_id"] == (2, 0, 0)
+    copies = {r.table_name: (r.key_count, r.duplicated_keys, r.surplus_rows) for r in quality.pk_violations(tables).collect()}
+    assert copies["driver"] == (2, 1, 1) and copies["shipment"] == (3, 0, 0)
+    nulls = {(r.table_name, r.column_name): r.null_rows for r in quality.not_null_violations(tables).collect()}
+    assert nulls["driver", "driver_name"] == 1 and nulls["driver", "region_id"] == 1
+    assert nulls["shipment", "created_at"] == 1 and nulls["shipment", "destination_latitude"] == 1
+    assert nulls["dispatch", "assigned_at"] == 0 and nulls["driver", "driver_id"] == 0
+
+
+def test_promise_and_lead_time(spark):
+    _, shipments, _ = tables_of(spark)
+    metrics = spark.createDataFrame([("S1", at(700))], "shipment_id string, delivered_time timestamp")
+    row = lanes.sla_check(shipments, metrics).filter("shipment_id = 'S1'").first()
+    assert row.expected_promise_at == at(36 * 60) and row.promise_shift_minutes == 600 - 36 * 60
+    assert row.kept_stated_promise is False and row.kept_expected_promise is True
+
+
+def test_distance_and_positions(spark):
+    _, shipments, _ = tables_of(spark)
+    distances = {r.shipment_id: r.distance_factor for r in lanes.lane_distance(shipments).collect()}
+    assert distances["S1"] == round((abs(37.556 - 35.1796) + abs(126.91 - 129.0756)) * 10, 2)
+    assert distances["S3"] is None
+    same = shipments.withColumns({"destination_latitude": shipments.origin_latitude, "destination_longitude": shipments.origin_longitude})
+    assert lanes.lane_distance(same).first().distance_factor == 1.0
+    events = events_frame(
+        spark,
+        payload(event_id="a", event_status="PICKUP", current_hub_id="HUB_001", next_hub_id="HUB_006"),
+        payload(event_id="b", event_status="DELIVERED", current_hub_id="HUB_001", next_hub_id="HUB_006"),
+        payload(event_id="c", event_status="LOST", current_hub_id="HUB_001", next_hub_id="HUB_999"),
+    )
+    got = {r.event_id: (r.expected_latitude, r.expected_longitude) for r in lanes.hop_coordinates(events, dims.hubs(spark)).collect()}
+    assert got["a"] == (round(37.5665 + (35.1796 - 37.5665) * 0.1, 6), round(127.05 + (129.0756 - 127.05) * 0.1, 6))
+    assert got["b"] == (35.1796, 129.0756) and got["c"] == (None, None)
+
+
+def test_risk_bands(spark):
+    events = events_frame(
+        spark,
+        *[payload(event_id=str(p), delay_probability=p) for p in (0.37, 0.38, 0.69, 0.70)],
+        payload(event_id="none", delay_probability=None),
+    )
+    bands = {r.event_id: r.risk_band for r in lanes.risk_banding(events).collect()}
+    assert bands == {"0.37": "LOW", "0.38": "MEDIUM", "0.69": "MEDIUM", "0.7": "HIGH", "none": None}
+
+
+def test_input_guards(spark):
+    with pytest.raises(ValueError, match="no rows in: b"):
+        quality.require_rows(a=spark.range(1), b=spark.range(0))
+    quality.require_rows(a=spark.range(1))
+    with pytest.raises(ValueError, match="missing columns: x, y"):
+        quality.require_columns(spark.range(1), ["id", "x", "y"])
+
+
+def test_small_dimensions_are_broadcast_without_a_hint(spark):
+    mart = spark.createDataFrame([("2024-01-01", "REG_04", 5)], "event_date string, destination_region_id string, n long")
+    plan = dims.mart_region_named(mart, dims.regions(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
