@@ -144,7 +144,11 @@ def dispatch_table(events: DataFrame) -> DataFrame:
 
 
 def shipment_dispatch(shipments: DataFrame, dispatches: DataFrame) -> DataFrame:
-    """Shipments with their dispatches; both sides may be large, so Spark picks the join."""
+    """Shipments with their dispatches.
+
+    Both sides may be large, so the join is left to Spark. Given stored tables it can also split a
+    shipment that holds many of the dispatches.
+    """
     return shipments.join(dispatches, KEY).select(
         KEY,
         "dispatch_id",

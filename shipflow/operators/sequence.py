@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 MAX_GROUP_ROWS = 4_000_000
 BROADCAST_PIVOTS = 200_000
+SALTS = 256
 PIECE = "_piece"
 
 
@@ -62,7 +63,8 @@ def cut_groups(
 
     Pivots, where pieces begin, are the rows whose hashed order columns fall on one residue. The rule
     is not random, so a recomputed task cuts alike. There is about one pivot in ``max_rows / 4`` rows
-    of large groups, which bounds them all; they are broadcast only up to ``BROADCAST_PIVOTS``.
+    of large groups, which bounds them all; up to ``BROADCAST_PIVOTS`` they are broadcast, beyond
+    that joined with a salt.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_rows)
     large = sizes.agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).first()
@@ -71,21 +73,22 @@ def cut_groups(
 
     position = F.struct(*order)
     piece_rows = max(max_rows // 4, 1)
-    may_broadcast = large.rows // piece_rows + large.groups <= BROADCAST_PIVOTS
-
-    def offer(small: DataFrame) -> DataFrame:
-        return F.broadcast(small) if may_broadcast else small
-
     pivots = (
         df.select(key, *order)
         .filter(F.pmod(F.xxhash64(*order), F.lit(piece_rows)) == 0)
-        .join(offer(sizes), key, "right")
+        .join(sizes, key)
         .groupBy(key)
-        .agg(F.array_sort(F.collect_set(F.when(F.col(order[-1]).isNotNull(), position))).alias("_pivots"))
+        .agg(F.array_sort(F.collect_set(position)).alias("_pivots"))
     )
+    if large.rows // piece_rows + large.groups <= BROADCAST_PIVOTS:
+        rows = df.join(F.broadcast(pivots), key, "left")
+    else:
+        # A large group must not meet in one task here either: spread it over salted copies of its pivots.
+        salted = pivots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
+        rows = rows.join(salted, [key, "_salt"], "left").drop("_salt")
     piece = F.when(F.col("_pivots").isNotNull(), _pivots_up_to(F.col("_pivots"), position))
-    rows = df.join(offer(pivots), key, "left").withColumn(PIECE, piece).drop("_pivots")
-    return Groups(rows, key, tuple(order), has_pieces=True)
+    return Groups(rows.withColumn(PIECE, piece).drop("_pivots"), key, tuple(order), has_pieces=True)
 
 
 def with_previous(groups: Groups, columns: Sequence[str], name: str = "previous") -> Groups:

@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BYTES_PER_TASK = 256 * 1024 * 1024
+MOST_SHUFFLE_PARTITIONS = 50_000  # beyond this the bookkeeping of a shuffle outweighs smaller tasks
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -14,6 +16,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Enough shuffle partitions for an input of that size; never fewer than the session has.
+
+    Adaptive execution merges partitions that turn out small, so the number errs on the high side.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(-(-input_bytes // BYTES_PER_TASK), MOST_SHUFFLE_PARTITIONS)
+    partitions = max(current, wanted)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's checkpoint folder.
 

@@ -9,11 +9,15 @@ from shipflow.operators.quality import require_columns
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, matched by the header and checked against the expected ones."""
-    header = spark.read.option("header", True).csv(path).columns
+    """All columns as text, matched by the header and checked against the expected ones.
+
+    The columns may stand in any order, but in the same one in every part file: without
+    ``enforceSchema`` a file with another header fails instead of being misread.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    header = reader.csv(path).columns
     schema = StructType([StructField(name, StringType()) for name in header])
-    # The columns may stand in any order, so the schema follows the header.
-    return require_columns(spark.read.option("header", True).schema(schema).csv(path), list(S.REFERENCE_COLUMNS))
+    return require_columns(reader.schema(schema).csv(path), list(S.REFERENCE_COLUMNS))
 
 
 def write_clean(clean: DataFrame, path: str) -> None:

@@ -187,3 +187,13 @@ def test_shared_path_follows_the_session(spark):
     assert path != session.shared_path(spark, "x")
     if root:
         assert path.startswith(root.rstrip("/") + "/")
+
+
+def test_shuffles_grow_with_the_input(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert session.size_shuffles(spark, 1000) == int(before)
+        assert session.size_shuffles(spark, 100 * 2**30) == 400
+        assert session.size_shuffles(spark, 100 * 2**40) == session.MOST_SHUFFLE_PARTITIONS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

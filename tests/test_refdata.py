@@ -121,6 +121,15 @@ def test_csv_without_a_column_fails_before_any_row(spark, tmp_path):
         reference_csv.read_text(spark, str(tmp_path / "in.csv"))
 
 
+def test_part_files_with_another_column_order_are_refused(spark, tmp_path):
+    names = list(GOOD)
+    for part, columns in (("a.csv", names), ("b.csv", names[::-1])):
+        lines = [",".join(columns), ",".join(GOOD[name] for name in columns)]
+        (tmp_path / part).write_text("\n".join(lines), encoding="utf-8")
+    with pytest.raises(Exception, match="header"):
+        reference_csv.read_text(spark, str(tmp_path)).collect()
+
+
 def test_number_functions(spark):
     from pyspark.sql import functions as F
 
