@@ -53,7 +53,7 @@ HUBS = (
     ("HUB_012", "제주 물류센터", "REG_10", 33.4996, 126.5312, "ISLAND"),
 )
 
-# region_id -> central hub, delay weight of the region.
+# Central hub of the region.
 CENTRAL_HUBS = {
     "REG_01": "HUB_001",
     "REG_02": "HUB_003",
@@ -66,6 +66,8 @@ CENTRAL_HUBS = {
     "REG_09": "HUB_011",
     "REG_10": "HUB_012",
 }
+
+# Delay weight of the region.
 REGION_WEIGHTS = {
     "REG_01": 0.78,
     "REG_02": 0.88,
@@ -119,3 +121,15 @@ MEASURE_SCALES = {
     "hub_congestion_level": 100,
     "eta_variation_minutes": 100,
 }
+
+# Signals assumed where the reference file has none; the middle of a range where the
+# simulator draws from one.
+SIGNAL_DEFAULTS = {
+    "delay_probability": 0.3,
+    "traffic_congestion_level": 4.0,
+    "weather_severity": 3.0,
+    "hub_congestion_level": 4.0,
+    "eta_variation_minutes": 45.0,
+    "lead_time_days": 2.25,
+    "shipping_costs": 17500.0,
+}

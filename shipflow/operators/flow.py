@@ -115,24 +115,7 @@ def shipment_table(events: DataFrame, hubs: DataFrame) -> DataFrame:
             F.col("longitude").alias(f"{end}_longitude"),
         )
         shipments = shipments.join(places, f"{end}_hub_id", "left")
-    return shipments.select(
-        KEY,
-        "origin_region_id",
-        "destination_region_id",
-        "origin_hub_id",
-        "destination_hub_id",
-        "origin_latitude",
-        "origin_longitude",
-        "destination_latitude",
-        "destination_longitude",
-        "cargo_type",
-        "cargo_weight_kg",
-        "shipping_costs",
-        "lead_time_days",
-        "created_at",
-        "promised_delivery_at",
-        "shipment_status",
-    )
+    return shipments.select(*S.SHIPMENT_COLUMNS)
 
 
 def dispatch_table(events: DataFrame) -> DataFrame:
@@ -140,7 +123,7 @@ def dispatch_table(events: DataFrame) -> DataFrame:
     dispatches = _entity(
         events, "dispatch_id", DISPATCH_ATTRIBUTES, "dispatch_status", ("ASSIGNED", "assigned_at")
     )
-    return dispatches.select("dispatch_id", KEY, "driver_id", "vehicle_id", "assigned_at", "dispatch_status")
+    return dispatches.select(*S.DISPATCH_COLUMNS)
 
 
 def shipment_dispatch(shipments: DataFrame, dispatches: DataFrame) -> DataFrame:

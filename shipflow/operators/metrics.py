@@ -51,31 +51,18 @@ def shipment_metrics(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
         F.max("risk_classification").alias("final_risk_classification"),
     )
     late_by = times.minutes_between(F.col("promised_delivery_at"), F.col("delivered_time"))
-    return grouped.select("*", *earliest.values()).select(
-        "shipment_id",
-        "dispatch_id",
-        "driver_id",
-        "vehicle_id",
-        "origin_region_id",
-        "destination_region_id",
-        "origin_hub_id",
-        "destination_hub_id",
-        "first_event_time",
-        "delivered_time",
-        times.minutes_between(F.col("first_event_time"), F.col("delivered_time")).alias("total_delivery_minutes"),
-        "promised_delivery_at",
-        late_by.alias("delay_minutes"),
-        F.coalesce(late_by > 0, F.lit(False)).alias("is_delayed"),
-        "event_count",
-        "final_event_sequence",
-        "avg_delay_probability",
-        "max_delay_probability",
-        "avg_traffic_congestion_level",
-        "avg_weather_severity",
-        "avg_hub_congestion_level",
-        "exception_count",
-        "final_risk_classification",
-        F.current_timestamp().alias("created_at"),
+    took = times.minutes_between(F.col("first_event_time"), F.col("delivered_time"))
+    return (
+        grouped.select("*", *earliest.values())
+        .withColumns(
+            {
+                "total_delivery_minutes": took,
+                "delay_minutes": late_by,
+                "is_delayed": F.coalesce(late_by > 0, F.lit(False)),
+                "created_at": F.current_timestamp(),
+            }
+        )
+        .select(*S.METRICS_COLUMNS)
     )
 
 

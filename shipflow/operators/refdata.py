@@ -3,9 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shipflow import constants as C
 from shipflow import schemas as S
 from shipflow.functions import labels, times
-from shipflow.functions.numbers import clamp, round_even, to_number
+from shipflow.functions.numbers import clamp, number_or, round_even, to_number
 from shipflow.operators.medians import medians
 from shipflow.operators.quality import require_columns
 from shipflow.session import stored
@@ -61,3 +62,10 @@ def clean_reference(text: DataFrame) -> DataFrame:
     """
     typed = stored(type_reference(text), "reference-typed")
     return limit_signals(impute(typed)).select(S.REFERENCE_CLEAN.fieldNames())
+
+
+def with_defaults(clean_text: DataFrame, defaults: dict[str, float] = C.SIGNAL_DEFAULTS) -> DataFrame:
+    """Text signals as numbers, a default where a cell is missing or not numeric."""
+    return clean_text.withColumns(
+        {name: number_or(F.col(name), value) for name, value in defaults.items() if name in clean_text.columns}
+    )

@@ -46,17 +46,25 @@ RAW = _struct(
     "event_id STRING, kafka_key STRING, kafka_topic STRING, kafka_partition INT, kafka_offset BIGINT, "
     "kafka_timestamp TIMESTAMP, raw_payload STRING, ingested_at TIMESTAMP, event_date DATE"
 )
-RAW_COLUMNS = (
-    "event_id",
-    "event_date",
-    "kafka_key",
-    "kafka_topic",
-    "kafka_partition",
-    "kafka_offset",
-    "kafka_timestamp",
-    "raw_payload",
-    "ingested_at",
-)
+
+# Column orders of the layers and tables.
+RAW_COLUMNS = """
+    event_id event_date kafka_key kafka_topic kafka_partition kafka_offset kafka_timestamp raw_payload ingested_at
+""".split()
+SHIPMENT_COLUMNS = """
+    shipment_id origin_region_id destination_region_id origin_hub_id destination_hub_id
+    origin_latitude origin_longitude destination_latitude destination_longitude
+    cargo_type cargo_weight_kg shipping_costs lead_time_days created_at promised_delivery_at shipment_status
+""".split()
+DISPATCH_COLUMNS = "dispatch_id shipment_id driver_id vehicle_id assigned_at dispatch_status".split()
+METRICS_COLUMNS = """
+    shipment_id dispatch_id driver_id vehicle_id
+    origin_region_id destination_region_id origin_hub_id destination_hub_id
+    first_event_time delivered_time total_delivery_minutes promised_delivery_at delay_minutes is_delayed
+    event_count final_event_sequence avg_delay_probability max_delay_probability
+    avg_traffic_congestion_level avg_weather_severity avg_hub_congestion_level
+    exception_count final_risk_classification created_at
+""".split()
 
 PROCESSED = _struct(
     PAYLOAD_DDL.format(time="TIMESTAMP")
@@ -67,7 +75,7 @@ PROCESSED = _struct(
 ARRIVAL_ORDER = ("kafka_timestamp", "kafka_partition", "kafka_offset")
 EVENT_ORDER = ("event_sequence", "event_timestamp", "event_id")
 
-# Columns of the reference file -> names used after cleaning.
+# Columns of the reference file -> names used after cleaning.
 REFERENCE_COLUMNS = {
     "timestamp": "dataset_timestamp",
     "vehicle_gps_latitude": "source_latitude",
@@ -94,7 +102,7 @@ REFERENCE_CLEAN = _struct(
     "fatigue_monitoring_score DOUBLE, disruption_likelihood_score DOUBLE, delivery_time_deviation DOUBLE"
 )
 
-# Constraints of the dimension and transaction tables.
+# Constraints of the dimension and transaction tables.
 PRIMARY_KEYS = {
     "region": "region_id",
     "hub": "hub_id",
@@ -121,20 +129,6 @@ NOT_NULL = {
     "hub": ("hub_name", "region_id", "latitude", "longitude", "hub_type"),
     "driver": ("driver_name", "region_id", "license_type", "driver_status"),
     "vehicle": ("vehicle_type", "capacity_kg", "region_id", "vehicle_status"),
-    "shipment": (
-        "origin_region_id",
-        "destination_region_id",
-        "origin_hub_id",
-        "destination_hub_id",
-        "origin_latitude",
-        "origin_longitude",
-        "destination_latitude",
-        "destination_longitude",
-        "cargo_type",
-        "cargo_weight_kg",
-        "created_at",
-        "promised_delivery_at",
-        "shipment_status",
-    ),
+    "shipment": [c for c in SHIPMENT_COLUMNS if c not in ("shipment_id", "shipping_costs", "lead_time_days")],
     "dispatch": ("shipment_id", "driver_id", "vehicle_id", "assigned_at", "dispatch_status"),
 }

@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from shipflow import schemas as S
+from shipflow.functions.numbers import nan_to_null
 from shipflow.operators.quality import require_columns
 
 
@@ -28,9 +29,12 @@ def write_clean(clean: DataFrame, path: str) -> None:
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return (
+    """The cleaned file; NaN cells count as missing."""
+    clean = (
         spark.read.option("header", True)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .schema(S.REFERENCE_CLEAN)
         .csv(path)
     )
+    numeric = [f.name for f in S.REFERENCE_CLEAN if f.dataType == DoubleType()]
+    return clean.withColumns({name: nan_to_null(F.col(name)) for name in numeric})

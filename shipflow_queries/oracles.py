@@ -527,7 +527,7 @@ def all_sql() -> dict[str, str]:
         ),
         "planned_route": _with(
             SHIPMENTS,
-            """SELECT shipment_id, route, greatest(len(string_split(route, '>')) - 1, 1) AS route_total_steps FROM (
+            """SELECT shipment_id, route, CAST(greatest(len(string_split(route, '>')) - 1, 1) AS INTEGER) AS route_total_steps FROM (
               SELECT shipment_id, concat(origin_hub_id,
                 CASE WHEN origin_region_id <> destination_region_id AND o.hub_id <> origin_hub_id
                   THEN '>' || o.hub_id ELSE '' END,
@@ -628,6 +628,11 @@ def all_sql() -> dict[str, str]:
             """SELECT label, risk_classification, count(*) AS row_count, min(delay_probability) AS min_probability,
               max(delay_probability) AS max_probability FROM labelled GROUP BY label, risk_classification""",
         ),
+        "refdata_defaults": _with(
+            REFERENCE,
+            """SELECT chance AS delay_probability, coalesce(traffic, 4.0e0) AS traffic_congestion_level,
+              coalesce(lead_days, 2.25e0) AS lead_time_days, coalesce(costs, 17500.0e0) AS shipping_costs FROM typed""",
+        ),
         "batch_tables": _with(
             FROM_TOPIC,
             "\nUNION ALL ".join(

@@ -376,6 +376,13 @@ def refdata_risk_normalized(spark, sf_dir):
     )
 
 
+@query
+def refdata_defaults(spark, sf_dir):
+    """Signals of the file as the simulator takes them, with defaults for cells it cannot use."""
+    signals = ["delay_probability", "traffic_congestion_level", "lead_time_days", "shipping_costs"]
+    return refdata.with_defaults(tables.reference_text(spark, sf_dir).select(*signals))
+
+
 # ---- the whole batch
 
 
