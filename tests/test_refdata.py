@@ -130,6 +130,22 @@ def test_part_files_with_another_column_order_are_refused(spark, tmp_path):
         reference_csv.read_text(spark, str(tmp_path)).collect()
 
 
+def test_nan_cells_of_the_clean_file_are_missing(spark, tmp_path):
+    names = S.REFERENCE_CLEAN.fieldNames()
+    cells = {"risk_classification": "LOW", "dataset_timestamp": "2024-01-05 10:00:00.000000", "shipping_costs": "7.5"}
+    lines = [",".join(names), ",".join(cells.get(name, "NaN") for name in names)]
+    (tmp_path / "clean.csv").write_text("\n".join(lines), encoding="utf-8")
+    row = reference_csv.read_clean(spark, str(tmp_path / "clean.csv")).first()
+    assert row.shipping_costs == 7.5 and row.lead_time_days is None and row.delay_probability is None
+
+
+def test_defaults(spark):
+    text = text_frame(spark, {"delay_probability": "x", "lead_time_days": None}, {"delay_probability": "nan"})
+    first, second = refdata.with_defaults(text).collect()
+    assert (first.delay_probability, first.lead_time_days, first.shipping_costs) == (0.3, 2.25, 100.5)
+    assert second.delay_probability != second.delay_probability and second.lead_time_days == 3.0
+
+
 def test_number_functions(spark):
     from pyspark.sql import functions as F
 
