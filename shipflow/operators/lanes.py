@@ -12,7 +12,7 @@ DEFAULT_WEIGHT = 1.0
 
 
 def lane_weight(origin_region: Column, destination_region: Column) -> Column:
-    weight = F.when(origin_region == destination_region, C.LANE_WEIGHT_SAME_REGION)
+    weight = F.when(origin_region.eqNullSafe(destination_region), C.LANE_WEIGHT_SAME_REGION)
     for region, value in C.LANE_WEIGHT_INTO.items():
         weight = weight.when(destination_region == region, value)
     return weight.otherwise(C.LANE_WEIGHT_OTHER)

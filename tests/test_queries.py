@@ -24,7 +24,11 @@ def test_only_known_queries_lack_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query(spark, oracle, name):
-    result = check.spark_rows(entry_points.queries()[name](spark, SMALL))
+    frame = entry_points.queries()[name](spark, SMALL)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "rangepartitioning", "Python"):
+        assert unwanted not in plan
+    result = check.spark_rows(frame)
     assert result[1]
     if name in ORACLES:
         assert check.difference(result, check.oracle_rows(oracle, ORACLES[name])) is None

@@ -76,6 +76,8 @@ def test_planned_route(spark, fields, route, steps):
         ("REG_01", "REG_09", 1.35, 1.12, 1.15),
         ("REG_01", "REG_05", 1.00, 1.12, 1.08),
         ("REG_01", "REG_77", 1.00, 1.12, 1.08),
+        (None, None, 1.00, 1.12, 0.88),
+        (None, "REG_10", 1.55, 1.12, 1.25),
     ],
 )
 def test_lane_weights(spark, origin, destination, region, hub, lane):
