@@ -1,5 +1,7 @@
 """Session settings the operators rely on, and where to store intermediate tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,17 +30,29 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     return partitions
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's checkpoint folder.
+_own_folder = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A local session without that setting gets a folder of its own, which goes when the process ends.
     """
+    global _own_folder
     root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="shipflow-")
-    return f"{root.rstrip('/')}/shipflow/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="shipflow-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+    return _own_folder
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/shipflow/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
