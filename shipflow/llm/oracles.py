@@ -31,6 +31,43 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+LINES = r"""
+WITH cells AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n
+  FROM cells WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+pairs AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next_line FROM numbered),
+later AS (
+  SELECT doc_id, n, first_value(struct_pack(d := doc_id, n := n)) OVER same AS first_place, row_number() OVER same AS copy
+  FROM pairs WHERE next_line IS NOT NULL
+  WINDOW same AS (PARTITION BY line, next_line ORDER BY doc_id, n)),
+copies AS (SELECT doc_id, n, first_place.d AS of_doc, first_place.n - n AS shift FROM later WHERE copy > 1),
+islands AS (
+  SELECT *, CASE WHEN lag(n) OVER w = n - 1 AND lag(of_doc) OVER w = of_doc AND lag(shift) OVER w = shift
+    THEN 0 ELSE 1 END AS fresh
+  FROM copies WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+runs AS (
+  SELECT doc_id, run, min(n) AS n, count(*) + 1 AS lines
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM islands) GROUP BY doc_id, run),
+run_figures AS (SELECT doc_id, count(*) AS n_runs, max(lines) AS longest_run FROM runs GROUP BY doc_id),
+removed AS (SELECT DISTINCT doc_id, n FROM (SELECT doc_id, n FROM copies UNION ALL SELECT doc_id, n + 1 FROM copies)),
+gone AS (SELECT r.doc_id, p.place FROM removed r JOIN numbered p USING (doc_id, n)),
+kept AS (
+  SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.place) AS text
+  FROM cells c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.place = g.place WHERE g.place IS NULL GROUP BY c.doc_id),
+line_counts AS (SELECT doc_id, count(*) AS n_lines FROM numbered GROUP BY doc_id),
+removed_counts AS (SELECT doc_id, count(*) AS n_removed FROM removed GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(l.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(f.n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(f.longest_run, 0) AS BIGINT) AS longest_run,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN line_counts l USING (doc_id) LEFT JOIN removed_counts r USING (doc_id)
+LEFT JOIN run_figures f USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op8_line_dedup": LINES,
     "op7_mixing": MIXING,
 }

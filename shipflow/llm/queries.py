@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipflow.llm import mixing, packing, warc
+from shipflow.llm import line_dedup, mixing, packing, quality, warc
 from shipflow.llm.oracles import ORACLES as ORACLES
 from shipflow.session import prepare
 
@@ -30,6 +30,11 @@ def op2_packing(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
@@ -38,3 +43,8 @@ def op4_warc(spark, sf_dir):
 @query
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
