@@ -67,7 +67,26 @@ FROM documents d LEFT JOIN line_counts l USING (doc_id) LEFT JOIN removed_counts
 LEFT JOIN run_figures f USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
+SUBSTRINGS = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS start FROM docs),
+windows AS (
+  SELECT s.doc_id, s.start, md5(array_to_string(list_slice(d.words, s.start, s.start + 34), ' ')) AS window_key
+  FROM starts s JOIN docs d USING (doc_id)),
+repeated AS (SELECT window_key FROM windows GROUP BY window_key HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 35)) AS n FROM windows JOIN repeated USING (window_key)),
+cells AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS n FROM docs),
+kept AS (
+  SELECT c.doc_id, count(*) AS n_kept, string_agg(c.word, ' ' ORDER BY c.n) AS text
+  FROM cells c LEFT JOIN covered v ON c.doc_id = v.doc_id AND c.n = v.n WHERE v.n IS NULL GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
+  CAST(len(d.words) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_substrings": SUBSTRINGS,
     "op8_line_dedup": LINES,
     "op7_mixing": MIXING,
 }

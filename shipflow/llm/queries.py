@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipflow.llm import line_dedup, mixing, packing, quality, warc
+from shipflow.llm import line_dedup, mixing, packing, quality, substrings, warc
 from shipflow.llm.oracles import ORACLES as ORACLES
+from shipflow.llm.ship import ship
 from shipflow.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(prepare(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query
@@ -40,6 +41,11 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+@query
+def op5_substrings(spark, sf_dir):
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
