@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipflow.llm import line_dedup, mixing, packing, quality, substrings, warc
+from shipflow.llm import line_dedup, mixing, ngram_join, packing, quality, substrings, warc
 from shipflow.llm.oracles import ORACLES as ORACLES
 from shipflow.llm.ship import ship
 from shipflow.session import prepare
@@ -46,6 +46,11 @@ def op5_substrings(spark, sf_dir):
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
