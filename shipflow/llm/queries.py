@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipflow.llm import embeddings, line_dedup, mixing, ngram_join, packing, quality, substrings, warc
+from shipflow.llm import embeddings, line_dedup, mixing, ngram_join, packing, pii, quality, substrings, warc
 from shipflow.llm.oracles import ORACLES as ORACLES
 from shipflow.llm.ship import ship
 from shipflow.session import prepare
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(prepare(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_packing(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
