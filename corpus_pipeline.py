@@ -1,7 +1,64 @@
-"""Corpus pipeline."""
-STAGES = []
+"""A training corpus from documents: quality rules, line dedup, near duplicates, source mix, packed sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shipflow.llm import line_dedup, mixing, ngram_join, packing, quality
+from shipflow.llm.ship import ship
+from shipflow.session import prepare, stored
+
+
+def _counted(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars of texts that a stage may have cut."""
+    kind = docs.schema["n_chars"].dataType
+    return rows.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules or are outliers of their language and source go."""
+    return quality.good_documents(docs)
+
+
+def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and documents of which nothing is left."""
+    return _counted(line_dedup.without_repeated_lines(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    ship(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, the one at a source's budget cut."""
+    return _counted(mixing.mixed_documents(docs), docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in packed sequences."""
+    ship(spark)
+    packed = packing.pack_documents(docs, packing.tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_runs", line_runs),
+    ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("sequences", sequences),
+]
+
+# Robust estimates, shingle components and token ids are beyond SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is stored and read by the next."""
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

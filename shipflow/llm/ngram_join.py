@@ -321,3 +321,17 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     rows = documents.select("doc_id", "set_id", "n").join(named, "set_id", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the least doc_id stays.
+
+    Rows that share doc_id and text are one document; of rows that share only doc_id in one component, one stays.
+    """
+    keys = [F.col("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2")]
+    joined = ngram_join(docs.select(F.struct(*keys).alias("doc_id"), "text"), shingle, percent)
+    staying = joined.filter(F.col("doc_id") == F.col("component_id"))
+    staying = stored(staying.select("doc_id.*").distinct().withColumnRenamed("doc_id", "of_doc"), "staying")
+    rows = docs.select(F.struct(*[docs[name] for name in docs.columns]).alias("_row"), *keys)
+    same = (rows["h1"] == staying["h1"]) & (rows["h2"] == staying["h2"]) & rows["doc_id"].eqNullSafe(staying["of_doc"])
+    return rows.join(staying, same, "left_semi").dropDuplicates(["h1", "h2", "doc_id"]).select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipflow.llm import embeddings, line_dedup, mixing, ngram_join, packing, pii, quality, substrings, warc
+from shipflow.llm import embeddings, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, substrings, warc
 from shipflow.llm.oracles import ORACLES as ORACLES
 from shipflow.llm.ship import ship
 from shipflow.session import prepare
@@ -66,6 +66,11 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_secrets(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 @query
 def op10_embedding_dedup(spark, sf_dir):
     return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
