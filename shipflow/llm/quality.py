@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +103,7 @@ PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
 
 
 def _same_group(left: DataFrame, right: DataFrame, columns: list[str]):
-    conditions = [left[name].eqNullSafe(right[f"_{name}"]) for name in columns]
-    return conditions[0] if len(conditions) == 1 else conditions[0] & conditions[1]
+    return reduce(and_, [left[name].eqNullSafe(right[f"_{name}"]) for name in columns])
 
 
 def _joined(rows: DataFrame, table: DataFrame, columns: list[str] = GROUP) -> DataFrame:

@@ -102,9 +102,12 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def label() -> Column:
-    """1 for findings whose form or assignment confirms them, 0 for what is something else, else null."""
+    """1 for findings whose form or assignment confirms them, 0 for what is something else, else null.
+
+    Something else is what has another known form, or consists of dictionary words for the most part.
+    """
     confirmed = F.col("value").rlike(KEY_FORMS) | F.col("left").rlike(ASSIGNED)
-    return F.when(confirmed, 1.0).when(F.col("value").rlike(OTHER_FORMS), 0.0)
+    return F.when(confirmed, 1.0).when(F.col("value").rlike(OTHER_FORMS) | (F.col("f_covered") >= 0.5), 0.0)
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
