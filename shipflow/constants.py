@@ -11,18 +11,6 @@ STATUSES = (
     "DELIVERED",
 )
 
-# Share of the way to the next hub at which a status is expected.
-# Where the simulator draws from a range, this is the middle of the range.
-STATUS_PROGRESS = {
-    "CREATED": 0.0,
-    "ASSIGNED": 0.03,
-    "PICKUP": 0.10,
-    "IN_TRANSIT": 0.45,
-    "ARRIVED_HUB": 0.725,
-    "OUT_FOR_DELIVERY": 0.875,
-    "DELIVERED": 1.0,
-}
-
 # region_id, region_name, region_group.
 REGIONS = (
     ("REG_01", "서울", "수도권"),
@@ -112,24 +100,3 @@ DELAYED_FROM_ETA_MINUTES = 30
 
 # Severity of a risk label, for "worst" as opposed to the lexicographic maximum.
 RISK_SEVERITY = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
-
-# Decimal scales of the measures: 3 decimals for probabilities, 2 otherwise.
-MEASURE_SCALES = {
-    "delay_probability": 1000,
-    "traffic_congestion_level": 100,
-    "weather_severity": 100,
-    "hub_congestion_level": 100,
-    "eta_variation_minutes": 100,
-}
-
-# Signals assumed where the reference file has none; the middle of a range where the
-# simulator draws from one.
-SIGNAL_DEFAULTS = {
-    "delay_probability": 0.3,
-    "traffic_congestion_level": 4.0,
-    "weather_severity": 3.0,
-    "hub_congestion_level": 4.0,
-    "eta_variation_minutes": 45.0,
-    "lead_time_days": 2.25,
-    "shipping_costs": 17500.0,
-}

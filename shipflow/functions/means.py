@@ -1,37 +1,9 @@
-"""Means that can be taken in one step or merged from partial sums."""
-
-from dataclasses import dataclass, field
+"""Means merged from partial sums."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Mean:
-    """Mean of a measure, nulls skipped.
-
-    Measures listed in ``scales`` are summed as whole numbers of 1/scale, so the result does not
-    depend on the order in which partitions are added up. Others are summed as doubles.
-    """
-
-    scales: dict[str, int] = field(default_factory=dict)
-
-    def total(self, name: str) -> Column:
-        if name in self.scales:
-            return F.sum(F.rint(F.col(name) * self.scales[name]).cast("long"))
-        return F.sum(name)
-
-    def of(self, name: str) -> Column:
-        if name not in self.scales:
-            return F.avg(name)
-        return self._divide(name, self.total(name), F.count(name))
-
-    def merge(self, name: str, total: str, count: str) -> Column:
-        """Mean over groups that carry ``total`` and ``count`` columns."""
-        return self._divide(name, F.sum(total), F.sum(count))
-
-    def _divide(self, name: str, total: Column, count: Column) -> Column:
-        return total.cast("double") / F.nullif(count * self.scales.get(name, 1), F.lit(0))
-
-
-PLAIN = Mean()
+def merged_mean(total: str, count: str) -> Column:
+    """Mean over groups that carry a sum and a count; null where nothing was counted."""
+    return F.try_divide(F.sum(total), F.sum(count))

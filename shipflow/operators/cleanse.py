@@ -40,9 +40,14 @@ def reject_reason() -> Column:
 
 
 def valid_events(raw: DataFrame) -> DataFrame:
-    """Decoded, typed events that pass every check, with their arrival order."""
+    """Decoded, typed events that pass every check, with their arrival order.
+
+    Records without a readable id or date are dropped by the stored columns, before their payload is read: the
+    partition without a date is not opened.
+    """
+    readable = raw.filter(F.col("event_id").isNotNull() & F.col("event_date").isNotNull())
     required = reduce(Column.__and__, [F.col(name).isNotNull() for name in REQUIRED])
-    return type_times(decode(raw, keep=S.ARRIVAL_ORDER)).filter(required)
+    return type_times(decode(readable, keep=S.ARRIVAL_ORDER)).filter(required)
 
 
 def first_arrivals(

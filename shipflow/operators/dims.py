@@ -1,7 +1,7 @@
 """Dimension tables: names, attributes, look-ups, insert-if-absent.
 
-Joins carry no broadcast hint: Spark broadcasts a dimension whose known size is under its threshold
-and otherwise shuffles, with adaptive skew splitting. Facts are aggregated before they are joined.
+Facts are aggregated before they are joined; Spark then broadcasts a dimension whose known size is under its
+threshold and otherwise shuffles, with adaptive skew splitting. Unreduced facts take ``bounded`` dimensions.
 """
 
 from collections.abc import Sequence
@@ -42,6 +42,15 @@ def central_hubs(spark: SparkSession) -> DataFrame:
     return _inline(spark, "region_id, central_hub_id", list(C.CENTRAL_HUBS.items()))
 
 
+def bounded(dimension: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """The dimension, marked for broadcast if it has at most that many rows.
+
+    For look-ups from unreduced facts: joined by a shuffle, a fact would meet on the few keys of the dimension. The
+    count reads no more than most_rows + 1 rows. A larger dimension has as many keys to spread over.
+    """
+    return F.broadcast(dimension) if dimension.limit(most_rows + 1).count() <= most_rows else dimension
+
+
 def look_up(df: DataFrame, dimension: DataFrame, fact_key: str, key: str, values: dict[str, str]) -> DataFrame:
     """Left join on ``fact_key = key``, adding dimension columns under new names; ``key`` is unique."""
     columns = [F.col(column).alias(name) for column, name in values.items()]
@@ -143,6 +152,9 @@ def eligible_fleet(driver: DataFrame, vehicle: DataFrame) -> DataFrame:
 def insert_if_absent(
     existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str | Column] = ()
 ) -> DataFrame:
-    """Existing rows plus those of the batch whose key is new; of equal keys the first by ``order``."""
-    unique = first_arrivals(batch, key, order or batch.columns)
+    """Existing rows plus those of the batch whose key is new; of equal keys the first by ``order``.
+
+    A row without a key cannot be inserted and is left out.
+    """
+    unique = first_arrivals(batch.filter(F.col(key).isNotNull()), key, order or batch.columns)
     return existing.unionByName(unique.join(existing.select(key), key, "left_anti"))

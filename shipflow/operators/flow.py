@@ -9,6 +9,7 @@ from shipflow import schemas as S
 from shipflow.functions import times
 from shipflow.functions.earliest import Earliest
 from shipflow.operators import sequence
+from shipflow.operators.dims import bounded
 
 KEY = "shipment_id"
 
@@ -108,6 +109,7 @@ def _entity(events: DataFrame, key: str, attributes, status: str, opening: tuple
 def shipment_table(events: DataFrame, hubs: DataFrame) -> DataFrame:
     """The shipment table (16 columns); the hub dimension gives the coordinates."""
     shipments = _entity(events, KEY, SHIPMENT_ATTRIBUTES, "shipment_status", ("CREATED", "created_at"))
+    hubs = bounded(hubs)
     for end in ("origin", "destination"):
         places = hubs.select(
             F.col("hub_id").alias(f"{end}_hub_id"),

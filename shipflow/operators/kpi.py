@@ -3,11 +3,10 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shipflow.functions.means import PLAIN, Mean
 from shipflow.functions.numbers import rate
 
 
-def kpi_summary(metrics: DataFrame, mean: Mean = PLAIN) -> DataFrame:
+def kpi_summary(metrics: DataFrame) -> DataFrame:
     """Shipments, delivery time, delay and delay rate.
 
     Shipments still on the way count as not delayed in ``delay_rate``; ``delivered_delay_rate`` is
@@ -18,9 +17,9 @@ def kpi_summary(metrics: DataFrame, mean: Mean = PLAIN) -> DataFrame:
         F.count("*").alias("shipment_count"),
         F.count("delivered_time").alias("delivered_count"),
         F.count_if("is_delayed").alias("delayed_count"),
-        mean.of("total_delivery_minutes").alias("avg_delivery_minutes"),
-        mean.of("delay_minutes").alias("avg_delay_minutes"),
-        mean.of("late_minutes").alias("avg_late_minutes"),
+        F.avg("total_delivery_minutes").alias("avg_delivery_minutes"),
+        F.avg("delay_minutes").alias("avg_delay_minutes"),
+        F.avg("late_minutes").alias("avg_late_minutes"),
     ).select(
         "*",
         rate(F.col("delayed_count"), F.col("shipment_count")).alias("delay_rate"),

@@ -1,4 +1,4 @@
-"""Lanes between hubs: weights, routes, distances, positions, promised times."""
+"""Lanes between hubs: weights, routes, distances, coordinates, promised times."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shipflow import constants as C
 from shipflow.functions import labels, times
 from shipflow.functions.numbers import round_even
-from shipflow.operators.dims import look_up
+from shipflow.operators.dims import bounded, look_up
 
 DEFAULT_WEIGHT = 1.0
 
@@ -21,9 +21,9 @@ def lane_weight(origin_region: Column, destination_region: Column) -> Column:
 def lane_weights(shipments: DataFrame, region_weights: DataFrame, hub_weights: DataFrame) -> DataFrame:
     """Region, hub and lane weight of each shipment; unknown places weigh 1."""
     weighed = look_up(
-        shipments, region_weights, "destination_region_id", "region_id", {"region_weight": "_region"}
+        shipments, bounded(region_weights), "destination_region_id", "region_id", {"region_weight": "_region"}
     )
-    weighed = look_up(weighed, hub_weights, "destination_hub_id", "hub_id", {"hub_weight": "_hub"})
+    weighed = look_up(weighed, bounded(hub_weights), "destination_hub_id", "hub_id", {"hub_weight": "_hub"})
     return weighed.select(
         "shipment_id",
         F.coalesce("_region", F.lit(DEFAULT_WEIGHT)).alias("region_weight"),
@@ -34,6 +34,7 @@ def lane_weights(shipments: DataFrame, region_weights: DataFrame, hub_weights: D
 
 def planned_route(shipments: DataFrame, central_hubs: DataFrame) -> DataFrame:
     """Hubs a shipment is planned over, each once; centres only between different regions."""
+    central_hubs = bounded(central_hubs)
     for end in ("origin", "destination"):
         shipments = look_up(
             shipments, central_hubs, f"{end}_region_id", "region_id", {"central_hub_id": f"_{end}_centre"}
@@ -65,11 +66,9 @@ def lane_distance(shipments: DataFrame) -> DataFrame:
 
 
 def hop_coordinates(events: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Coordinates of the current and the next hub, and the expected position between them."""
-    progress = F.lit(None).cast("double")
-    for status, share in C.STATUS_PROGRESS.items():
-        progress = F.when(F.col("event_status") == status, share).otherwise(progress)
-    placed = events.select("event_id", "event_status", "current_hub_id", "next_hub_id")
+    """Coordinates of the current and the next hub."""
+    hubs = bounded(hubs)
+    placed = events.select("event_id", "current_hub_id", "next_hub_id")
     for end in ("current", "next"):
         placed = look_up(
             placed,
@@ -78,22 +77,8 @@ def hop_coordinates(events: DataFrame, hubs: DataFrame) -> DataFrame:
             "hub_id",
             {"latitude": f"{end}_latitude", "longitude": f"{end}_longitude"},
         )
-
-    def between(axis: str) -> Column:
-        start, end = F.col(f"current_{axis}"), F.col(f"next_{axis}")
-        return round_even(start + (end - start) * progress, 6).alias(f"expected_{axis}")
-
-    return placed.select(
-        "event_id",
-        "current_hub_id",
-        "next_hub_id",
-        "current_latitude",
-        "current_longitude",
-        "next_latitude",
-        "next_longitude",
-        between("latitude"),
-        between("longitude"),
-    )
+    columns = [f"{end}_{axis}" for end in ("current", "next") for axis in ("latitude", "longitude")]
+    return placed.select("event_id", "current_hub_id", "next_hub_id", *columns)
 
 
 def risk_banding(events: DataFrame, bands: tuple[float, float] = C.EVENT_RISK_BANDS) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipflow.functions.means import PLAIN, Mean
+from shipflow.functions.means import merged_mean
 from shipflow.functions.numbers import rate
 
 MEASURES = (
@@ -54,31 +54,31 @@ def _shape(mart: str, grouped: DataFrame) -> DataFrame:
     return grouped.select("event_date", key, *columns, F.current_timestamp().alias("created_at"))
 
 
-def build_mart(mart: str, events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
+def build_mart(mart: str, events: DataFrame) -> DataFrame:
     """One mart from the processed events."""
     key, measures = MARTS[mart]
     grouped = events.groupBy("event_date", key).agg(
         F.count("*").alias("event_count"),
         _delayed().alias("delayed_count"),
         _high_risk().alias("high_risk_count"),
-        *[mean.of(name).alias(f"avg_{name}") for name in measures],
+        *[F.avg(name).alias(f"avg_{name}") for name in measures],
     )
     return _shape(mart, grouped)
 
 
-def mart_region_delay(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
-    return build_mart("mart_region_delay", events, mean)
+def mart_region_delay(events: DataFrame) -> DataFrame:
+    return build_mart("mart_region_delay", events)
 
 
-def mart_hub_performance(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
-    return build_mart("mart_hub_performance", events, mean)
+def mart_hub_performance(events: DataFrame) -> DataFrame:
+    return build_mart("mart_hub_performance", events)
 
 
-def mart_risk_summary(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
-    return build_mart("mart_risk_summary", events, mean)
+def mart_risk_summary(events: DataFrame) -> DataFrame:
+    return build_mart("mart_risk_summary", events)
 
 
-def mart_base(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
+def mart_base(events: DataFrame) -> DataFrame:
     """Partial sums per (date, region, hub, risk), from which every mart follows.
 
     One scan of the events feeds all marts, and the grouping sets below expand these few rows
@@ -90,12 +90,12 @@ def mart_base(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
         F.count("*").alias("event_count"),
         _delayed().alias("delayed_count"),
         _high_risk().alias("high_risk_count"),
-        *[mean.total(name).alias(f"total_{name}") for name in MEASURES],
+        *[F.sum(name).alias(f"total_{name}") for name in MEASURES],
         *[F.count(name).alias(f"count_{name}") for name in MEASURES],
     )
 
 
-def mart_grouping_sets(base: DataFrame, mean: Mean = PLAIN) -> DataFrame:
+def mart_grouping_sets(base: DataFrame) -> DataFrame:
     """All marts in long form: mart, event_date, the three keys and every measure."""
     keys = [key for key, _ in MARTS.values()]
     sets = [[F.col("event_date"), F.col(key)] for key in keys]
@@ -110,7 +110,7 @@ def mart_grouping_sets(base: DataFrame, mean: Mean = PLAIN) -> DataFrame:
         F.sum("event_count").alias("event_count"),
         F.sum("delayed_count").alias("delayed_count"),
         F.sum("high_risk_count").alias("high_risk_count"),
-        *[mean.merge(name, f"total_{name}", f"count_{name}").alias(f"avg_{name}") for name in MEASURES],
+        *[merged_mean(f"total_{name}", f"count_{name}").alias(f"avg_{name}") for name in MEASURES],
     )
     return grouped.select(
         F.element_at(mart_of, F.col("_grouping").cast("int")).alias("mart"),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from shipflow import schemas as S
 from shipflow.functions import labels, times
 from shipflow.functions.earliest import Earliest
-from shipflow.functions.means import PLAIN, Mean
 
 FIRST_ATTRIBUTES = (
     "dispatch_id",
@@ -28,7 +27,7 @@ def shipment_first_attrs(events: DataFrame) -> DataFrame:
     )
 
 
-def shipment_metrics(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
+def shipment_metrics(events: DataFrame) -> DataFrame:
     """One row per shipment, 24 columns.
 
     ``final_risk_classification`` is the lexicographic maximum of the label (MEDIUM > LOW > HIGH),
@@ -42,11 +41,11 @@ def shipment_metrics(events: DataFrame, mean: Mean = PLAIN) -> DataFrame:
         F.max(delivered_at).alias("delivered_time"),
         F.count("*").alias("event_count"),
         F.max("event_sequence").alias("final_event_sequence"),
-        mean.of("delay_probability").alias("avg_delay_probability"),
+        F.avg("delay_probability").alias("avg_delay_probability"),
         F.max("delay_probability").alias("max_delay_probability"),
-        mean.of("traffic_congestion_level").alias("avg_traffic_congestion_level"),
-        mean.of("weather_severity").alias("avg_weather_severity"),
-        mean.of("hub_congestion_level").alias("avg_hub_congestion_level"),
+        F.avg("traffic_congestion_level").alias("avg_traffic_congestion_level"),
+        F.avg("weather_severity").alias("avg_weather_severity"),
+        F.avg("hub_congestion_level").alias("avg_hub_congestion_level"),
         F.count("exception_type").alias("exception_count"),
         F.max("risk_classification").alias("final_risk_classification"),
     )

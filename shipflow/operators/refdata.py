@@ -3,13 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shipflow import constants as C
 from shipflow import schemas as S
 from shipflow.functions import labels, times
 from shipflow.functions.numbers import clamp, number_or, round_even, to_number
 from shipflow.operators.medians import medians
 from shipflow.operators.quality import require_columns
-from shipflow.session import stored
 
 CONGESTION = ("traffic_congestion_level", "weather_severity", "hub_congestion_level")
 IMPUTED = ("shipping_costs", "lead_time_days")
@@ -54,18 +52,16 @@ def impute(typed: DataFrame) -> DataFrame:
     return typed.withColumns({name: F.coalesce(F.col(name), middle[name]) for name in IMPUTED})
 
 
-def clean_reference(text: DataFrame) -> DataFrame:
-    """The cleaned file, 15 columns.
+def clean_reference(typed: DataFrame) -> DataFrame:
+    """The cleaned file, 15 columns, from ``type_reference``.
 
-    The typed columns are stored first: the text is parsed once, and the passes for the medians read
+    Store the typed columns first: then the text is parsed once, and the passes for the medians read
     two columns only.
     """
-    typed = stored(type_reference(text), "reference-typed")
     return limit_signals(impute(typed)).select(S.REFERENCE_CLEAN.fieldNames())
 
 
-def with_defaults(clean_text: DataFrame, defaults: dict[str, float] = C.SIGNAL_DEFAULTS) -> DataFrame:
-    """Text signals as numbers, a default where a cell is missing or not numeric."""
-    return clean_text.withColumns(
-        {name: number_or(F.col(name), value) for name, value in defaults.items() if name in clean_text.columns}
-    )
+def with_defaults(clean_text: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """Text signals as numbers, a default where a cell is missing or not numeric; each named column must be there."""
+    require_columns(clean_text, list(defaults))
+    return clean_text.withColumns({name: number_or(F.col(name), value) for name, value in defaults.items()})

@@ -4,12 +4,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BYTES_PER_TASK = 256 * 1024 * 1024
-MOST_SHUFFLE_PARTITIONS = 50_000  # beyond this the bookkeeping of a shuffle outweighs smaller tasks
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -18,16 +19,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Enough shuffle partitions for an input of that size; never fewer than the session has.
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """Within the block, enough shuffle partitions for an input of that size; never fewer than the session has.
 
     Adaptive execution merges partitions that turn out small, so the number errs on the high side.
     """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-input_bytes // BYTES_PER_TASK), MOST_SHUFFLE_PARTITIONS)
-    partitions = max(current, wanted)
-    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    return partitions
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    partitions = max(int(before), -(-input_bytes // BYTES_PER_TASK))
+    spark.conf.set(setting, str(partitions))
+    try:
+        yield partitions
+    finally:
+        spark.conf.set(setting, before)
 
 
 _own_folder = None

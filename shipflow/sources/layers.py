@@ -33,13 +33,6 @@ def read_processed(spark: SparkSession, path: str, **dates) -> DataFrame:
     return read_layer(spark, path, S.PROCESSED, **dates)
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of the files below a path on any Hadoop file system."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.getContentSummary(folder).getLength()
-
-
 def write_processed(events: DataFrame, path: str, only_touched_dates: bool = False) -> None:
     """Replace the layer, or with ``only_touched_dates`` just the dates that occur in ``events``.
 

@@ -19,14 +19,17 @@ def encode_events(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return events.select(F.col("shipment_id").alias("key"), value.alias("value"), *keep)
 
 
-def kafka_read_options(servers: str, topic: str, starting: str = "latest", max_offsets: int = 5000) -> dict[str, str]:
-    """``starting`` applies to the first run only; later runs continue from the checkpoint."""
-    return {
+def kafka_read_options(servers: str, topic: str, starting: str = "latest", max_offsets: int | None = None) -> dict[str, str]:
+    """``starting`` applies to the first run only; later runs continue from the checkpoint.
+
+    ``max_offsets`` bounds a micro-batch. A bound below the topic's rate falls behind for good, so none is the default.
+    """
+    options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting,
-        "maxOffsetsPerTrigger": str(max_offsets),
     }
+    return options if max_offsets is None else options | {"maxOffsetsPerTrigger": str(max_offsets)}
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, **limits) -> DataFrame:
@@ -43,8 +46,9 @@ def write_to_topic(records: DataFrame, servers: str, topic: str) -> None:
     )
 
 
-def file_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """The same envelope from Parquet files, with a cap on files per micro-batch."""
-    return (
-        spark.readStream.schema(S.ENVELOPE).option("maxFilesPerTrigger", str(max_files)).parquet(path)
-    )
+def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same envelope from Parquet files, optionally with a bound on files per micro-batch."""
+    reader = spark.readStream.schema(S.ENVELOPE)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", str(max_files))
+    return reader.parquet(path)

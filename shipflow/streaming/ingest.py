@@ -6,6 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shipflow import schemas as S
 from shipflow.functions import times
+from shipflow.session import prepare
 
 EVERY_SECOND = {"processingTime": "1 second"}
 UNTIL_CAUGHT_UP = {"availableNow": True}
@@ -18,9 +19,12 @@ def to_raw(envelope: DataFrame) -> DataFrame:
     the default partition, where the processed layer's checks find it.
     """
     payload = F.col("value").cast("string")
-    return envelope.select(
-        F.get_json_object(payload, "$.event_id").alias("event_id"),
-        F.to_date(times.to_time(F.get_json_object(payload, "$.event_timestamp"))).alias("event_date"),
+    # parsed once, as in the batch: a payload that can be decoded there has its id and date here
+    fields = F.from_json(payload, "event_id string, event_timestamp string")
+    parsed = envelope.select("*", F.inline(F.array(fields)).alias("_id", "_time"))
+    return parsed.select(
+        F.col("_id").alias("event_id"),
+        F.to_date(times.to_time(F.col("_time"))).alias("event_date"),
         F.col("key").cast("string").alias("kafka_key"),
         F.col("topic").alias("kafka_topic"),
         F.col("partition").alias("kafka_partition"),
@@ -47,4 +51,6 @@ def start_raw_sink(
 
 
 def ingest(envelope: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Topic to raw layer; event dates are those of UTC, as in the batch."""
+    prepare(envelope.sparkSession)
     return start_raw_sink(to_raw(envelope), path, checkpoint, trigger)

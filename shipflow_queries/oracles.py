@@ -29,15 +29,16 @@ source AS (
   SELECT concat('EVT_', l_orderkey, '_', l_linenumber) AS event_id,
     concat('SHP_', l_orderkey) AS shipment_id,
     concat('DSP_', l_orderkey) AS dispatch_id,
-    concat('DRV_', lpad(CAST(o_custkey % 300 + 1 AS VARCHAR), 4, '0')) AS driver_id,
-    concat('VEH_', lpad(CAST(o_custkey % 500 + 1 AS VARCHAR), 4, '0')) AS vehicle_id,
+    CASE WHEN l_partkey % 7 <> 0 THEN concat('DRV_', lpad(CAST((o_custkey + l_linenumber) % 300 + 1 AS VARCHAR), 4, '0')) END
+      AS driver_id,
+    CASE WHEN l_partkey % 11 <> 0 THEN concat('VEH_', lpad(CAST(o_custkey % 500 + 1 AS VARCHAR), 4, '0')) END AS vehicle_id,
     oh.region_id AS origin_region_id, dh.region_id AS destination_region_id,
     oh.hub_id AS origin_hub_id, dh.hub_id AS destination_hub_id,
     CASE WHEN l_linenumber <= 4 THEN oh.hub_id WHEN l_linenumber <= 6 THEN dh.centre ELSE dh.hub_id END
       AS current_hub_id,
     CASE WHEN l_linenumber <= 4 THEN dh.centre ELSE dh.hub_id END AS next_hub_id,
-    CASE o_custkey % 7 WHEN 0 THEN '일반화물' WHEN 1 THEN '신선식품' WHEN 2 THEN '냉장식품'
-      WHEN 3 THEN '전자제품' WHEN 4 THEN '의류' WHEN 5 THEN '생활용품' ELSE '산업자재' END AS cargo_type,
+    CASE WHEN l_partkey % 13 <> 0 THEN CASE (o_custkey + l_linenumber) % 7 WHEN 0 THEN '일반화물' WHEN 1 THEN '신선식품' WHEN 2 THEN '냉장식품'
+      WHEN 3 THEN '전자제품' WHEN 4 THEN '의류' WHEN 5 THEN '생활용품' ELSE '산업자재' END END AS cargo_type,
     round(o_totalprice % 8000, 2) AS cargo_weight_kg,
     o_totalprice AS shipping_costs,
     CAST(o_custkey % 5 + 1 AS DOUBLE) AS lead_time_days,
@@ -58,7 +59,7 @@ source AS (
     round((l_partkey % 101) / 10.0e0, 2) AS hub_congestion_level,
     round(l_extendedprice % 40, 2) AS eta_variation_minutes,
     round(l_discount * 10, 3) AS delay_probability,
-    CASE WHEN round(l_discount * 10, 3) >= 0.70e0 THEN 'HIGH'
+    CASE WHEN l_partkey % 17 = 0 THEN 'LOW' WHEN round(l_discount * 10, 3) >= 0.70e0 THEN 'HIGH'
          WHEN round(l_discount * 10, 3) >= 0.38e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_classification,
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber >= 3 THEN
       CASE l_suppkey % 4 WHEN 0 THEN 'TRAFFIC_ACCIDENT' WHEN 1 THEN 'BAD_WEATHER'
@@ -100,14 +101,13 @@ usable AS (SELECT * REPLACE (CASE WHEN fault <> 3 THEN event_sequence END AS eve
 processed AS (SELECT {PAYLOAD}, {FLAGS} FROM (SELECT * FROM usable {FIRST_COPY}))"""
 
 
-def _mean(column: str, scale: int) -> str:
-    return (
-        f"CAST(sum(CAST(round({column} * {scale}) AS BIGINT)) AS DOUBLE) / nullif({scale} * count({column}), 0)"
-    )
+def _mean(column: str) -> str:
+    """A mean as the registered queries compare it."""
+    return f"round(avg({column}), 9)"
 
 
 def _avg(name: str) -> str:
-    return f"{_mean(name, C.MEASURE_SCALES[name])} AS avg_{name}"
+    return f"{_mean(name)} AS avg_{name}"
 
 
 def _rate(part: str, whole: str, name: str = "delay_rate") -> str:
@@ -124,21 +124,26 @@ def _minutes(start: str, end: str) -> str:
 
 DELAYED = "count(*) FILTER (WHERE is_event_delayed)"
 
-METRICS = f"""{EVENTS},
-metrics AS (
+def _first(name: str) -> str:
+    """The first value there is, in event order; an unknown sequence comes first."""
+    order = "event_sequence NULLS FIRST, event_timestamp, event_id"
+    return f"first({name} ORDER BY {order}) FILTER (WHERE {name} IS NOT NULL) AS {name}"
+
+
+METRICS_TABLE = f"""metrics AS (
   SELECT *, {_minutes('first_event_time', 'delivered_time')} AS total_delivery_minutes,
     {_minutes('promised_delivery_at', 'delivered_time')} AS delay_minutes,
     coalesce({_minutes('promised_delivery_at', 'delivered_time')} > 0, false) AS is_delayed
   FROM (
     SELECT shipment_id,
-      min_by(dispatch_id, event_sequence) AS dispatch_id,
-      min_by(driver_id, event_sequence) AS driver_id,
-      min_by(vehicle_id, event_sequence) AS vehicle_id,
-      min_by(origin_region_id, event_sequence) AS origin_region_id,
-      min_by(destination_region_id, event_sequence) AS destination_region_id,
-      min_by(origin_hub_id, event_sequence) AS origin_hub_id,
-      min_by(destination_hub_id, event_sequence) AS destination_hub_id,
-      min_by(promised_delivery_at, event_sequence) AS promised_delivery_at,
+      {_first('dispatch_id')},
+      {_first('driver_id')},
+      {_first('vehicle_id')},
+      {_first('origin_region_id')},
+      {_first('destination_region_id')},
+      {_first('origin_hub_id')},
+      {_first('destination_hub_id')},
+      {_first('promised_delivery_at')},
       min(event_timestamp) AS first_event_time,
       max(event_timestamp) FILTER (WHERE event_status = 'DELIVERED') AS delivered_time,
       count(*) AS event_count, max(event_sequence) AS final_event_sequence,
@@ -147,6 +152,8 @@ metrics AS (
       count(exception_type) AS exception_count, max(risk_classification) AS final_risk_classification
     FROM processed GROUP BY shipment_id))"""
 
+METRICS = f"{EVENTS},\n{METRICS_TABLE}"
+
 FIRST_ATTRS = """dispatch_id, driver_id, vehicle_id, origin_region_id, destination_region_id, origin_hub_id,
   destination_hub_id, promised_delivery_at"""
 
@@ -157,33 +164,37 @@ shipments AS (
     d.latitude AS destination_latitude, d.longitude AS destination_longitude,
     cargo_type, cargo_weight_kg, shipping_costs, lead_time_days, created_at, promised_delivery_at, shipment_status
   FROM (
-    SELECT shipment_id, any_value(origin_region_id) AS origin_region_id,
-      any_value(destination_region_id) AS destination_region_id, any_value(origin_hub_id) AS origin_hub_id,
-      any_value(destination_hub_id) AS destination_hub_id, any_value(cargo_type) AS cargo_type,
-      any_value(cargo_weight_kg) AS cargo_weight_kg, any_value(shipping_costs) AS shipping_costs,
-      any_value(lead_time_days) AS lead_time_days, any_value(promised_delivery_at) AS promised_delivery_at,
+    SELECT shipment_id, {_first('origin_region_id')},
+      {_first('destination_region_id')}, {_first('origin_hub_id')},
+      {_first('destination_hub_id')}, {_first('cargo_type')},
+      {_first('cargo_weight_kg')}, {_first('shipping_costs')},
+      {_first('lead_time_days')}, {_first('promised_delivery_at')},
       min(event_timestamp) FILTER (WHERE event_status = 'CREATED') AS created_at,
       max_by(event_status, event_sequence) AS shipment_status
     FROM processed GROUP BY shipment_id) s
   JOIN hub_dim o ON o.hub_id = origin_hub_id JOIN hub_dim d ON d.hub_id = destination_hub_id),
 dispatches AS (
-  SELECT dispatch_id, any_value(shipment_id) AS shipment_id, any_value(driver_id) AS driver_id,
-    any_value(vehicle_id) AS vehicle_id,
+  SELECT dispatch_id, {_first('shipment_id')}, {_first('driver_id')},
+    {_first('vehicle_id')},
     min(event_timestamp) FILTER (WHERE event_status = 'ASSIGNED') AS assigned_at,
     max_by(event_status, event_sequence) AS dispatch_status
   FROM processed GROUP BY dispatch_id)"""
 
-REGION_MART = f"""{EVENTS},
-mart AS (SELECT event_date, destination_region_id, count(*) AS total_event_count,
+REGION_TABLE = f"""mart AS (SELECT event_date, destination_region_id, count(*) AS total_event_count,
     {DELAYED} AS delayed_event_count, {_rate(DELAYED, 'count(*)')}, {_avg('delay_probability')},
     {_avg('eta_variation_minutes')}, {_count_if("risk_classification = 'HIGH'", 'high_risk_count')}
   FROM processed GROUP BY event_date, destination_region_id)"""
+REGION_MART = f"{EVENTS},\n{REGION_TABLE}"
 
-HUB_MART = f"""{EVENTS},
-mart AS (SELECT event_date, destination_hub_id, count(*) AS total_event_count,
+HUB_TABLE = f"""mart AS (SELECT event_date, destination_hub_id, count(*) AS total_event_count,
     {DELAYED} AS delayed_event_count, {_rate(DELAYED, 'count(*)')}, {_avg('traffic_congestion_level')},
     {_avg('hub_congestion_level')}, {_avg('delay_probability')}
   FROM processed GROUP BY event_date, destination_hub_id)"""
+HUB_MART = f"{EVENTS},\n{HUB_TABLE}"
+
+RISK_SELECT = f"""SELECT event_date, risk_classification, count(*) AS event_count, {_avg('delay_probability')},
+  {_avg('weather_severity')}, {_avg('traffic_congestion_level')}
+FROM processed GROUP BY event_date, risk_classification"""
 
 DIMENSIONS = f"""{REGION},
 driver_dim AS (SELECT concat('DRV_', lpad(CAST(i AS VARCHAR), 4, '0')) AS driver_id,
@@ -194,6 +205,8 @@ driver_dim AS (SELECT concat('DRV_', lpad(CAST(i AS VARCHAR), 4, '0')) AS driver
 vehicle_dim AS (SELECT concat('VEH_', lpad(CAST(i AS VARCHAR), 4, '0')) AS vehicle_id,
     CASE i % 6 WHEN 0 THEN 1000 WHEN 1 THEN 2500 WHEN 2 THEN 5000 WHEN 3 THEN 11000 WHEN 4 THEN 2000 ELSE 800
       END AS capacity_kg,
+    CASE WHEN i % 25 <> 0 THEN CASE i % 6 WHEN 0 THEN '1톤 탑차' WHEN 1 THEN '2.5톤 탑차' WHEN 2 THEN '5톤 윙바디'
+      WHEN 3 THEN '11톤 카고' WHEN 4 THEN '냉장 탑차' ELSE '전기 배송차' END END AS vehicle_type,
     concat('REG_', lpad(CAST(i % 10 + 1 AS VARCHAR), 2, '0')) AS region_id,
     CASE WHEN i % 4 = 0 THEN 'MAINTENANCE' ELSE 'AVAILABLE' END AS vehicle_status
   FROM (SELECT DISTINCT o_custkey % 500 + 1 AS i FROM orders))"""
@@ -296,7 +309,8 @@ def _with(ctes: str, select: str) -> str:
 
 RAW_SELECT = """SELECT CASE WHEN fault NOT IN (0, 1) THEN event_id END AS event_id,
   CASE WHEN fault NOT IN (0, 2) THEN CAST(event_timestamp AS DATE) END AS event_date,
-  shipment_id AS kafka_key, 'delivery_events' AS kafka_topic, kafka_partition, kafka_offset, kafka_timestamp
+  shipment_id AS kafka_key, 'delivery_events' AS kafka_topic, kafka_partition, kafka_offset, kafka_timestamp,
+  fault <> 0 AS is_json
 FROM source"""
 
 DECODED = ", ".join(
@@ -315,13 +329,26 @@ DECODED = ", ".join(
 )
 
 
+FIELD_NAMES = [part.strip() for part in PAYLOAD.split(",")]
+TEXT_TIMES = ("promised_delivery_at", "event_timestamp", "processing_timestamp")
+READ_BACK = ", ".join(f"strftime({n}, '%Y-%m-%dT%H:%M:%S') AS {n}" if n in TEXT_TIMES else n for n in FIELD_NAMES)
+NULL_FIELDS = " + ".join(f"CAST({name} IS NULL AS INTEGER)" for name in FIELD_NAMES)
+
+
 def all_sql() -> dict[str, str]:
     sql = {
+        "event_encode": _with(
+            EVENTS,
+            f"""SELECT shipment_id AS key, '{",".join(FIELD_NAMES)}' AS names, {NULL_FIELDS} AS null_fields, {READ_BACK}
+            FROM ev""",
+        ),
         "raw_envelope": _with(SOURCE, RAW_SELECT),
         "stream_raw_ingest": _with(SOURCE, RAW_SELECT),
         "json_decode": _with(SOURCE, f"SELECT {DECODED} FROM source"),
         "stream_late_routing": """SELECT CASE WHEN event_id % 9 <> 0 THEN CAST(ts AS DATE) END AS event_date,
-            count(*) AS row_count, CAST(0 AS BIGINT) AS misplaced_rows, max(CAST(event_id AS VARCHAR)) AS last_event_id
+            count(*) AS row_count, count(*) FILTER (WHERE event_id % 9 <> 0
+              AND CAST(ts + to_days(CAST(event_id % 3 AS INTEGER)) AS DATE) <> CAST(ts AS DATE)) AS misplaced_rows,
+            max(CAST(event_id AS VARCHAR)) AS last_event_id
           FROM events GROUP BY 1""",
         "processed_events": _with(FROM_TOPIC, "SELECT * FROM processed"),
         "processed_roundtrip": _with(FROM_TOPIC, "SELECT * FROM processed"),
@@ -350,12 +377,7 @@ def all_sql() -> dict[str, str]:
         ),
         "mart_region_delay": _with(REGION_MART, "SELECT * FROM mart"),
         "mart_hub_performance": _with(HUB_MART, "SELECT * FROM mart"),
-        "mart_risk_summary": _with(
-            EVENTS,
-            f"""SELECT event_date, risk_classification, count(*) AS event_count, {_avg('delay_probability')},
-              {_avg('weather_severity')}, {_avg('traffic_congestion_level')}
-            FROM processed GROUP BY event_date, risk_classification""",
-        ),
+        "mart_risk_summary": _with(EVENTS, RISK_SELECT),
         "mart_grouping_sets": _with(
             EVENTS,
             "\nUNION ALL ".join(
@@ -429,7 +451,7 @@ def all_sql() -> dict[str, str]:
         ),
         "not_null_violations": _with(
             f"""{DIMENSIONS}, {SHIPMENTS}, known_driver AS (SELECT * FROM driver_dim WHERE i % 50 <> 0),
-            named_vehicle AS (SELECT *, 'type' AS vehicle_type FROM vehicle_dim)""",
+            named_vehicle AS (SELECT * FROM vehicle_dim)""",
             "\nUNION ALL ".join(
                 [
                     _nulls("region", "region_dim", ["region_id", "region_name", "region_group"]),
@@ -485,7 +507,8 @@ def all_sql() -> dict[str, str]:
             f"{DIMENSIONS}, {METRICS}",
             f"""SELECT d.region_id AS driver_region_id, v.capacity_kg, count(*) AS shipment_count,
               count(delivered_time) AS delivered_count, {_count_if('is_delayed', 'delayed_count')},
-              {_mean('delay_minutes', 60)} AS avg_delay_minutes,
+              CAST(sum(CAST(round(delay_minutes * 60) AS BIGINT)) AS DOUBLE) / nullif(60 * count(delay_minutes), 0)
+                AS avg_delay_minutes,
               {_rate('count(*) FILTER (WHERE is_delayed)', 'count(delivered_time)', 'delivered_delay_rate')}
             FROM metrics m LEFT JOIN driver_dim d ON d.driver_id = m.driver_id
             LEFT JOIN vehicle_dim v ON v.vehicle_id = m.vehicle_id GROUP BY d.region_id, v.capacity_kg""",
@@ -549,22 +572,16 @@ def all_sql() -> dict[str, str]:
         "hop_coordinates": _with(
             EVENTS,
             """SELECT event_id, current_hub_id, next_hub_id, current_latitude, current_longitude, next_latitude,
-              next_longitude,
-              round_even((current_latitude + (next_latitude - current_latitude) * progress) * 1000000, 0) / 1000000
-                AS expected_latitude,
-              round_even((current_longitude + (next_longitude - current_longitude) * progress) * 1000000, 0) / 1000000
-                AS expected_longitude
+              next_longitude
             FROM (SELECT event_id, current_hub_id, next_hub_id, c.latitude AS current_latitude,
-                c.longitude AS current_longitude, n.latitude AS next_latitude, n.longitude AS next_longitude,
-                CASE event_sequence WHEN 1 THEN 0.0e0 WHEN 2 THEN 0.03e0 WHEN 3 THEN 0.10e0 WHEN 4 THEN 0.45e0
-                  WHEN 5 THEN 0.725e0 WHEN 6 THEN 0.875e0 ELSE 1.0e0 END AS progress
+                c.longitude AS current_longitude, n.latitude AS next_latitude, n.longitude AS next_longitude
               FROM processed JOIN hub_dim c ON c.hub_id = current_hub_id JOIN hub_dim n ON n.hub_id = next_hub_id)""",
         ),
         "risk_banding": _with(
             EVENTS,
-            """SELECT event_id, delay_probability,
+            """SELECT *, risk_band = risk_classification AS agrees FROM (SELECT event_id, delay_probability,
               CASE WHEN delay_probability >= 0.70e0 THEN 'HIGH' WHEN delay_probability >= 0.38e0 THEN 'MEDIUM'
-                ELSE 'LOW' END AS risk_band, risk_classification, true AS agrees FROM processed""",
+                ELSE 'LOW' END AS risk_band, risk_classification FROM processed)""",
         ),
         "sla_check": _with(
             SHIPMENTS,
@@ -580,9 +597,9 @@ def all_sql() -> dict[str, str]:
         "kpi_summary": _with(
             METRICS,
             f"""SELECT count(*) AS shipment_count, count(delivered_time) AS delivered_count,
-              {_count_if('is_delayed', 'delayed_count')}, {_mean('total_delivery_minutes', 60)} AS avg_delivery_minutes,
-              {_mean('delay_minutes', 60)} AS avg_delay_minutes,
-              {_mean('CASE WHEN is_delayed THEN delay_minutes END', 60)} AS avg_late_minutes,
+              {_count_if('is_delayed', 'delayed_count')}, {_mean('total_delivery_minutes')} AS avg_delivery_minutes,
+              {_mean('delay_minutes')} AS avg_delay_minutes,
+              {_mean('CASE WHEN is_delayed THEN delay_minutes END')} AS avg_late_minutes,
               {_rate('count(*) FILTER (WHERE is_delayed)', 'count(*)')},
               {_rate('count(*) FILTER (WHERE is_delayed)', 'count(delivered_time)', 'delivered_delay_rate')}
             FROM metrics""",
@@ -633,6 +650,10 @@ def all_sql() -> dict[str, str]:
             """SELECT chance AS delay_probability, coalesce(traffic, 4.0e0) AS traffic_congestion_level,
               coalesce(lead_days, 2.25e0) AS lead_time_days, coalesce(costs, 17500.0e0) AS shipping_costs FROM typed""",
         ),
+        "batch_shipment_metrics": _with(f"{FROM_TOPIC},\n{METRICS_TABLE}", "SELECT * FROM metrics"),
+        "batch_region_delay": _with(f"{FROM_TOPIC},\n{REGION_TABLE}", "SELECT * FROM mart"),
+        "batch_hub_performance": _with(f"{FROM_TOPIC},\n{HUB_TABLE}", "SELECT * FROM mart"),
+        "batch_risk_summary": _with(FROM_TOPIC, RISK_SELECT),
         "batch_tables": _with(
             FROM_TOPIC,
             "\nUNION ALL ".join(

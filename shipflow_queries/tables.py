@@ -1,6 +1,7 @@
 """The test tables read as delivery events, envelopes, dimensions and a reference file.
 
-One lineitem row is one event of the shipment given by its order; the line number is the sequence.
+One lineitem row is one event of the shipment given by its order; the line number is the sequence. Driver and cargo
+change along a shipment, and they and the vehicle are sometimes missing; some risk labels are off their band.
 Rows with equal order and line are copies of an event.
 """
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from shipflow import constants as C
 from shipflow import schemas as S
 from shipflow.operators import cleanse
-from shipflow.session import prepare, stored
+from shipflow.session import prepare
 from shipflow.sources import topic
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -52,8 +53,8 @@ EVENT_COLUMNS = f"""
     concat('EVT_', l_orderkey, '_', l_linenumber) AS event_id;
     concat('SHP_', l_orderkey) AS shipment_id;
     concat('DSP_', l_orderkey) AS dispatch_id;
-    concat('DRV_', lpad(o_custkey % 300 + 1, 4, '0')) AS driver_id;
-    concat('VEH_', lpad(o_custkey % 500 + 1, 4, '0')) AS vehicle_id;
+    IF(l_partkey % 7 = 0, NULL, concat('DRV_', lpad((o_custkey + l_linenumber) % 300 + 1, 4, '0'))) AS driver_id;
+    IF(l_partkey % 11 = 0, NULL, concat('VEH_', lpad(o_custkey % 500 + 1, 4, '0'))) AS vehicle_id;
     element_at({HUB_REGIONS}, oh) AS origin_region_id;
     element_at({HUB_REGIONS}, dh) AS destination_region_id;
     element_at({HUB_IDS}, oh) AS origin_hub_id;
@@ -61,7 +62,7 @@ EVENT_COLUMNS = f"""
     CASE WHEN l_linenumber <= 4 THEN element_at({HUB_IDS}, oh)
       WHEN l_linenumber <= 6 THEN element_at({HUB_CENTRES}, dh) ELSE element_at({HUB_IDS}, dh) END AS current_hub_id;
     CASE WHEN l_linenumber <= 4 THEN element_at({HUB_CENTRES}, dh) ELSE element_at({HUB_IDS}, dh) END AS next_hub_id;
-    element_at({_array(CARGO_TYPES)}, CAST(o_custkey % 7 + 1 AS INT)) AS cargo_type;
+    IF(l_partkey % 13 = 0, NULL, element_at({_array(CARGO_TYPES)}, CAST((o_custkey + l_linenumber) % 7 + 1 AS INT))) AS cargo_type;
     round(o_totalprice % 8000, 2) AS cargo_weight_kg;
     o_totalprice AS shipping_costs;
     CAST(o_custkey % 5 + 1 AS DOUBLE) AS lead_time_days;
@@ -79,7 +80,7 @@ EVENT_COLUMNS = f"""
     round((l_partkey % 101) / 10.0D, 2) AS hub_congestion_level;
     round(l_extendedprice % 40, 2) AS eta_variation_minutes;
     chance AS delay_probability;
-    CASE WHEN chance >= 0.70D THEN 'HIGH' WHEN chance >= 0.38D THEN 'MEDIUM' ELSE 'LOW' END AS risk_classification;
+    CASE WHEN l_partkey % 17 = 0 THEN 'LOW' WHEN chance >= 0.70D THEN 'HIGH' WHEN chance >= 0.38D THEN 'MEDIUM' ELSE 'LOW' END AS risk_classification;
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber >= 3
       THEN element_at({_array(EXCEPTION_TYPES)}, CAST(l_suppkey % 4 + 1 AS INT)) END AS exception_type;
     timestamp_seconds(event_second + l_suppkey % 60) AS kafka_timestamp;
@@ -90,8 +91,8 @@ EVENT_COLUMNS = f"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order. Orders grow with the data, so both sides are shuffled at any size."""
-    orders = table(spark, sf_dir, "orders").hint("merge")
+    """Lines with their order."""
+    orders = table(spark, sf_dir, "orders")
     return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
@@ -119,7 +120,7 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copies as topic records, faults included, stored as a topic would.
+    """The copies as topic records, faults included.
 
     By l_partkey % 97: 0 text that is not JSON, 1 no event_id, 2 unreadable event_timestamp,
     3 text as event_sequence, 4 no event_status.
@@ -140,11 +141,14 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kafka_offset AS offset",
         "kafka_timestamp AS timestamp",
     )
-    return stored(encoded, "topic")
+    return encoded
 
 
 def activity_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as topic records, props as a nested field. Every ninth time is unreadable."""
+    """The events table as topic records, props as a nested field. Every ninth time is unreadable.
+
+    Two thirds of the records reach the topic a day or two after their event.
+    """
     return table(spark, sf_dir, "events").selectExpr(
         "CAST(CAST(user_id AS STRING) AS BINARY) AS key",
         """CAST(to_json(struct(
@@ -154,7 +158,7 @@ def activity_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'activity' AS topic",
         "CAST(user_id % 3 AS INT) AS partition",
         "event_id AS offset",
-        "CAST(ts AS TIMESTAMP) AS timestamp",
+        "timestampadd(DAY, CAST(event_id % 3 AS INT), CAST(ts AS TIMESTAMP)) AS timestamp",
     )
 
 
@@ -175,7 +179,7 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbers(spark, sf_dir, 500).selectExpr(
         "concat('VEH_', lpad(i, 4, '0')) AS vehicle_id",
-        f"element_at({_array([name for name, _ in VEHICLE_TYPES])}, i % 6 + 1) AS vehicle_type",
+        f"IF(i % 25 = 0, NULL, element_at({_array([name for name, _ in VEHICLE_TYPES])}, i % 6 + 1)) AS vehicle_type",
         f"element_at({_array([capacity for _, capacity in VEHICLE_TYPES])}, i % 6 + 1) AS capacity_kg",
         "concat('REG_', lpad(i % 10 + 1, 2, '0')) AS region_id",
         "IF(i % 4 = 0, 'MAINTENANCE', 'AVAILABLE') AS vehicle_status",

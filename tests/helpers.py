@@ -3,7 +3,10 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from shipflow import schemas as S
+from shipflow.functions import times
 
 START = dt.datetime(2024, 3, 1, 8, 0, 0)
 
@@ -46,7 +49,9 @@ def raw_rows(*texts):
 
 def raw_frame(spark, *texts):
     columns = ", ".join(f"{name} {S.RAW[name].dataType.simpleString()}" for name in S.RAW_COLUMNS)
-    return spark.createDataFrame(raw_rows(*texts), columns)
+    frame = spark.createDataFrame(raw_rows(*texts), columns)
+    read = F.from_json("raw_payload", "event_id string, event_timestamp string")
+    return frame.withColumns({"event_id": read["event_id"], "event_date": F.to_date(times.to_time(read["event_timestamp"]))})
 
 
 def events_frame(spark, *events, columns=None):

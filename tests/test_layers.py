@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from helpers import at, payload, raw_frame
+from helpers import at, events_frame, payload, raw_frame
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -78,7 +78,8 @@ def test_late_and_unreadable_times(spark, tmp_path):
 
 def test_kafka_source_options(spark):
     options = topic.kafka_read_options("broker:9092", "delivery_events")
-    assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "5000"
+    assert options["startingOffsets"] == "latest" and "maxOffsetsPerTrigger" not in options
+    assert topic.kafka_read_options("h:1", "t", max_offsets=5000)["maxOffsetsPerTrigger"] == "5000"
     try:
         topic.kafka_stream(spark, "broker:9092", "delivery_events")
     except AnalysisException as error:  # the connector is not on every session
@@ -152,8 +153,19 @@ def test_jdbc_options(spark):
     options = jdbc.load_options(database, "mart_region_delay", connections=4)
     assert options["truncate"] == "true" and options["numPartitions"] == "4"
     assert options["dbtable"] == "mart_region_delay" and options["driver"] == "org.postgresql.Driver"
-    narrowed = jdbc.narrow_counts(spark.sql("SELECT 5L AS event_count, 6L AS other, 0.5D AS delay_rate"))
-    assert [f.dataType.simpleString() for f in narrowed.schema] == ["int", "bigint", "double"]
+    whole = jdbc.read_options(database, "driver")
+    assert "numPartitions" not in whole
+    parts = jdbc.read_options(database, "driver", "number", 1, 300, 8)
+    assert (parts["partitionColumn"], parts["lowerBound"], parts["upperBound"], parts["numPartitions"]) == ("number", "1", "300", "8")
+
+
+def test_a_load_moves_only_result_rows(spark):
+    counted = spark.range(1000).groupBy("id").count()
+    loaded = jdbc.to_load(counted, 3)
+    assert loaded.rdd.getNumPartitions() == 3
+    plan = loaded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Repartition 3, true")
+    assert dict(loaded.dtypes)["count"] == "bigint"
 
 
 def test_batch_can_be_run_again(spark, tmp_path, rows):
@@ -172,6 +184,32 @@ def test_batch_can_be_run_again(spark, tmp_path, rows):
     assert run() == first
 
 
+def test_bounded_run_equals_the_full_one(spark, tmp_path, rows):
+    raw, full, bounded = (str(tmp_path / name) for name in ("raw", "full", "bounded"))
+    day = lambda n, **more: payload(event_timestamp=f"2024-03-0{n}T08:00:00", **more)
+    events = [day(1, event_id="a"), day(2, event_id="a"), day(2, event_id="b"), day(3, event_id="b"), day(3, event_id="c")]
+    records = topic.encode_events(events_frame(spark, *events), keep=["event_id", "event_timestamp"])
+    # b arrives first with its later date; a with its earlier one
+    order = F.when(F.col("event_id") == "b", -F.unix_timestamp("event_timestamp")).otherwise(F.unix_timestamp("event_timestamp"))
+    records = records.selectExpr("CAST(key AS BINARY) key", "CAST(value AS BINARY) value", "'t' topic", "0 AS partition", "event_id", "event_timestamp")
+    records = records.withColumn("offset", order).withColumn("timestamp", F.timestamp_seconds(order)).drop("event_id", "event_timestamp")
+    ingest.to_raw(records).write.partitionBy("event_date").parquet(raw)
+    batch.build_processed(spark, raw, full)
+    for n in (1, 2, 3):
+        batch.build_processed(spark, raw, bounded, dt.date(2024, 3, n), dt.date(2024, 3, n))
+    pick = lambda path: rows(layers.read_processed(spark, path).select("event_id", "event_date"))
+    assert pick(bounded) == pick(full) == rows(spark.createDataFrame([("a", dt.date(2024, 3, 1)), ("b", dt.date(2024, 3, 3)), ("c", dt.date(2024, 3, 3))], "i string, d date"))
+
+
+def test_raw_records_are_filtered_before_they_are_decoded(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    ingest.to_raw(envelope(spark, texts())).write.partitionBy("event_date").parquet(path)
+    plan = cleanse.valid_events(layers.read_raw(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(event_id)" in plan
+    plan = ingest.to_raw(envelope(spark, texts()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan
+
+
 def test_batch_guards(spark, tmp_path):
     path = str(tmp_path / "raw")
     with pytest.raises(ValueError, match="must not replace"):
@@ -190,10 +228,9 @@ def test_shared_path_follows_the_session(spark):
 
 
 def test_shuffles_grow_with_the_input(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert session.size_shuffles(spark, 1000) == int(before)
-        assert session.size_shuffles(spark, 100 * 2**30) == 400
-        assert session.size_shuffles(spark, 100 * 2**40) == session.MOST_SHUFFLE_PARTITIONS
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    for size, expected in ((1000, int(before)), (100 * 2**30, 400), (100 * 2**40, 409_600)):
+        with session.sized_shuffles(spark, size) as partitions:
+            assert partitions == expected == int(spark.conf.get(setting))
+        assert spark.conf.get(setting) == before

@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as entry_points
 import check
+from shipflow_queries import oracles
+from shipflow_queries.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SMALL).is_dir(), reason="test tables are not here")
-ORACLES = entry_points.oracle_sql()
+ORACLES = oracles.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,14 +19,15 @@ def oracle():
     return check.oracle_connection(SMALL)
 
 
-def test_only_known_queries_lack_an_oracle():
-    assert set(entry_points.queries()) - set(ORACLES) == {"event_encode"}
-    assert set(ORACLES) <= set(entry_points.queries())
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, oracle, name):
-    frame = entry_points.queries()[name](spark, SMALL)
+    frame = QUERIES[name](spark, SMALL)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "rangepartitioning", "Python"):
         assert unwanted not in plan

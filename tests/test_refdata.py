@@ -30,7 +30,7 @@ def text_frame(spark, *changes):
 
 
 def cleaned(spark, *changes):
-    return refdata.clean_reference(text_frame(spark, *changes)).collect()
+    return refdata.clean_reference(refdata.type_reference(text_frame(spark, *changes))).collect()
 
 
 def test_a_good_row(spark):
@@ -97,7 +97,7 @@ def test_unreadable_time_is_null(spark):
 
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="risk_classification, shipping_costs"):
-        refdata.clean_reference(text_frame(spark, {}).drop("shipping_costs", "risk_classification"))
+        refdata.type_reference(text_frame(spark, {}).drop("shipping_costs", "risk_classification"))
 
 
 def test_csv_both_ways(spark, tmp_path, rows):
@@ -108,7 +108,7 @@ def test_csv_both_ways(spark, tmp_path, rows):
         for change in ({}, {"risk_classification": None}, {"shipping_costs": None, "timestamp": "2024-01-05 10:00:00.25"})
     ]
     (tmp_path / "in.csv").write_text("\n".join(lines), encoding="utf-8")
-    clean = refdata.clean_reference(reference_csv.read_text(spark, source))
+    clean = refdata.clean_reference(refdata.type_reference(reference_csv.read_text(spark, source)))
     reference_csv.write_clean(clean, target)
     assert rows(reference_csv.read_clean(spark, target)) == rows(clean)
     header = next((tmp_path / "out").glob("*.csv")).read_text(encoding="utf-8").splitlines()[0]
@@ -141,7 +141,10 @@ def test_nan_cells_of_the_clean_file_are_missing(spark, tmp_path):
 
 def test_defaults(spark):
     text = text_frame(spark, {"delay_probability": "x", "lead_time_days": None}, {"delay_probability": "nan"})
-    first, second = refdata.with_defaults(text).collect()
+    defaults = {"delay_probability": 0.3, "lead_time_days": 2.25, "shipping_costs": 17500.0}
+    first, second = refdata.with_defaults(text, defaults).collect()
+    with pytest.raises(ValueError, match="missing columns: absent"):
+        refdata.with_defaults(text, {"absent": 1.0})
     assert (first.delay_probability, first.lead_time_days, first.shipping_costs) == (0.3, 2.25, 100.5)
     assert second.delay_probability != second.delay_probability and second.lead_time_days == 3.0
 

@@ -3,6 +3,8 @@
 import pytest
 from helpers import at, events_frame, payload
 
+from pyspark.sql import functions as F
+
 from shipflow import constants as C
 from shipflow.operators import dims, flow, lanes, quality
 
@@ -164,9 +166,24 @@ def test_distance_and_positions(spark):
         payload(event_id="b", event_status="DELIVERED", current_hub_id="HUB_001", next_hub_id="HUB_006"),
         payload(event_id="c", event_status="LOST", current_hub_id="HUB_001", next_hub_id="HUB_999"),
     )
-    got = {r.event_id: (r.expected_latitude, r.expected_longitude) for r in lanes.hop_coordinates(events, dims.hubs(spark)).collect()}
-    assert got["a"] == (round(37.5665 + (35.1796 - 37.5665) * 0.1, 6), round(127.05 + (129.0756 - 127.05) * 0.1, 6))
-    assert got["b"] == (35.1796, 129.0756) and got["c"] == (None, None)
+    got = {r.event_id: (r.current_latitude, r.next_latitude, r.next_longitude) for r in lanes.hop_coordinates(events, dims.hubs(spark)).collect()}
+    assert got["a"] == got["b"] == (37.5665, 35.1796, 129.0756) and got["c"] == (37.5665, None, None)
+
+
+def test_a_dimension_of_unknown_size_does_not_shuffle_the_fact(spark, tmp_path):
+    path = str(tmp_path / "hubs")
+    dims.hubs(spark).write.parquet(path)
+    unknown = spark.read.parquet(path).groupBy("hub_id").agg(*[F.first(c).alias(c) for c in ("latitude", "longitude")])
+    events = events_frame(spark, payload(event_id="a"))
+    plan = lanes.hop_coordinates(events, unknown)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "hashpartitioning(current_hub_id" not in plan
+    assert dims.bounded(unknown, 3) is unknown
+
+
+def test_rows_without_a_key_are_not_inserted(spark):
+    existing = spark.createDataFrame([("a", 1)], "k string, v int")
+    batch = spark.createDataFrame([("a", 2), (None, 3), ("b", 4)], "k string, v int")
+    assert sorted(map(tuple, dims.insert_if_absent(existing, batch, "k").collect())) == [("a", 1), ("b", 4)]
 
 
 def test_risk_bands(spark):
