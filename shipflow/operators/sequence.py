@@ -18,6 +18,7 @@ MAX_GROUP_ROWS = 4_000_000
 BROADCAST_PIVOTS = 200_000
 SALTS = 256
 PIECE = "_piece"
+TIE = "_tie"
 
 
 @dataclass(frozen=True)
@@ -63,9 +64,13 @@ def cut_groups(
 
     Pivots, where pieces begin, are the rows whose hashed order columns fall on one residue. The rule
     is not random, so a recomputed task cuts alike. There is about one pivot in ``max_rows / 4`` rows
-    of large groups, which bounds them all; up to ``BROADCAST_PIVOTS`` they are broadcast, beyond
-    that joined with a salt.
+    of large groups; up to ``BROADCAST_PIVOTS`` they are broadcast, beyond that joined with a salt.
+    Rows tied in the order columns are told apart by a hash of the whole row, so only rows that are
+    equal throughout stay together. Rows without a key are in no group and are left out. The sizes
+    of the groups are counted by a job right away, since they decide the plan.
     """
+    df = df.filter(F.col(key).isNotNull()).withColumn(TIE, F.xxhash64(*df.columns))
+    order = (*order, TIE)
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_rows)
     large = sizes.agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).first()
     if large.groups == 0:

@@ -111,3 +111,13 @@ def test_pivots_too_many_to_broadcast_are_joined(events, monkeypatch):
 def test_current_status_is_the_last_in_order(events):
     got = {row.shipment_id: row.current_status for row in flow.current_status(events).collect()}
     assert got == {shipment: group[-1][4] for shipment, group in in_order(sample()).items()}
+
+
+def test_tied_rows_are_cut_and_rows_without_a_key_left_out(spark):
+    rows = [("T", 1, at(0), "E", "A", f"H{i}") for i in range(400)] + [(None, 1, at(0), f"N{i}", "A", "H") for i in range(400)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    groups = sequence.cut_groups(frame, "shipment_id", ORDER, max_rows=40)
+    assert groups.rows.count() == 400
+    assert groups.rows.select(*groups.unit).distinct().count() > 4
+    stepped = sequence.with_position(groups, "n").rows
+    assert sorted(row.n for row in stepped.select("n").collect()) == list(range(1, 401))
