@@ -60,12 +60,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shipflow/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read back; ``options`` are the writer's.
 
     Cuts the lineage for inputs that are read several times; unlike cached blocks, the files outlive
     a lost executor and keep column pruning.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

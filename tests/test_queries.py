@@ -39,3 +39,9 @@ def test_query(spark, oracle, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 100
+
+
+@pytest.mark.parametrize("name", ["shipment_dispatch", "sla_check", "pk_violations", "not_null_violations"])
+def test_the_log_is_deduplicated_once_for_all_tables(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan  # done when the layer was stored
