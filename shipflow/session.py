@@ -5,8 +5,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -61,6 +62,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shipflow/{name}-{uuid.uuid4().hex}"
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of tables that are stored within the block."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def discard(paths: list[str]) -> None:
+    """Delete stored tables that no frame needs any more; ones that are gone already are no error."""
+    while paths:
+        path = paths.pop()
+        files, place = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path.removeprefix("file:"))
+        with suppress(FileNotFoundError):
+            files.delete_dir(place)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back; ``options`` are the writer's.
 
@@ -71,6 +95,8 @@ def stored(df: DataFrame, name: str, rows: int | None = None, **options: str) ->
     a lost executor and keep column pruning.
     """
     path = shared_path(df.sparkSession, name)
+    for paths in _recording:
+        paths.append(path)
     if rows is not None:
         df = df.repartition(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.options(**options).parquet(path)
