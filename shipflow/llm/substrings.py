@@ -114,8 +114,8 @@ def _halves(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays(columns, ["m", "start", "hash"])
 
 
-def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full windows whose anchor's half window repeats: m, start, hash, hot."""
+def _windows(window: int, hot: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full windows whose anchor's half window repeats, very often (hot) or not: m, start, hash."""
     levels = Levels(window)
     for batch in batches:
         for found in T.words(batch["text"]):
@@ -131,17 +131,15 @@ def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 m[i] = batch["m"][row].as_py()
                 state[np.asarray(batch["starts"][row].values, np.int64) + found.first_words[i]] = 1
                 state[np.asarray(batch["hot_starts"][row].values, np.int64) + found.first_words[i]] = 2
-            chosen = state[half] > 0
-            starts, half = starts[chosen], half[chosen]
+            starts = starts[state[half] == (2 if hot else 1)]
             if len(starts):
                 owner = np.searchsorted(found.first_words, starts, side="right") - 1
                 columns = [
                     pa.array(m[owner]),
                     pa.array((starts - found.first_words[owner]).astype(np.int32)),
                     pa.array(T.window_hashes(hashes, levels.full)[starts].view(np.int64)),
-                    pa.array(state[half] == 2),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["m", "start", "hash", "hot"])
+                yield pa.RecordBatch.from_arrays(columns, ["m", "start", "hash"])
 
 
 def _kept(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +204,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         F.collect_set(F.when(~F.col("hot"), F.col("start"))).alias("starts"),
         F.collect_set(F.when(F.col("hot"), F.col("start"))).alias("hot_starts"),
     )
+    starts = stored(starts, "starts")
     candidates = candidates.drop("places")
-    fulls = candidates.select("m", "text").join(starts, "m")
-    fulls = fulls.mapInArrow(partial(_windows, window), "m long, start int, hash long, hot boolean")
-    fulls = stored(fulls, "windows")
+
+    def fulls(hot: bool) -> DataFrame:
+        chosen = starts.filter(F.size("hot_starts") > 0) if hot else starts
+        texts_of = candidates.select("m", "text").join(chosen, "m")
+        return texts_of.mapInArrow(partial(_windows, window, hot), "m long, start int, hash long")
+
     # Windows around rare halves are in small groups. Those around hot halves are counted first, then looked up.
     place, group = F.xxhash64("m", "start"), Window.partitionBy("hash")
-    rare = fulls.filter("NOT hot").select("m", "start", (F.min(place).over(group) != F.max(place).over(group)).alias("twice"))
-    hot = fulls.filter("hot")
+    rare = fulls(False).select("m", "start", (F.min(place).over(group) != F.max(place).over(group)).alias("twice"))
+    hot = stored(fulls(True), "hot-windows")
     hot = hot.join(_seen_twice(hot), "hash").select("m", "start")
     found = rare.filter("twice").select("m", "start").unionByName(hot).groupBy("m").agg(F.collect_set("start").alias("starts"))
     return rows, texts, candidates.join(found, "m")
