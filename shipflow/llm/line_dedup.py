@@ -29,11 +29,11 @@ def line_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def _repeated(places: DataFrame, key: list[str]) -> DataFrame:
+def _repeated(places: DataFrame, key: list[str], rows: int | None = None) -> DataFrame:
     """Keys that occur twice or more, with own_rank (in the order of the key) and first place."""
     first = F.min(F.struct(*PLACE)).alias("first")
     groups = places.groupBy(*key).agg(F.count("*").alias("_times"), first).filter("_times > 1").drop("_times")
-    return ranked(stored(groups, "groups"), key, "own_rank")
+    return ranked(stored(groups, "groups", rows), key, "own_rank")
 
 
 def levels(lines: DataFrame) -> list[DataFrame]:
@@ -44,18 +44,19 @@ def levels(lines: DataFrame) -> list[DataFrame]:
     that is alone in its group is in its final position, so it takes no part in further doubling; a suffix shorter
     than the run has no run. It ends when no group has two places.
     """
-    found, length = [], 1
+    found, length, rows = [], 1, lines.count()
     places = lines.select(*PLACE, "h1", "h2")
     key = ["h1", "h2"]
     while True:
-        groups = _repeated(places, key)
-        level = stored(places.join(groups, key).select(*PLACE, F.col("own_rank").alias("rank"), "first"), "level")
-        if level.isEmpty():
+        groups = _repeated(places, key, rows)
+        level = stored(places.join(groups, key).select(*PLACE, F.col("own_rank").alias("rank"), "first"), "level", rows)
+        rows = level.count()
+        if not rows:
             return found
         found.append(level)
         ahead = level.select(F.col("row").alias("_row"), (F.col("line") - length).alias("_line"), F.col("rank").alias("next_rank"))
         places = level.join(ahead, (F.col("row") == F.col("_row")) & (F.col("line") == F.col("_line")))
-        places = stored(places.select(*PLACE, "rank", "next_rank"), "pairs")
+        places = stored(places.select(*PLACE, "rank", "next_rank"), "pairs", rows)
         key, length = ["rank", "next_rank"], length * 2
 
 

@@ -164,7 +164,7 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("distance", square)
 
 
-def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+def _concentrate(vectors: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
     """A C-step: centre and covariance of the share of rows nearest by the last estimate, per group.
 
     Rows are counted and summed per bucket of distance in one pass; the nearest share is the buckets up to the one
@@ -178,7 +178,7 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     near = buckets.withColumn("below", F.coalesce(F.sum("rows").over(below), F.lit(0))).withColumn("all", F.sum("rows").over(whole))
     names = ["rows", *[f"t_{n}" for n in NAMES], *[f"t_{a}_{b}" for a, b in PAIRS]]
     near = near.filter(F.col("below") < KEPT_SHARE * F.col("all"))
-    near = stored(near.groupBy(*GROUP).agg(*[F.sum(name).cast("double").alias(name) for name in names]), "moments")
+    near = stored(near.groupBy(*GROUP).agg(*[F.sum(name).cast("double").alias(name) for name in names]), "moments", groups)
     language = near.groupBy("lang").agg(*[(F.sum(name) / F.sum("rows") * PRIOR_ROWS).alias(f"p_{name}") for name in names])
     mixed = _joined(near, language, ["lang"]).select(*GROUP, *[(F.col(n) + F.col(f"p_{n}")).alias(n) for n in names])
     mean = {n: F.col(f"t_{n}") / F.col("rows") for n in NAMES}
@@ -187,14 +187,15 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
         *[(mean[n] / UNIT).alias(f"m_{n}") for n in NAMES],
         *[((F.col(f"t_{a}_{b}") / F.col("rows") - mean[a] * mean[b]) / UNIT**2 * CONSISTENCY).alias(f"s_{a}_{b}") for a, b in PAIRS],
     )
-    return stored(_cholesky(moments), "estimate")
+    return stored(_cholesky(moments), "estimate", groups)
 
 
 def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """Robust centre, covariance factor and log determinant of each language and source."""
     found = stored(_cholesky(_start(vectors)), "estimate")
+    groups = found.count()
     for _ in range(steps):
-        found = _concentrate(vectors, found)
+        found = _concentrate(vectors, found, groups)
     return found
 
 
