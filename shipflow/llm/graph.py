@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from shipflow.session import stored
 
+# Tables of numbers and hashes: they hardly compress, and reading many small files of them needs no native buffers.
+PLAIN = {"compression": "uncompressed"}
+
 
 def _to_least(links: DataFrame, larger_only: bool) -> DataFrame:
     """Each link (u, v) moved to the least of u and its neighbours.
@@ -31,9 +34,10 @@ def components(links: DataFrame) -> DataFrame:
     aggregation and one join; a hub's links are joined, never gathered.
     """
     ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    current = stored(ends.filter("u > v").distinct(), "links")
+    rows = links.count()  # no round has more links
+    current = stored(ends.filter("u > v").distinct(), "links", rows, **PLAIN)
     while True:
-        after = stored(_to_least(_to_least(current, True), False), "links")
+        after = stored(_to_least(_to_least(current, True), False), "links", rows, **PLAIN)
         # stars: no node that hangs on another has something hanging on it
         inner = after.join(after.select(F.col("v").alias("x")).distinct(), F.col("u") == F.col("x"), "left_semi")
         several = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")

@@ -8,26 +8,29 @@ Pairs that meet in a list often enough to reach T are then searched: short lists
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import partial
-from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipflow.llm import text as T
-from shipflow.llm.graph import components
-from shipflow.session import stored
+from shipflow.llm.graph import PLAIN, components
+from shipflow.session import ROWS_PER_FILE, stored
 
 SHINGLE = 5
 PERCENT = 80
 SHARED_DOCUMENTS = 64  # a shingle is long from so many documents on, as far as blocks show them together
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 BITS = 1 << 24  # of a bitmap that tells tasks of shingles or sets; its size does not depend on the data
-ROUNDS = 3
+ROUNDS = 2
+MU = 1.0  # weight of long lists in DivideSkip
+GROUP_SETS = 64  # sets that pivots connect, beyond which they are searched by blocks instead of as pairs
+BLOCK_SETS = 256
+SETS_PER_FILE = 4_000
 
 
 # ---- sets of shingles
@@ -123,16 +126,12 @@ def _scan(shingle: int, percent: int, long_ones, batches: Iterator[pa.RecordBatc
 
 
 def _wanted(shingle: int, wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole sets of the documents that a bitmap of set identities names."""
+    """The whole sets of the rows whose key a bitmap names."""
     bitmap = wanted.value
     for batch in batches:
-        for _, sets in _sets(batch["text"], shingle):
-            found = []
-            for values in sets:
-                if len(values):
-                    own, _ = _identity(values)
-                    if _has(bitmap, np.array([own], np.int64).view(np.uint64))[0]:
-                        found.append((own, values.tobytes()))
+        asked = batch.filter(pa.array(_has(bitmap, np.asarray(batch["key"], np.int64).view(np.uint64))))
+        for _, sets in _sets(asked["text"], shingle):
+            found = [(_identity(values)[0], values.tobytes()) for values in sets if len(values)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["set_id", "shingles"])
 
@@ -140,62 +139,85 @@ def _wanted(shingle: int, wanted, batches: Iterator[pa.RecordBatch]) -> Iterator
 # ---- the search inside a task
 
 
-def needed_overlap(n: int, m: int, percent: int) -> int:
-    """Least overlap of sets of these sizes with 100 * overlap >= percent * union."""
-    return -(-percent * (n + m) // (100 + percent))
+class Lists:
+    """Inverted lists of some records: shingle -> the records that have it."""
 
+    def __init__(self, records: list[np.ndarray]):
+        self.records = records
+        self.sizes = np.array([len(record) for record in records], np.int64)
+        values = np.concatenate(records)
+        owner = np.repeat(np.arange(len(records)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.shingles, first = np.unique(values[order], return_index=True)
+        self.bounds = np.append(first, len(values))
+        self.owners = owner[order]
 
-def t_occurrence(query: np.ndarray, records: list[np.ndarray], percent: int) -> list[int]:
-    """Overlaps of the query with those records that reach their needed overlap, else -1.
+    def search(self, query: np.ndarray, percent: int) -> dict[int, int]:
+        """Records that reach the overlap needed with the query, and their overlap.
 
-    DivideSkip: of the query's inverted lists over the records the longest are set aside, fewer than the least
-    needed overlap T; a record must be in T less their number of the others. Those are merged by a heap, and only
-    the records that reach that are looked up in the long ones by binary search.
-    """
-    result = [-1] * len(records)
-    sizes = [len(record) for record in records]
-    fitting = [i for i, size in enumerate(sizes) if 100 * min(size, len(query)) >= percent * max(size, len(query))]
-    if not fitting:
-        return result
-    least = min(needed_overlap(len(query), sizes[i], percent) for i in fitting)
-    owner = np.repeat(fitting, [sizes[i] for i in fitting])
-    values = np.concatenate([records[i] for i in fitting])
-    place = np.minimum(np.searchsorted(query, values), len(query) - 1)
-    hit = query[place] == values
-    place, owner = place[hit], owner[hit]
-    order = np.lexsort((owner, place))
-    place, owner = place[order], owner[order]
-    bounds = np.searchsorted(place, np.arange(len(query) + 1))
-    lists = sorted((owner[a:b] for a, b in zip(bounds, bounds[1:]) if b > a), key=len)
-    longest = min(least - 1, int(least / (0.01 * np.log2(max(2, len(fitting))) + 1)), len(lists))
-    short, long_ones = lists[: len(lists) - longest], lists[len(lists) - longest :]
-    for record, run in groupby(heapq.merge(*[part.tolist() for part in short])):
-        count = sum(1 for _ in run)
-        if count >= least - longest:
-            for part in long_ones:
-                at = int(np.searchsorted(part, record))
-                count += at < len(part) and part[at] == record
-            if count >= needed_overlap(len(query), sizes[record], percent):
-                result[record] = count
-    return result
+        DivideSkip: of the query's lists the longest are set aside, L of them, fewer than the least needed overlap T;
+        a record must be in T - L of the others. Those are merged (counted as arrays, which is faster than a heap of
+        Python integers), and only records that reach that are looked up in the long ones by binary search. L is
+        T / (MU * log2 of the longest list + 1).
+        """
+        fitting = 100 * np.minimum(self.sizes, len(query)) >= percent * np.maximum(self.sizes, len(query))
+        if not fitting.any():
+            return {}
+        needed = -(-percent * (len(query) + self.sizes) // (100 + percent))
+        least = int(needed[fitting].min())
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        lengths = self.bounds[at + 1] - self.bounds[at]
+        by_length = at[np.argsort(lengths, kind="stable")]
+        if not len(at):
+            return {}
+        aside = min(least - 1, int(least / (MU * np.log2(max(2, int(lengths.max()))) + 1)))
+        short, long_ones = by_length[: max(0, len(at) - aside)], by_length[max(0, len(at) - aside) :]
+        starts, lengths = self.bounds[short], self.bounds[short + 1] - self.bounds[short]
+        places = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        counts = np.bincount(self.owners[places.astype(np.int64)], minlength=len(self.records))
+        probes = np.sort(self.shingles[long_ones])
+        found = {}
+        for record in np.flatnonzero(fitting & (counts >= least - len(long_ones)) & (counts >= needed - len(long_ones))):
+            own = self.records[record]
+            near = np.minimum(np.searchsorted(own, probes), len(own) - 1)
+            overlap = int(counts[record]) + int((own[near] == probes).sum())
+            if overlap >= needed[record]:
+                found[int(record)] = overlap
+        return found
 
 
 def _searched(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their sets, sorted by query, those that link: a, b."""
+    """Of pairs with their sets, those that link: a, b. Pairs of a query that are in a batch are one search."""
     for batch in batches:
-        a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-        first = 0
+        by_query: dict[int, list[int]] = {}
+        for i, a in enumerate(batch["a"].to_pylist()):
+            by_query.setdefault(a, []).append(i)
         linked = []
-        while first < len(a):
-            last = first
-            while last < len(a) and a[last] == a[first]:
-                last += 1
-            query = np.frombuffer(batch["query"][first].as_buffer(), np.uint64)
-            records = [np.frombuffer(batch["record"][i].as_buffer(), np.uint64) for i in range(first, last)]
-            linked += [first + i for i, overlap in enumerate(t_occurrence(query, records, percent)) if overlap >= 0]
-            first = last
+        for own in by_query.values():
+            query = np.frombuffer(batch["query"][own[0]].as_buffer(), np.uint64)
+            records = Lists([np.frombuffer(batch["record"][i].as_buffer(), np.uint64) for i in own])
+            linked += [own[i] for i in records.search(query, percent)]
         if linked:
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in linked], pa.int64()), pa.array([b[i] for i in linked], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch[name].take(pa.array(linked)) for name in ("a", "b")], ["a", "b"])
+
+
+def _within(percent: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the sets of two blocks of a group; of those between two components, one."""
+    sets = [np.frombuffer(value, np.uint64) for value in rows["shingles"]]
+    labels, ids, blocks = rows["label"].to_numpy(), rows["set_id"].to_numpy(), rows["block"].to_numpy()
+    low, high = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    queries, records = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    seen, found = set(), []
+    if len(queries) and len(records):
+        lists = Lists([sets[k] for k in records])
+        for q in queries:
+            for k in lists.search(sets[q], percent):
+                between = (labels[q], labels[records[k]])
+                if between[0] != between[1] and between not in seen:
+                    seen.add(between)
+                    found.append((ids[q], ids[records[k]]))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 # ---- the join
@@ -209,6 +231,8 @@ class Join:
         self.shingle, self.percent = shingle, percent
         T.small_batches(self.spark)
         self.texts = T.needed(docs, "doc_id", "text")
+        self.rows = 0  # entries of the inverted lists; tables of sets and pairs are about as long at most
+        self.speaking: DataFrame | None = None  # set_id, key: the hash of a doc_id that has the set
         self.id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def _broadcast(self, bitmap: np.ndarray):
@@ -220,14 +244,19 @@ class Join:
         long_ones = together.groupBy("hash").agg(F.sum("times").alias("times")).filter(F.col("times") >= SHARED_DOCUMENTS)
         bitmap = self._broadcast(_bitmap(long_ones, "hash"))
         schema = f"doc_id {self.id_type}, set_id long, check_id long, n long, prefix array<long>"
-        return stored(self.texts.mapInArrow(partial(_scan, self.shingle, self.percent, bitmap), schema), "shingles")
+        return stored(self.texts.mapInArrow(partial(_scan, self.shingle, self.percent, bitmap), schema), "shingles", **PLAIN)
 
     def lists(self, documents: DataFrame) -> DataFrame:
         """Inverted lists of two sets or more: shingle, set_id, n, stored. Copies are one entry."""
         rows = documents.select("set_id", "n", F.explode("prefix").alias("shingle"))
         several = rows.groupBy("shingle").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
         several = several.filter("low <> high").select("shingle")
-        return stored(rows.join(several, "shingle").distinct(), "lists")
+        found = stored(rows.join(several, "shingle").distinct(), "lists", **PLAIN)
+        self.rows = found.count()
+        return found
+
+    def _fit(self, n: str, m: str):
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
     def enough(self, met: DataFrame) -> DataFrame:
         """Pairs (a, b, n_a, n_b, met) whose sizes and meetings allow the needed overlap.
@@ -238,30 +267,64 @@ class Join:
         p = F.lit(self.percent)
         least = F.ceil(p * (F.col("n_a") + F.col("n_b")) / (100 + p))
         rest = lambda n: F.ceil(p * F.col(n) / 100) - 1  # noqa: E731  what a set has after its prefix
-        fit = 100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
-        return met.filter(fit & (F.col("met") + F.greatest(rest("n_a"), rest("n_b")) >= least))
+        return met.filter(self._fit("n_a", "n_b") & (F.col("met") + F.greatest(rest("n_a"), rest("n_b")) >= least))
+
+    def sets(self, ends: DataFrame) -> DataFrame:
+        """set_id, shingles of the sets named, stored; their documents are read again."""
+        ends = stored(ends.select("set_id").distinct(), "ends", self.rows, **PLAIN)
+        # one document speaks for a set; its key tells tasks to read its text
+        keys = self.speaking.join(ends, "set_id", "left_semi")
+        wanted = self._broadcast(_bitmap(keys, "key"))
+        keyed = self.texts.select("text", F.xxhash64("doc_id").alias("key"))
+        sets = keyed.mapInArrow(partial(_wanted, self.shingle, wanted), "set_id long, shingles binary")
+        # strangers that share a bit, or a doc_id, are dropped before sets travel further
+        sets = sets.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+        return stored(sets, "sets", ends.count() * ROWS_PER_FILE // SETS_PER_FILE, **PLAIN)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, stored."""
-        pairs = stored(pairs.select("a", "b"), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        wanted = self._broadcast(_bitmap(ends, "set_id"))
-        sets = self.texts.select("text").mapInArrow(partial(_wanted, self.shingle, wanted), "set_id long, shingles binary")
-        # copies and strangers that share a bit are dropped before sets travel further
-        sets = stored(sets.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
+        pairs = stored(pairs.select("a", "b"), "pairs", self.rows, **PLAIN)
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
         records = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("record"))
         queries = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("query"))
-        both = pairs.join(records, "b").join(queries, "a")
-        return stored(both.select("a", "b", "query", "record").mapInArrow(partial(_searched, self.percent), "a long, b long"), "linked")
+        both = pairs.join(records, "b").join(queries, "a").select("a", "b", "query", "record")
+        return stored(both.mapInArrow(partial(_searched, self.percent), "a long, b long"), "linked", self.rows, **PLAIN)
+
+    def groups(self, entries: DataFrame, tried: DataFrame) -> DataFrame:
+        """set_id, label, group, members: sets that pivots connect, where they are many and of several components.
+
+        tried: the pairs of sets and pivots, linked or not.
+        """
+        homes = components(tried).select(F.col("node").alias("set_id"), F.col("component").alias("group"))
+        homes = entries.select("set_id", "label").distinct().join(homes, "set_id")
+        sizes = homes.groupBy("group").agg(
+            F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most")
+        )
+        large = sizes.filter((F.col("members") > GROUP_SETS) & (F.col("least") != F.col("most"))).select("group", "members")
+        return stored(homes.join(large, "group"), "groups", self.rows, **PLAIN)
+
+    def linked_within(self, groups: DataFrame) -> DataFrame:
+        """Links between components inside each group: every block of its sets is searched against every other.
+
+        A set travels once per block of its group, and pairs are never rows.
+        """
+        blocks = F.ceil(F.col("members") / BLOCK_SETS).cast("int")
+        placed = groups.withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        rows = placed.join(self.sets(groups), "set_id").select("group", "i", "j", "block", "set_id", "label", "shingles")
+        found = rows.groupBy("group", "i", "j").applyInPandas(partial(_within, self.percent), "a long, b long")
+        return stored(found, "linked", self.rows, **PLAIN)
 
     def links(self, lists: DataFrame) -> DataFrame:
         """Links that connect all linked sets: a, b.
 
         Rounds with pivots: in each list the least set of each other component is a pivot; every set is searched
         against the pivot it meets most. Groups of near copies become one component in a few rounds, with one pair
-        per set. Then all pairs of sets in different components that meet often enough are searched.
+        per set. Then all pairs of sets in different components that meet often enough are searched, and within
+        large groups that pivots connect all blocks of sets.
         """
-        found = self.spark.createDataFrame([], "a long, b long")
+        found = tried = self.spark.createDataFrame([], "a long, b long")
         for _ in range(ROUNDS):
             entries = self._labelled(lists, found)
             if entries is None:
@@ -274,21 +337,33 @@ class Join:
             pivot = F.when(F.col("one.label") == F.col("label"), F.col("other.pivot")).otherwise(F.col("one.pivot"))
             met = entries.join(two, "shingle").select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), pivot.alias("p"))
             met = met.groupBy(F.col("p.set_id").alias("a"), "b", F.col("p.n").alias("n_a"), "n_b").agg(F.count("*").alias("met"))
-            best = self.enough(met).groupBy("b").agg(F.max_by(F.struct("a"), F.struct("met", -F.col("a"))).alias("best"))
-            fresh = self.linked(best.select(F.col("best.a").alias("a"), "b"))
+            # a set near another meets pivots of several lists: together they tell whether there can be one of its size
+            best = met.filter(self._fit("n_a", "n_b")).groupBy("b", "n_b").agg(
+                F.max_by(F.struct("a"), F.struct("met", -F.col("a"))).alias("best"), F.sum("met").alias("met")
+            )
+            best = self.enough(best.withColumn("n_a", F.col("n_b")))
+            best = stored(best.select(F.col("best.a").alias("a"), "b"), "best", self.rows, **PLAIN)
+            tried = tried.unionByName(best)
+            fresh = self.linked(best)
             if fresh.isEmpty():
                 break
-            found = stored(found.unionByName(fresh), "links")
+            found = stored(found.unionByName(fresh), "links", self.rows, **PLAIN)
         entries = self._labelled(lists, found)
         if entries is None:
             return found
-        left = entries.select("shingle", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        right = entries.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+        groups = self.groups(entries, stored(tried, "tried", self.rows, **PLAIN))
+        entries = entries.join(groups.select("set_id", "group"), "set_id", "left")
+        side = lambda x: entries.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "label", "group")])
         p = self.percent
-        fit = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+        fit = (F.col("set_id_a") < F.col("set_id_b")) & (F.col("label_a") != F.col("label_b"))
         fit = fit & (100 * F.col("n_a") >= p * F.col("n_b")) & (100 * F.col("n_b") >= p * F.col("n_a"))
-        met = left.join(right, "shingle").filter(fit).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("met"))
-        return stored(found.unionByName(self.linked(self.enough(met))), "links")
+        fit = fit & ~F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False))
+        met = side("a").join(side("b"), "shingle").filter(fit).groupBy("set_id_a", "set_id_b", "n_a", "n_b")
+        met = met.agg(F.count("*").alias("met")).withColumnsRenamed({"set_id_a": "a", "set_id_b": "b"})
+        found = found.unionByName(self.linked(self.enough(met)))
+        if not groups.isEmpty():
+            found = found.unionByName(self.linked_within(groups))
+        return stored(found, "links", self.rows, **PLAIN)
 
     def _labelled(self, lists: DataFrame, found: DataFrame) -> DataFrame | None:
         """Entries of lists that still have two components or more, with the component as label."""
@@ -298,7 +373,7 @@ class Join:
             labels = components(found).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
             entries = lists.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         open_lists = entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        entries = stored(entries.join(open_lists.filter("low <> high").select("shingle"), "shingle"), "entries")
+        entries = stored(entries.join(open_lists.filter("low <> high").select("shingle"), "shingle"), "entries", self.rows, **PLAIN)
         return None if entries.isEmpty() else entries
 
 
@@ -312,8 +387,9 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """
     join = Join(docs, shingle, percent)
     documents = join.documents()
+    join.speaking = stored(documents.filter("n > 0").groupBy("set_id").agg(F.min(F.xxhash64("doc_id")).alias("key")), "speaking", **PLAIN)
     found = join.links(join.lists(documents))
-    labels = stored(components(found), "labels").select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    labels = stored(components(found), "labels", **PLAIN).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
     sets = documents.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"))
     sets = sets.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     lowest = sets.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -331,7 +407,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     keys = [F.col("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2")]
     joined = ngram_join(docs.select(F.struct(*keys).alias("doc_id"), "text"), shingle, percent)
     staying = joined.filter(F.col("doc_id") == F.col("component_id"))
-    staying = stored(staying.select("doc_id.*").distinct().withColumnRenamed("doc_id", "of_doc"), "staying")
+    staying = stored(staying.select("doc_id.*").distinct().withColumnRenamed("doc_id", "of_doc"), "staying", **PLAIN)
     rows = docs.select(F.struct(*[docs[name] for name in docs.columns]).alias("_row"), *keys)
     same = (rows["h1"] == staying["h1"]) & (rows["h2"] == staying["h2"]) & rows["doc_id"].eqNullSafe(staying["of_doc"])
     return rows.join(staying, same, "left_semi").dropDuplicates(["h1", "h2", "doc_id"]).select("_row.*")

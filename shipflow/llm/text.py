@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]++"
-SLICE_BYTES = 2 * 1024 * 1024  # bytes of text worked on at a time; a longer text is worked on alone
+SLICE_BYTES = 1024 * 1024  # bytes of text worked on at a time; a longer text is worked on alone
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -134,8 +134,8 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 def small_batches(spark: SparkSession) -> None:
     """Rows here are whole texts: hand them to Python some hundreds at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 256:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
 def needed(frame: DataFrame, *names: str) -> DataFrame:

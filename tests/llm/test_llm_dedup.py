@@ -170,15 +170,37 @@ def test_chains_and_shared_passages(spark, multiset, monkeypatch, shared):
     assert Counter(row.component_id for row in result).most_common(1)[0][1] > 5
 
 
-def test_t_occurrence():
+@pytest.mark.parametrize("mu", [1.0, 0.01, 100.0])
+def test_t_occurrence(monkeypatch, mu):
+    monkeypatch.setattr(ngram_join, "MU", mu)
     chance = np.random.default_rng(2)
     common = chance.integers(0, 2**63, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate((chance.choice(common, 300, replace=False), chance.integers(0, 2**63, k).astype(np.uint64)))) for k in range(0, 200, 7)]
     sets += [sets[0], sets[3][:250], np.array([5], np.uint64)]
+    lists = ngram_join.Lists(sets)
     for query in sets:
-        for record, overlap in zip(sets, ngram_join.t_occurrence(query, sets, 60)):
+        want = {}
+        for i, record in enumerate(sets):
             both = len(np.intersect1d(query, record))
-            assert overlap == (both if 100 * both >= 60 * (len(query) + len(record) - both) else -1)
+            if 100 * both >= 60 * (len(query) + len(record) - both):
+                want[i] = both
+        assert lists.search(query, 60) == want
+    assert lists.search(np.array([7], np.uint64), 60) == {}
+
+
+def test_dense_groups_are_searched_by_blocks(spark, multiset, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    chance = np.random.default_rng(6)
+    rows = []
+    for i in range(60):  # edits of one text, some near each other and some not
+        words = [f"w{k}" for k in range(120)]
+        for k in chance.choice(120, int(chance.integers(0, 6)), replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert multiset(ngram_join.ngram_join(docs).collect()) == multiset(_near(rows))
 
 
 def test_one_of_each(documents, corpus, no_documents):
