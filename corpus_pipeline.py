@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipflow.llm import line_dedup, mixing, ngram_join, packing, quality
 from shipflow.llm.ship import ship
-from shipflow.session import prepare, stored
+from shipflow.session import discard, prepare, recorded, stored
+
+
+_spent: list[str] = []  # tables that the stages before have stored; their results are written when the next begins
+
+
+def _stage(function):
+    """A stage that begins by deleting what the one before it has stored, and notes what it stores itself."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(_spent)
+        with recorded() as paths:
+            result = function(spark, docs, sf_dir)
+        _spent.extend(paths)
+        return result
+
+    return run_stage
 
 
 def _counted(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -16,27 +35,32 @@ def _counted(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules or are outliers of their language and source go."""
     return quality.good_documents(docs)
 
 
+@_stage
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing is left."""
     return _counted(line_dedup.without_repeated_lines(docs), docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     ship(spark)
     return ngram_join.one_of_each(docs)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the one at a source's budget cut."""
     return _counted(mixing.mixed_documents(docs), docs)
 
 
+@_stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in packed sequences."""
     ship(spark)
@@ -57,7 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is stored and read by the next."""
+    """All stages over documents; each one's result is stored and read by the next.
+
+    The result is to be written or collected before stages run again: they delete what the last run has stored.
+    """
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
