@@ -16,7 +16,7 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 # What may be an identifier of no known form: a run of such characters with a digit or an at sign.
 CANDIDATE = r"(?<![A-Za-z0-9@+:._%/-])[A-Za-z+:._%/-]*+[0-9@][A-Za-z0-9@+:._%/-]*+"

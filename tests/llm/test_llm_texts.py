@@ -67,6 +67,14 @@ def test_base_spans(spark, documents, corpus, multiset):
     assert pii.personal_data(documents).count() == len(corpus)
 
 
+def test_addresses_with_zero_parts(spark, multiset):
+    texts = ["10.0.0.1 192.168.0.1 127.0.0.1", "255.255.255.0 and 0.0.0.0 or 1.00.2.3", "10.0.0.256 0300.1.1.1 000.0255.00.1", "0" * 3000 + ".0.0.300"]
+    rows = list(enumerate(texts))
+    result = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert multiset(row[:6] for row in result) == multiset(_expected_base(*row) for row in rows)
+    assert sorted((row.doc_id, row.n_ip) for row in result) == [(0, 3), (1, 3), (2, 1), (3, 0)]
+
+
 def test_contexts_find_more(spark):
     rows = [(i, f"please write to mailbox: user{i}@host{i}.org or visit room {i}") for i in range(8)]
     rows += [(100, "please write to mailbox: carol@localhost or go"), (101, "room 4711 is at carol@elsewhere now")]
