@@ -20,6 +20,16 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 # What may be an identifier of no known form: a run of such characters with a digit or an at sign.
 CANDIDATE = r"(?<![A-Za-z0-9@+:._%/-])[A-Za-z+:._%/-]*+[0-9@][A-Za-z0-9@+:._%/-]*+"
+# Identifiers of several words: digits in groups with a blank or a bracket between them, and spelled addresses.
+DIGIT_GROUP = r"[0-9]++(?:[./-][0-9]++)*+(?![A-Za-z0-9@%_+/:])"
+BEFORE_WORD, AFTER_WORD = r"(?:\x20?[(\[{<]\x20?|[\x20_-])", r"(?:\x20?[)\]}>]\x20?|[\x20_-])"
+AT, DOT = (rf"{BEFORE_WORD}(?i:{word}){AFTER_WORD}" for word in ("at", "dot"))
+LOCAL_WORD = r"[A-Za-z0-9.%+]++(?:[_-](?!(?i:at|dot)[_-])[A-Za-z0-9.%+]++)*+"
+HOST_WORD = r"[A-Za-z0-9]++(?:[_-](?!(?i:dot)[_-])[A-Za-z0-9]++)*+"
+RUNS = {
+    "digits": rf"(?<![A-Za-z0-9@+:._%/-])\+?\(?{DIGIT_GROUP}(?:(?:\)[\x20-]?|\x20\(?|\(){DIGIT_GROUP})++",
+    "spelled": rf"(?<![A-Za-z0-9._%+-]){LOCAL_WORD}(?:{DOT}{LOCAL_WORD}){{0,7}}+{AT}{HOST_WORD}(?:{DOT}{HOST_WORD})++",
+}
 SHAPES = {
     "email": r"@|(?i)[^a-z]at[^a-z].*[^a-z]dot[^a-z]",
     "ip": r"^[0-9a-fA-F]*[.:][0-9a-fA-F.:]*[.:][0-9a-fA-F.:]*$",
@@ -74,10 +84,17 @@ def scan(docs: DataFrame) -> DataFrame:
         _found(text, "card", FORMS["card"], digit),
         _found(text, "phone", FORMS["phone"], F.contains(text, F.lit("+")) & digit),
         _found(text, "", CANDIDATE, digit | at),
+        _found(text, "digits", RUNS["digits"], digit),
+        _found(text, "spelled", RUNS["spelled"], text.rlike("(?i)dot")),
     ]
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"], F.concat(*parts).alias("found")), "found")
 
 
+def _fitting(value: Column) -> Column:
+    """The kinds whose shape a value has."""
+    return F.array_compact(F.array(*[F.when(value.rlike(SHAPES[kind]), F.lit(kind)) for kind in KINDS]))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -92,7 +109,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def mentions(scanned: DataFrame) -> DataFrame:
-    """row, kind ('' for candidates), value, begin, end, patterns: valid matches, and candidates apart from them."""
+    """row, kind ('' for candidates), value, begin, end, patterns: valid matches, and candidates apart from them.
+
+    A word inside a run of several is a candidate of its own only if it has the shape of an identifier by itself.
+    """
     cells = scanned.select("row", F.inline("found"))
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     passed = F.coalesce(F.sum(F.col("gap") + F.length("value")).over(before), F.lit(0))
@@ -104,6 +124,7 @@ def mentions(scanned: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "ip", F.col("value").rlike(VALID_IP))
         .when(F.col("kind") == "card", digits.between(14, 19) & _luhn(_digits(F.col("value"))))
         .when(F.col("kind") == "phone", digits.between(10, 15))
+        .when(F.col("kind").isin(*RUNS), F.size(_fitting(F.lower("value"))) > 0)
         .otherwise(True)
     )
     left, right = F.col("left"), F.col("right")
@@ -114,11 +135,17 @@ def mentions(scanned: DataFrame) -> DataFrame:
     )
     placed = placed.filter(valid).select("row", "kind", "value", "begin", "end", patterns.alias("patterns"))
     # a candidate that touches a valid match is no candidate
-    by_place = Window.partitionBy("row").orderBy("begin", F.col("kind") == "")
-    known_end = F.max(F.when(F.col("kind") != "", F.col("end"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    known_begin = F.min(F.when(F.col("kind") != "", F.col("begin"))).over(by_place.rowsBetween(1, Window.unboundedFollowing))
+    known, run = F.col("kind").isin(*KINDS), F.col("kind").isin(*RUNS)
+    by_place = Window.partitionBy("row").orderBy("begin", F.when(known, 0).when(run, 1).otherwise(2))
+    before, after = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(1, Window.unboundedFollowing)
+    known_end, known_begin = F.max(F.when(known, F.col("end"))).over(before), F.min(F.when(known, F.col("begin"))).over(after)
     apart = (F.coalesce(known_end, F.lit(0)) <= F.col("begin")) & (F.coalesce(known_begin, F.col("end")) >= F.col("end"))
-    marked = placed.withColumn("apart", (F.col("kind") != "") | apart).filter("apart").drop("apart")
+    marked = placed.withColumn("apart", known | apart).filter("apart").drop("apart")
+    run_end = F.coalesce(F.max(F.when(run, F.col("end"))).over(before), F.lit(0))
+    same = F.coalesce(F.max(F.when(run, F.struct("begin", "end"))).over(before) == F.struct("begin", "end"), F.lit(False))
+    alone = (run_end < F.col("end")) | (~same & (F.size(_fitting(F.lower("value"))) > 0))
+    marked = marked.withColumn("alone", known | run | alone).filter("alone").drop("alone")
+    marked = marked.withColumn("kind", F.when(run, "").otherwise(F.col("kind")))
     return stored(marked, "mentions")
 
 
@@ -133,8 +160,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     edges = found.select(F.explode("patterns").alias("pattern"), value, "kind").distinct()
     edges = stored(edges, "edges")
     totals = edges.groupBy("pattern").agg(F.count_distinct("value").alias("total"))
-    fits = F.array(*[F.when(F.col("value").rlike(SHAPES[kind]), F.lit(kind)) for kind in KINDS])
-    candidates = edges.filter("kind = ''").select("pattern", "value").withColumn("kind", F.explode(F.array_compact(fits)))
+    candidates = edges.filter("kind = ''").select("pattern", "value").withColumn("kind", F.explode(_fitting(F.col("value"))))
     candidates = stored(candidates, "candidates")
     seeds = edges.filter("kind <> ''").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
     reached = None
@@ -168,13 +194,16 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Base spans are the valid matches of each form in the whole text, in code points, end exclusive; base_sha256 is the
     digest of them. spans also has the n_found ones that contexts discovered; those never touch a base span. A null
-    or empty text has none. Repeated rows are rows of their own, but their values count once in the graph.
+    or empty text has none. Of discovered ones inside one another the longest stays. Repeated rows are rows of their own, but their values count once in the graph.
     """
     frame = T.needed(docs, "doc_id", "text")
     scanned = scan(frame)
     found = mentions(scanned)
     reached = discover(found, rounds).withColumnsRenamed({"value": "_value", "kind": "_kind"})
     more = found.filter("kind = ''").join(reached, F.lower("value") == F.col("_value"))
+    # of reached candidates inside one another the longest stays
+    outer_end = F.max("end").over(Window.partitionBy("row").orderBy("begin", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    more = more.withColumn("_outer", F.coalesce(outer_end, F.lit(0))).filter(F.col("_outer") < F.col("end"))
     base = found.filter("kind <> ''").select("row", "kind", "begin", "end", F.lit(True).alias("base"))
     spans = base.unionByName(more.select("row", F.col("_kind").alias("kind"), "begin", "end", F.lit(False).alias("base")))
     order = F.element_at(F.create_map(*[x for i, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(i))]), F.col("kind"))

@@ -86,6 +86,22 @@ def test_contexts_find_more(spark):
     assert result[3].n_found == 0
 
 
+def test_contexts_find_runs_of_words(spark):
+    texts = [f"please call +1 (386) 555-37{i:02d} now or write to mailbox: user{i}@host{i}.org today" for i in range(30)]
+    hidden = ["555 123 4567", "(555) 123-4567", "030 12345678", "(0)30 1234 5678", "5551234567"]
+    hidden += ["john at host dot org", "john-at-host-dot-org", "jane (at) host [dot] org", "a dot b at c dot d DOT e", "x_y_at_z_dot_com"]
+    kinds = ["phone"] * 5 + ["email"] * 5
+    odd = [f"please {'call' if kind == 'phone' else 'write to mailbox:'} {value} now" for value, kind in zip(hidden, kinds)]
+    odd += ["in 555 123 4568 rows", "look at that dot there", "(555) 12th at 555 1st"]
+    rows = list(enumerate(texts + odd))
+    result = {row.doc_id: row for row in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, text), value, kind in zip(rows[30:], hidden, kinds):
+        begin = text.index(value)
+        assert (value, result[i].spans) == (value, f"{kind}:{begin}:{begin + len(value)}")
+    assert [result[i].n_found for i in range(40, 43)] == [0, 0, 0]
+    assert [(result[i].n_phone, result[i].n_email, result[i].n_found) for i in range(30)] == [(1, 1, 0)] * 30
+
+
 def test_personal_data_of_nothing(no_documents):
     assert pii.personal_data(no_documents).count() == 0
 
