@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 from shipflow.llm import text as T
 from shipflow.session import stored
 
-# A candidate is a longest run of such characters, of 12 or more, with a digit.
+# A candidate is a longest run of such characters, of 12 or more, with a digit; and any value of a secret-like name.
 CHARACTERS = "A-Za-z0-9+/_.@%-"
 CANDIDATE = rf"(?<![{CHARACTERS}])(?=[A-Za-z+/_.@%-]*+[0-9])[{CHARACTERS}]{{12,}}+"
 CONTEXT_CHARACTERS = 48
 SECRET_NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
 ASSIGNED = rf"{SECRET_NAMES}[A-Za-z0-9_-]*[\x20\x09]*[=:][\x20\x09]*[\"']?$"
+# Values assigned to a name or following one, quoted or up to a blank. Each form is what leads to the value, and it.
+SIGN = r"[\"']?[\x20\x09]*+(?:(?:is|was|are)[\x20\x09]*+)?(?:=>|->|[=:]{1,2})[\x20\x09]*+(?:(?:bearer|basic|token)[\x20\x09]++)?"
+NAMED = rf"{SECRET_NAMES}[A-Za-z0-9_-]*+{SIGN}"
+FOLLOWED = rf"(?<![A-Za-z]){SECRET_NAMES}s?(?:[0-9_-][A-Za-z0-9_-]*+)?[\x20\x09]++(?:(?:is|was|are)[\x20\x09]++)?+"
+PLAIN = rf"(?!{NAMED})[^\x20\x09-\x0D\"'](?:(?![&;,][A-Za-z0-9_-]++[=:])(?:[^\x20\x09-\x0D\"']|[\"'](?=[^\x20\x09-\x0D\"',;)}}\]])))*+"
+VALUE = rf"(?:\"(?:[^\"\\\n]|\\.)++\"|'(?:[^'\\\n]|\\.)++'|[\"']?{PLAIN})"
+VALUE_FORMS = {
+    NAMED: rf"{NAMED}{VALUE}",
+    FOLLOWED: rf"{FOLLOWED}(?!(?:is|was|are)?[\x20\x09]*+(?:[=:]|->)|{SECRET_NAMES}s?[\x20\x09]){VALUE}",
+}
 KEY_FORMS = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk-[A-Za-z0-9_-]{20,}$"
 # What a candidate is instead of a secret: an address, a host or file name, a number.
 OTHER_FORMS = r"@[A-Za-z0-9-]+\.|^(?:[A-Za-z0-9-]+\.)+[a-z]{2,4}$|^[0-9.+%/-]+$|/.*\.[a-z]{2,4}$"
@@ -33,33 +43,53 @@ def _share(value: Column, characters: str) -> Column:
     return F.regexp_count(value, F.lit(f"[{characters}]")) / F.length(value)
 
 
+def _value(rest: Column, lead: Column) -> Column:
+    """A value without its closing quote, or without the marks of the sentence around it."""
+    marks = F.when(rest.rlike(r"[(\[{<]"), F.regexp_replace(rest, r"[,;.]+$", "")).otherwise(F.regexp_replace(rest, r"[,;.)\]}>]+$", ""))
+    closed = lead.rlike("[\"']$") & (F.right(rest, F.lit(1)) == F.right(lead, F.lit(1)))
+    return F.when(closed, F.left(rest, F.length(rest) - 1)).otherwise(marks)
+
+
+def _found(text: Column, form: int, pattern: str, leading: str | None = None) -> Column:
+    """Matches of a pattern as structs; the value is what comes after the leading part."""
+    pair = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("wholes"))
+
+    def cell(p: Column, whole: Column, i: Column) -> Column:
+        lead = F.regexp_extract(whole, rf"^(?:{leading})[\"']?", 0) if leading else F.lit("")
+        rest = F.substr(whole, F.length(lead) + 1)
+        value = _value(rest, lead) if leading else whole
+        tail = F.substr(rest, F.length(value) + 1)
+        return F.struct(
+            F.lit(form).alias("form"),
+            i.alias("i"),
+            F.length(F.get(p["gaps"], i)).alias("gap"),
+            F.length(whole).alias("whole"),
+            F.length(lead).alias("lead"),
+            value.alias("value"),
+            F.right(F.concat(F.get(p["gaps"], i), lead), F.lit(CONTEXT_CHARACTERS)).alias("left"),
+            F.left(F.concat(tail, F.get(p["gaps"], i + 1)), F.lit(CONTEXT_CHARACTERS)).alias("right"),
+        )
+
+    return F.transform(F.array(pair), lambda p: F.transform(p["wholes"], lambda whole, i: cell(p, whole, i)))[0]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, begin, end, value, left, right: every candidate of each whole text.
+    """doc_id, source, begin, end, value, left, right: every candidate of each whole text, each span once.
 
-    left and right are the text next to it, up to the candidates beside it and 48 characters at most.
+    left and right are the text next to it, up to the candidates of its form beside it and 48 characters at most. The
+    value of a name may hold candidates that are runs; it does not replace them.
     """
     text = F.coalesce(docs["text"], F.lit(""))
-    pair = F.struct(F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"))
-
-    def cells(p: Column) -> Column:
-        return F.transform(
-            p["values"],
-            lambda value, i: F.struct(
-                i.alias("i"),
-                F.length(F.get(p["gaps"], i)).alias("gap"),
-                value.alias("value"),
-                F.right(F.get(p["gaps"], i), F.lit(CONTEXT_CHARACTERS)).alias("left"),
-                F.left(F.get(p["gaps"], i + 1), F.lit(CONTEXT_CHARACTERS)).alias("right"),
-            ),
-        )
-
-    found = docs.filter(text.rlike("[0-9]")).select("doc_id", "source", F.transform(F.array(pair), cells)[0].alias("found"))
+    runs, named = _found(text, 0, CANDIDATE), text.rlike(SECRET_NAMES)
+    values = [_found(text, form, pattern, leading) for form, (leading, pattern) in enumerate(VALUE_FORMS.items(), 1)]
+    found = docs.filter(text.rlike("[0-9]") | named).select("doc_id", "source", F.when(named, F.concat(runs, *values)).otherwise(runs).alias("found"))
     found = found.filter(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())
     rows = stored(found, "found").select("row", "doc_id", "source", F.inline("found"))
-    before = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.col("gap") + F.length("value")).over(before), F.lit(0)) + F.col("gap")
-    placed = rows.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("value"))
-    return placed.select("doc_id", "source", "begin", "end", "value", "left", "right")
+    before = Window.partitionBy("row", "form").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.col("gap") + F.col("whole")).over(before), F.lit(0)) + F.col("gap") + F.col("lead")
+    placed = rows.withColumn("begin", begin).withColumn("end", F.col("begin") + F.length("value")).filter("value <> ''")
+    copy = F.row_number().over(Window.partitionBy("row", "begin", "end").orderBy("form"))
+    return placed.withColumn("copy", copy).filter("copy = 1").select("doc_id", "source", "begin", "end", "value", "left", "right")
 
 
 def dictionary(docs: DataFrame, least_documents: int = DICTIONARY_DOCUMENTS) -> DataFrame:
@@ -104,10 +134,17 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 def label() -> Column:
     """1 for findings whose form or assignment confirms them, 0 for what is something else, else null.
 
-    Something else is what has another known form, or consists of dictionary words for the most part.
+    Something else is what has another known form, or consists of dictionary words for the most part. Of assigned values
+    that are no runs, those of 6 characters or more with a digit and a letter, or not mostly of words, are confirmed;
+    words without a digit are something else; the others (short ones, numbers, addresses) have no label.
     """
-    confirmed = F.col("value").rlike(KEY_FORMS) | F.col("left").rlike(ASSIGNED)
-    return F.when(confirmed, 1.0).when(F.col("value").rlike(OTHER_FORMS) | (F.col("f_covered") >= 0.5), 0.0)
+    value, assigned = F.col("value"), F.col("left").rlike(ASSIGNED)
+    run = value.rlike(rf"^(?=[^0-9]*+[0-9])[{CHARACTERS}]{{12,}}+$")
+    words, other, digit = F.col("f_covered") >= 0.5, value.rlike(OTHER_FORMS) | value.rlike("://"), value.rlike("[0-9]")
+    likely = (F.length(value) >= 6) & ~other & ~value.rlike(r"[\x20\x09]") & (~words | (digit & value.rlike("[A-Za-z]")))
+    confirmed = value.rlike(KEY_FORMS) | (assigned & (run | likely))
+    unknown = assigned & ~(words & ~digit)
+    return F.when(confirmed, 1.0).when(unknown, F.lit(None)).when(value.rlike(OTHER_FORMS) | words, 0.0)
 
 
 def _assembled(rows: DataFrame) -> DataFrame:

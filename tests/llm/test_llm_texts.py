@@ -197,6 +197,32 @@ def test_forest_on_held_out_findings(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_values_of_names_are_candidates(spark):
+    texts = {
+        "user password=hunter2, pwd: S3cr3t!9 or token=AbCdEfGhIjKlMnOpQrSt.": ["hunter2", "S3cr3t!9", "AbCdEfGhIjKlMnOpQrSt"],
+        'say {"api_key": "a b#c~d", "x": 1} and secret => \'q\'': ["a b#c~d", "q"],
+        "password is tr0ub4dor&3 (passwd ab(c)d)": ["tr0ub4dor&3", "ab(c)d)"],
+        "auth: token=abc&secret=d$e=f;x Authorization: Bearer zyx": ["abc", "d$e=f;x", "zyx"],
+        "the secret token xyz!": ["xyz!"],
+        'password="open end\npassword=é#ü日': ["open", "é#ü日"],
+        "password= token:\nnothing": [],
+        "password=abcdefgh12345$678": ["abcdefgh12345", "abcdefgh12345$678"],
+    }
+    docs = spark.createDataFrame([(i, text, None) for i, text in enumerate(texts)], "doc_id long, text string, source string")
+    found = defaultdict(list)
+    for row in secrets.scan_secrets(docs).orderBy("doc_id", "begin", "end").collect():
+        assert list(texts)[row.doc_id][row.begin : row.end] == row.value
+        found[row.doc_id].append(row.value)
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_forest_keeps_short_values(spark):
+    text = "password=hunter2, pwd: S3cr3t!9 or token=AbCdEfGhIjKlMnOpQrSt here"
+    docs = _with_secrets(spark, 0, 60).unionByName(spark.createDataFrame([(9999, text, "src0")], "doc_id long, text string, source string"))
+    judged = secrets.scan_secrets(docs).filter("doc_id = 9999").collect()
+    assert sorted(row.value for row in judged if row.is_secret) == ["AbCdEfGhIjKlMnOpQrSt", "S3cr3t!9", "hunter2"]
+
+
 def test_secret_spans_and_odd_tables(spark, documents, corpus, no_documents):
     docs = _with_secrets(spark, 0, 5)
     texts = defaultdict(list)
