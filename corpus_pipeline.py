@@ -43,8 +43,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and documents of which nothing is left."""
-    return _counted(line_dedup.without_repeated_lines(docs), docs)
+    """Later copies of repeated line runs and of long lines go, and documents of which nothing is left."""
+    return _counted(line_dedup.without_repeated_lines(docs, least_words=line_dedup.LEAST_WORDS), docs)
 
 
 @_stage

@@ -10,6 +10,7 @@ from shipflow.llm.ranks import ranked
 from shipflow.session import stored
 
 LEAST_LINES = 2
+LEAST_WORDS = 50  # for callers that let a line of so many words be a run by itself
 PLACE = ["order_id", "row", "line"]
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -96,11 +97,20 @@ def runs(found: list[DataFrame], least_lines: int = LEAST_LINES) -> DataFrame |
     )
 
 
-def deduplicated(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
+def long_copies(rows: DataFrame, found: list[DataFrame], least_words: int) -> DataFrame:
+    """row, line of the lines with so many words that occur earlier."""
+    later = found[0].filter((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))).select("row", "line")
+    cells = F.filter(F.split(F.coalesce("_row.text", F.lit("")), "\n"), lambda line: line.rlike(HAS_WORD))
+    words = F.transform(cells, lambda line: F.regexp_count(line, F.lit(T.WORD)))
+    long = rows.select("row", F.posexplode(words).alias("line", "words")).filter(F.col("words") >= least_words).select("row", "line")
+    return later.join(long, ["row", "line"])
+
+
+def deduplicated(docs: DataFrame, least_lines: int = LEAST_LINES, least_words: int | None = None) -> DataFrame:
     """_row (with text cut), n_lines, n_removed, n_runs, longest_run: one row per row of docs.
 
     Lines are compared whole; lines without a word take no part and stay. Of all occurrences of a run of at least
-    least_lines lines, the first by (doc_id, row) stays, null doc_ids first; each line of a later one goes. Rows that
+    least_lines lines (with least_words: or of one line with so many words), the first by (doc_id, row) stays, null doc_ids first; each line of a later one goes. Rows that
     share a doc_id are ordered by their position in the table. What stays is joined as it was, by line ends; a null
     text stays null, a text without repeated runs stays as it is.
     """
@@ -112,6 +122,9 @@ def deduplicated(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     if copied is not None:
         # runs of a row may overlap; a line is removed once
         covered = copied.select("row", "run", "lines", F.explode(F.sequence("line", (F.col("line") + F.col("lines") - 1).cast("int"))).alias("line"))
+        if least_words is not None:
+            alone = long_copies(rows, found, least_words).join(covered.select("row", "line"), ["row", "line"], "left_anti")
+            covered = covered.unionByName(alone.select("row", (-1 - F.col("line")).alias("run"), F.lit(1).alias("lines"), "line"))
         places = lines.select("row", "line", "place").join(covered, ["row", "line"])
         removed_of_row = places.groupBy("row").agg(
             F.collect_set("place").alias("removed"), F.count_distinct("run").alias("n_runs"), F.max("lines").alias("longest_run")

@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from shipflow.llm import embeddings, line_dedup, ngram_join, substrings
 from shipflow.llm.graph import components
 
@@ -112,6 +113,21 @@ def test_maximal_runs(spark):
     ]
 
 
+def test_long_lines_are_runs(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    texts = [f"a\n{long}\nb\n{short}", f"c\n{long}\n{short}\nd", long, f"b\n{short}\n{long}\ne\n{long}", short, f" {long}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = line_dedup.without_repeated_lines(docs, least_words=line_dedup.LEAST_WORDS).orderBy("doc_id").collect()
+    assert [tuple(row) for row in left] == [(0, texts[0]), (1, f"c\n{short}\nd"), (3, "e"), (4, short), (5, texts[5])]
+    figures = line_dedup.line_dedup(docs, least_words=50).orderBy("doc_id").collect()
+    assert [(row.n_removed, row.n_runs, row.longest_run) for row in figures] == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (4, 3, 2), (0, 0, 0), (0, 0, 0)]
+    assert [row.n_removed for row in line_dedup.line_dedup(docs).orderBy("doc_id").collect()] == [0, 0, 0, 2, 0, 0]
+    stage = dict(corpus_pipeline.STAGES)["line_runs"]
+    kept = stage(spark, docs.selectExpr("doc_id", "text", "length(text) AS n_chars"), "").orderBy("doc_id").collect()
+    assert [(row.doc_id, row.text) for row in kept] == [tuple(row) for row in left]
+    assert all(row.n_chars == len(row.text) for row in kept)
+
+
 def test_line_runs_of_nothing(spark, no_documents):
     assert line_dedup.line_dedup(no_documents).count() == 0
     unique = spark.createDataFrame([(1, "a\nb"), (2, "c")], "doc_id long, text string")
