@@ -85,7 +85,64 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+EXACT = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
+placed AS (
+  SELECT doc_id, sha256(text) AS text_sha256, first_value(doc_id) OVER same AS keep_id,
+    count(*) OVER (PARTITION BY text) AS group_size, row_number() OVER same AS place
+  FROM texts WINDOW same AS (PARTITION BY text ORDER BY doc_id NULLS LAST))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, text_sha256 FROM placed
+"""
+
+# The checksum of a word goes over its bytes by a table, which eight steps make for each byte value.
+IMPORTANCE = r"""
+WITH steps AS (
+  SELECT byte, list_reduce(range(8), lambda value, bit:
+    CASE WHEN value & 1 = 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END, byte) AS value
+  FROM (SELECT unnest(range(256)) AS byte)),
+crc_table AS (SELECT list(value ORDER BY byte) AS cells FROM steps),
+sides AS (
+  SELECT doc_id, text, FALSE AS aim FROM documents UNION ALL SELECT item_id, text, TRUE FROM benchmark),
+words AS (
+  SELECT doc_id, aim, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM sides),
+cells AS (SELECT doc_id, aim, unnest(words) AS word FROM words),
+codes AS (
+  SELECT word, list_transform(range(strlen(word)), lambda i:
+    CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT word FROM cells)),
+buckets AS (
+  SELECT word, xor(list_reduce(bytes, lambda crc, byte:
+    xor(cells[(xor(crc, byte) & 255) + 1], crc >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM codes, crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t
+  FROM cells JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000)
+    / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM counts),
+weights AS (
+  SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM cells JOIN buckets USING (word) JOIN gains USING (bucket) WHERE NOT aim GROUP BY doc_id),
+scored AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || w.doc_id), 1, 8) AS BIGINT) + 0.5e0)
+      / 4294967296e0))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weights g ON w.doc_id = g.doc_id WHERE NOT aim),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible
+  FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * eligible // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_exact_dedup": EXACT,
+    "op13_resampling": IMPORTANCE,
     "op5_substrings": SUBSTRINGS,
     "op8_line_dedup": LINES,
     "op7_mixing": MIXING,

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipflow.llm import embeddings, line_dedup, mixing, ngram_join, packing, pii, quality, secrets, substrings, warc
+from shipflow.llm import (
+    embeddings,
+    exact_dedup,
+    importance,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    periodic,
+    pii,
+    quality,
+    secrets,
+    substrings,
+    warc,
+)
 from shipflow.llm.oracles import ORACLES as ORACLES
 from shipflow.llm.ship import ship
 from shipflow.session import prepare
@@ -74,3 +88,18 @@ def op9_secrets(spark, sf_dir):
 @query
 def op10_embedding_dedup(spark, sf_dir):
     return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.figures(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

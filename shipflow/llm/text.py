@@ -6,11 +6,13 @@ A word is a longest run of characters other than the six ASCII white-space chara
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]++"
 SLICE_BYTES = 1024 * 1024  # bytes of text worked on at a time; a longer text is worked on alone
@@ -144,3 +146,36 @@ def needed(frame: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return frame.select(*[frame[name] for name in names])
+
+
+BATCH_ROWS, BATCH_BYTES = 256, 4 * 1024 * 1024
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Within the block, Python gets whole texts in batches bounded by rows and by bytes; then settings are as before.
+
+    Only plans that run within the block are affected, so a job that reads texts has to be started there.
+    """
+    bounds = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    }
+    before = {name: spark.conf.get(name) for name in bounds}
+    try:
+        for name, value in bounds.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def columns_of(frame: DataFrame, *names: str) -> DataFrame:
+    """The named columns by their exact names, also beside others that differ in case only; an absent one is an error."""
+    fields = frame.schema.fieldNames()
+    missing = [name for name in names if name not in fields]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    places = [fields.index(name) for name in names]
+    return frame.toDF(*[f"_{i}" for i in range(len(fields))]).select(*[F.col(f"_{i}").alias(name) for i, name in zip(places, names)])
