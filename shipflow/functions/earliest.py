@@ -27,6 +27,10 @@ class Earliest:
             for name in self.attributes
         ]
 
+    def merges(self) -> list[Column]:
+        """The same states for groups of rows that hold states already."""
+        return [F.min(name).alias(name) for name in ["_whole", *[f"_part_{name}" for name in self.attributes]]]
+
     def value(self, name: str) -> Column:
         whole = F.col("_whole")
         from_whole = F.when(

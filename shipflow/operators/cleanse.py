@@ -83,6 +83,24 @@ def processed_events(raw: DataFrame) -> DataFrame:
     return flag_events(unique).withColumn("processed_at", F.current_timestamp())
 
 
+def checked_records(raw: DataFrame) -> DataFrame:
+    """Every record decoded and judged once: is_rejected, reject_reason, the record if rejected, the event if not.
+
+    ``record`` has the raw columns, ``event`` the payload's and the arrival order. One of the two is null, so the two
+    sides can be stored as one table without repeating a payload.
+    """
+    held = raw.select("*", F.struct(*S.RAW_COLUMNS).alias("_record"))
+    typed = type_times(decode(held, keep=["_record"])).withColumn("reject_reason", reject_reason())
+    rejected = F.col("reject_reason").isNotNull()
+    event = F.struct(*S.PAYLOAD_COLUMNS, *[F.col("_record")[name].alias(name) for name in S.ARRIVAL_ORDER])
+    return typed.select(
+        rejected.alias("is_rejected"),
+        "reject_reason",
+        F.when(rejected, F.col("_record")).alias("record"),
+        F.when(~rejected, event).alias("event"),
+    )
+
+
 def reject_summary(raw: DataFrame) -> DataFrame:
     """Rows dropped on the way to the processed layer, by reason.
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from shipflow import constants as C
 from shipflow.functions.numbers import rate
 from shipflow.operators.cleanse import first_arrivals
+from shipflow.session import own_tables, stored
+from shipflow.sources.files import Folder
 
 
 def _inline(spark: SparkSession, names: str, rows: Sequence[Sequence]) -> DataFrame:
@@ -149,6 +151,24 @@ def eligible_fleet(driver: DataFrame, vehicle: DataFrame) -> DataFrame:
     )
 
 
+def append_if_absent(spark: SparkSession, path: str, batch: DataFrame, key: str, order: Sequence[str | Column] = ()) -> int:
+    """Add the rows of the batch whose key is new to a stored dimension, and say how many; its files stay as they are.
+
+    Only the keys of the stored table are read. Of equal keys in the batch the first by ``order`` is taken, and a row
+    without a key is left out. Run again, also after a run that was cut short while it wrote, it adds what is still
+    missing and nothing twice. Two runs at the same time must not add to one path.
+    """
+    unique = first_arrivals(batch.filter(F.col(key).isNotNull()), key, order or batch.columns)
+    with own_tables():
+        if Folder(spark, path).exists():
+            unique = unique.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
+        new = stored(unique, "new-rows")
+        count = new.count()
+        if count:
+            new.write.mode("append").parquet(path)
+        return count
+
+
 def insert_if_absent(
     existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str | Column] = ()
 ) -> DataFrame:

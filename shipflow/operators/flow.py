@@ -1,10 +1,12 @@
 """The delivery flow, rebuilt from the order of the events."""
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shipflow import constants as C
 from shipflow import schemas as S
 from shipflow.functions import times
 from shipflow.functions.earliest import Earliest
@@ -60,6 +62,35 @@ def hub_path(events: DataFrame, **limits) -> DataFrame:
     )
 
 
+def status_conformance(events: DataFrame, order: Sequence[str] = S.EVENT_ORDER, **limits) -> DataFrame:
+    """Each event against the status order: expected, skipped, repeated, backward or unknown.
+
+    The state of a shipment is the furthest status it has reached, none at first. A status moves the state to itself
+    if it lies further; then it is expected if it is the next one, and skips those between otherwise. The status of
+    the state is repeated, one before it is backward, and neither moves the state. A status outside the order is
+    unknown and changes nothing. As a move keeps the further of two statuses, the moves of a piece of a long shipment
+    add up to one: to the furthest status in it.
+    """
+    groups = sequence.cut_groups(_ordered(events, "event_status"), KEY, order, **limits)
+    rank = F.array_position(F.array(*[F.lit(status) for status in C.STATUSES]), F.col("event_status"))
+    known = F.when(rank > 0, rank)
+    stepped = sequence.with_highest_before(groups, known, "_furthest").rows
+    furthest = F.coalesce("_furthest", F.lit(0))
+    return stepped.select(
+        KEY,
+        "event_id",
+        "event_status",
+        F.get(F.array(*[F.lit(status) for status in C.STATUSES]), F.col("_furthest").cast("int") - 1).alias("furthest_status"),
+        F.when(known.isNull(), "unknown")
+        .when(rank == furthest + 1, "expected")
+        .when(rank > furthest, "skipped")
+        .when(rank == furthest, "repeated")
+        .otherwise("backward")
+        .alias("conformance"),
+        F.coalesce(F.greatest(known - furthest - 1, F.lit(0)), F.lit(0)).cast("int").alias("skipped_statuses"),
+    )
+
+
 def current_status(events: DataFrame, key: str = KEY) -> DataFrame:
     """Last status of each shipment (or dispatch), in event order."""
     last = F.max(F.struct(*S.EVENT_ORDER, "event_status"))

@@ -11,6 +11,7 @@ Every bucket function is monotone, so ranks carry over exactly. The counts are c
 side, so a value held by most rows is one row per task.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,3 +92,37 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ((F.min("value") + F.max("value")) / 2).alias("median")
     )
     return middle.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
+
+
+RANK_ERROR = 1e-4
+
+
+def approximate_medians(df: DataFrame, columns: Sequence[str], rank_error: float = RANK_ERROR) -> DataFrame:
+    """One row with a value of each column whose rank is within ``rank_error`` times the number of values of the middle.
+
+    One pass: each task sums its values up in a sketch of at most a few times 1 / rank_error of them, and sketches
+    merge. Nulls and NaN are skipped, no values gives null. Reruns may give another value within the bound, as the
+    sketches merge in the order in which tasks end.
+    """
+    accuracy = math.ceil(1 / rank_error)
+    numbers = [F.when(~F.isnan(name), F.col(name)) for name in columns]
+    return df.agg(*[F.percentile_approx(number, 0.5, accuracy).alias(name) for number, name in zip(numbers, columns)])
+
+
+def rank_errors(df: DataFrame, guesses: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, value_count, rank_error: how far the ranks of values are from the middle, as a share of the values.
+
+    ``guesses`` has one row. Equal values hold a stretch of ranks, and the nearest of it counts.
+    """
+    known = guesses.select(F.struct(*columns)).scalar()
+    parts = []
+    for name in columns:
+        number = F.when(~F.isnan(name), F.col(name))
+        parts += [F.count_if(number < known[name]), F.count_if(number <= known[name]), F.count(number)]
+    counts = df.agg(F.array(*parts).alias("counts"))
+    rows = [F.struct(F.lit(name).alias("column_name"), F.slice("counts", 3 * i + 1, 3).alias("c")) for i, name in enumerate(columns)]
+    below, upto, whole = (F.get("c", F.lit(i)) for i in range(3))
+    away = F.greatest(below - whole / 2, whole / 2 - upto, F.lit(0.0))
+    return counts.select(F.inline(F.array(*rows))).select(
+        "column_name", whole.alias("value_count"), F.try_divide(away, whole).alias("rank_error")
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shipflow import schemas as S
 from shipflow.functions import labels, times
 from shipflow.functions.numbers import clamp, number_or, round_even, to_number
-from shipflow.operators.medians import medians
+from shipflow.operators.medians import approximate_medians, medians
 from shipflow.operators.quality import require_columns
 
 CONGESTION = ("traffic_congestion_level", "weather_severity", "hub_congestion_level")
@@ -46,19 +46,20 @@ def limit_signals(typed: DataFrame) -> DataFrame:
     )
 
 
-def impute(typed: DataFrame) -> DataFrame:
-    """Missing costs and lead times become the median of the column."""
-    middle = medians(typed, IMPUTED).select(F.struct(*IMPUTED)).scalar()
+def impute(typed: DataFrame, rank_error: float | None = None) -> DataFrame:
+    """Missing costs and lead times become the median of the column: the exact one, or one within a rank error."""
+    found = medians(typed, IMPUTED) if rank_error is None else approximate_medians(typed, IMPUTED, rank_error)
+    middle = found.select(F.struct(*IMPUTED)).scalar()
     return typed.withColumns({name: F.coalesce(F.col(name), middle[name]) for name in IMPUTED})
 
 
-def clean_reference(typed: DataFrame) -> DataFrame:
+def clean_reference(typed: DataFrame, rank_error: float | None = None) -> DataFrame:
     """The cleaned file, 15 columns, from ``type_reference``.
 
-    Store the typed columns first: then the text is parsed once, and the passes for the medians read
+    With ``rank_error`` the medians come from a sketch in one pass instead of three exact ones. Store the typed columns first: then the text is parsed once, and the passes for the medians read
     two columns only.
     """
-    return limit_signals(impute(typed)).select(S.REFERENCE_CLEAN.fieldNames())
+    return limit_signals(impute(typed, rank_error)).select(S.REFERENCE_CLEAN.fieldNames())
 
 
 def with_defaults(clean_text: DataFrame, defaults: dict[str, float]) -> DataFrame:

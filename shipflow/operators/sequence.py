@@ -124,3 +124,17 @@ def with_position(groups: Groups, name: str) -> Groups:
             .drop("_offset")
         )
     return replace(groups, rows=rows)
+
+
+def with_highest_before(groups: Groups, value: Column, name: str) -> Groups:
+    """Add ``name``: the greatest ``value`` among the rows before in the group, null if there is none."""
+    rows = groups.rows.withColumn(name, F.max(value).over(groups.window().rowsBetween(Window.unboundedPreceding, -1)))
+    if groups.has_pieces:
+        before = groups.across_pieces().rowsBetween(Window.unboundedPreceding, -1)
+        carried = groups.pieces(F.max(value).alias("_highest")).withColumn("_carried", F.max("_highest").over(before))
+        rows = (
+            rows.join(carried.drop("_highest"), groups.unit, "left")
+            .withColumn(name, F.greatest(name, "_carried"))
+            .drop("_carried")
+        )
+    return replace(groups, rows=rows)

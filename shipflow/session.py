@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
@@ -62,18 +63,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/shipflow/{name}-{uuid.uuid4().hex}"
 
 
-_recording: list[list[str]] = []
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths of tables that are stored within the block."""
+    """The paths of tables that are stored within the block, by the thread that runs it; blocks can be nested."""
     paths: list[str] = []
-    _recording.append(paths)
+    outer = _recorders.set((*_recorders.get(), paths))
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recorders.reset(outer)
 
 
 def discard(paths: list[str]) -> None:
@@ -85,6 +86,16 @@ def discard(paths: list[str]) -> None:
             files.delete_dir(place)
 
 
+@contextmanager
+def own_tables() -> Iterator[None]:
+    """For work that is done when the block ends: the tables stored within it are deleted then, also if it fails."""
+    with recorded() as paths:
+        try:
+            yield
+        finally:
+            discard(paths)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back; ``options`` are the writer's.
 
@@ -95,7 +106,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None, **options: str) ->
     a lost executor and keep column pruning.
     """
     path = shared_path(df.sparkSession, name)
-    for paths in _recording:
+    for paths in _recorders.get():
         paths.append(path)
     if rows is not None:
         df = df.repartition(max(1, -(-rows // ROWS_PER_FILE)))

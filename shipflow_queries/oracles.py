@@ -344,6 +344,36 @@ def all_sql() -> dict[str, str]:
         ),
         "raw_envelope": _with(SOURCE, RAW_SELECT),
         "stream_raw_ingest": _with(SOURCE, RAW_SELECT),
+        "raw_compacted": _with(SOURCE, RAW_SELECT),
+        "offset_gaps": _with(
+            """records AS (
+              SELECT 'activity' AS kafka_topic, CAST(CASE WHEN event_id % 10 < 8 THEN 0 ELSE event_id % 10 - 7 END AS INTEGER)
+                  AS kafka_partition,
+                CASE WHEN event_id % 10 < 8 THEN event_id // 10 * 8 + event_id % 10 ELSE event_id // 10 END AS kafka_offset,
+                ts AS seen_at
+              FROM events WHERE event_id % 97 NOT BETWEEN 5 AND 9),
+            stepped AS (
+              SELECT *, lag(kafka_offset) OVER w AS offset_before, lag(seen_at) OVER w AS seen_before FROM records
+              WINDOW w AS (PARTITION BY kafka_topic, kafka_partition ORDER BY kafka_offset))""",
+            """SELECT kafka_topic, kafka_partition, coalesce(offset_before, -1) + 1 AS first_missing,
+              kafka_offset - 1 AS last_missing, kafka_offset - coalesce(offset_before, -1) - 1 AS missing_count, seen_before,
+              seen_at AS seen_after
+            FROM stepped WHERE kafka_offset - coalesce(offset_before, -1) > 1""",
+        ),
+        "rejected_records": _with(
+            SOURCE,
+            f"""SELECT * EXCLUDE (fault), CASE WHEN fault IN (0, 1) THEN 'MISSING_EVENT_ID' WHEN fault = 4 THEN 'MISSING_EVENT_STATUS'
+                ELSE 'INVALID_EVENT_TIMESTAMP' END AS reject_reason
+              FROM ({RAW_SELECT.replace("fault <> 0 AS is_json", "fault <> 0 AS is_json, fault")})
+              WHERE fault IN (0, 1, 2, 4)""",
+        ),
+        "record_balance": _with(
+            FROM_TOPIC,
+            """SELECT (SELECT count(*) FROM source) AS raw_count,
+              (SELECT count(*) FROM source WHERE fault IN (0, 1, 2, 4)) AS rejected_count,
+              (SELECT count(*) - count(DISTINCT event_id) FROM usable) AS duplicates_count,
+              (SELECT count(DISTINCT event_id) FROM usable) AS kept_count""",
+        ),
         "json_decode": _with(SOURCE, f"SELECT {DECODED} FROM source"),
         "stream_late_routing": """SELECT CASE WHEN event_id % 9 <> 0 THEN CAST(ts AS DATE) END AS event_date,
             count(*) AS row_count, count(*) FILTER (WHERE event_id % 9 <> 0
@@ -366,6 +396,7 @@ def all_sql() -> dict[str, str]:
               is_arrived_hub, is_out_for_delivery, is_delivered, is_exception, is_event_delayed FROM processed""",
         ),
         "shipment_metrics": _with(METRICS, "SELECT * FROM metrics"),
+        "shipment_metrics_incremental": _with(METRICS, "SELECT * FROM metrics"),
         "shipment_first_attrs": _with(METRICS, f"SELECT shipment_id, {FIRST_ATTRS} FROM metrics"),
         "shipment_risk_modes": _with(
             EVENTS,
@@ -417,6 +448,11 @@ def all_sql() -> dict[str, str]:
             """SELECT driver_id, driver_name, region_id, license_type,
               CASE WHEN i <= 200 THEN 'REST' ELSE driver_status END AS driver_status FROM driver_dim""",
         ),
+        "dim_append": _with(
+            DIMENSIONS,
+            """SELECT driver_id, driver_name, region_id, license_type,
+              CASE WHEN i <= 200 THEN 'REST' ELSE driver_status END AS driver_status FROM driver_dim""",
+        ),
         "fk_violations": _with(
             f"{DIMENSIONS}, {SHIPMENTS}, known_driver AS (SELECT * FROM driver_dim WHERE i % 50 <> 0)",
             "\nUNION ALL ".join(
@@ -536,6 +572,32 @@ def all_sql() -> dict[str, str]:
             """SELECT shipment_id, max_by(event_status, event_sequence) AS current_status,
               max_by(event_timestamp, event_sequence) AS status_at FROM processed GROUP BY shipment_id""",
         ),
+        "current_status_stream": _with(
+            FROM_TOPIC,
+            """SELECT shipment_id,
+              last(event_status ORDER BY event_sequence NULLS FIRST, event_timestamp, event_id) AS current_status,
+              last(event_timestamp ORDER BY event_sequence NULLS FIRST, event_timestamp, event_id) AS status_at
+            FROM processed GROUP BY shipment_id""",
+        ),
+        "status_conformance": _with(
+            f"""{EVENTS},
+            statuses(status, rank) AS (VALUES {", ".join(f"('{status}', {i})" for i, status in enumerate(C.STATUSES, 1))}),
+            untidy AS (
+              SELECT shipment_id, event_id, event_timestamp, event_sequence, CASE weather_severity
+                WHEN 3 THEN (SELECT status FROM statuses WHERE rank = greatest(event_sequence - 1, 1))
+                WHEN 5 THEN 'LOST' ELSE event_status END AS event_status
+              FROM processed),
+            placed AS (
+              SELECT u.*, rank, max(rank) OVER (PARTITION BY shipment_id ORDER BY event_timestamp, event_sequence, event_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest
+              FROM untidy u LEFT JOIN statuses s ON s.status = u.event_status)""",
+            """SELECT shipment_id, event_id, event_status, s.status AS furthest_status,
+              CASE WHEN p.rank IS NULL THEN 'unknown' WHEN p.rank = coalesce(furthest, 0) + 1 THEN 'expected'
+                WHEN p.rank > coalesce(furthest, 0) THEN 'skipped' WHEN p.rank = furthest THEN 'repeated'
+                ELSE 'backward' END AS conformance,
+              CAST(coalesce(greatest(p.rank - coalesce(furthest, 0) - 1, 0), 0) AS INTEGER) AS skipped_statuses
+            FROM placed p LEFT JOIN statuses s ON s.rank = p.furthest""",
+        ),
         "shipment_table": _with(SHIPMENTS, "SELECT * FROM shipments"),
         "dispatch_table": _with(SHIPMENTS, "SELECT * FROM dispatches"),
         "lane_weights": _with(
@@ -639,6 +701,13 @@ def all_sql() -> dict[str, str]:
               {_rate(DELAYED, 'count(*)')} FROM processed GROUP BY event_hour""",
         ),
         "refdata_clean": _with(REFERENCE, "SELECT * FROM clean"),
+        "refdata_clean_approx": _with(
+            REFERENCE,
+            """SELECT 'shipping_costs' AS column_name, count(costs) AS value_count, true AS within_bound,
+              (SELECT count(*) FILTER (WHERE shipping_costs IS NULL) FROM clean) AS null_count FROM typed
+            UNION ALL SELECT 'lead_time_days', count(lead_days), true,
+              (SELECT count(*) FILTER (WHERE lead_time_days IS NULL) FROM clean) FROM typed""",
+        ),
         "refdata_roundtrip": _with(REFERENCE, "SELECT * FROM clean"),
         "refdata_risk_normalized": _with(
             REFERENCE,
@@ -654,6 +723,7 @@ def all_sql() -> dict[str, str]:
         "batch_region_delay": _with(f"{FROM_TOPIC},\n{REGION_TABLE}", "SELECT * FROM mart"),
         "batch_hub_performance": _with(f"{FROM_TOPIC},\n{HUB_TABLE}", "SELECT * FROM mart"),
         "batch_risk_summary": _with(FROM_TOPIC, RISK_SELECT),
+        "batch_bounded": _with(FROM_TOPIC, "SELECT * FROM processed"),
         "batch_tables": _with(
             FROM_TOPIC,
             "\nUNION ALL ".join(

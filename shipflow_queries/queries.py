@@ -1,21 +1,25 @@
 """Registered queries: (spark, sf_dir) -> DataFrame over the whole test tables."""
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shipflow import schemas as S
-from shipflow.operators import cleanse, dims, flow, kpi, lanes, marts, metrics, quality, refdata
-from shipflow.plans import batch
+from shipflow.operators import cleanse, dims, flow, kpi, lanes, marts, medians, metrics, offsets, quality, refdata
+from shipflow.plans import batch, checked, incremental
 from shipflow.session import shared_path, stored
-from shipflow.sources import layers, reference_csv, topic
-from shipflow.streaming import ingest
+from shipflow.sources import compaction, layers, reference_csv, topic
+from shipflow.streaming import ingest, status
 from shipflow_queries import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+SLICES = ((date(2024, 1, 1), date(2024, 1, 10)), (date(2024, 1, 11), date(2024, 1, 20)), (date(2024, 1, 21), date(9999, 1, 1)))
+LATE_DAYS = (date(2024, 1, 10), date(2024, 1, 12))
+APPROXIMATION = 0.001  # rank error of medians
 DECIMALS = 9  # of compared means: sums of doubles differ in the last bits with the order of rows
 
 
@@ -90,6 +94,27 @@ def stream_late_routing(spark, sf_dir):
     )
 
 
+@query
+def raw_compacted(spark, sf_dir):
+    """The raw layer through two compactions, between which the stream goes on."""
+    arrivals, raw, checkpoint = (shared_path(spark, name) for name in ("arrivals", "raw", "checkpoint"))
+    records = stored(tables.envelope(spark, sf_dir), "records")
+    compacted = compaction.CompactedRaw(spark, raw, shared_path(spark, "compacted"))
+    for half in range(2):
+        of_half = records.filter(F.pmod(F.xxhash64("offset"), F.lit(2)) == half)
+        of_half.repartition(3).write.mode("append").parquet(arrivals)
+        stream = topic.file_stream(spark, arrivals, max_files=1)
+        ingest.ingest(stream, raw, checkpoint, ingest.UNTIL_CAUGHT_UP).awaitTermination()
+        compacted.compact()
+    layer = compacted.read().withColumn("is_json", _is_json(F.col("raw_payload")))
+    return layer.drop("raw_payload", "ingested_at")
+
+
+@query
+def offset_gaps(spark, sf_dir):
+    return offsets.offset_gaps(tables.lossy_records(spark, sf_dir), first_offset=0)
+
+
 # ---- processed layer
 
 
@@ -117,6 +142,28 @@ def reject_summary(spark, sf_dir):
     return cleanse.reject_summary(ingest.to_raw(tables.envelope(spark, sf_dir)))
 
 
+def _checked(spark, sf_dir) -> tuple[str, checked.Balance]:
+    path = shared_path(spark, "checked")
+    raw = ingest.to_raw(tables.envelope(spark, sf_dir))
+    return path, checked.build_checked(spark, raw, path, shared_path(spark, "processed"))
+
+
+@query
+def rejected_records(spark, sf_dir):
+    path, _ = _checked(spark, sf_dir)
+    rejected = checked.rejected_records(spark, path).withColumn("is_json", _is_json(F.col("raw_payload")))
+    return rejected.drop("raw_payload", "ingested_at")
+
+
+@query
+def record_balance(spark, sf_dir):
+    """Where the records went, by the counts observed while they were written."""
+    _, balance = _checked(spark, sf_dir)
+    balance.check()
+    counts = {"raw": balance.raw, "rejected": balance.rejected, "duplicates": balance.duplicates, "kept": balance.kept}
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(f"{name}_count") for name, n in counts.items()])
+
+
 @query
 def event_flags(spark, sf_dir):
     flags = [name for name in S.PROCESSED.fieldNames() if name.startswith("is_")]
@@ -131,6 +178,15 @@ def shipment_metrics(spark, sf_dir):
     return _compared(metrics.shipment_metrics(tables.processed(spark, sf_dir)))
 
 
+@query
+def shipment_metrics_incremental(spark, sf_dir):
+    """Three slices of days, each added to the states of those before; the last metrics of each shipment."""
+    events, path = stored(tables.processed(spark, sf_dir), "events"), shared_path(spark, "incremental")
+    for number, (first, last) in enumerate(SLICES):
+        incremental.add_events(events.filter(F.col("event_date").between(first, last)), path, number)
+    return _compared(incremental.current_metrics(spark, path))
+
+
 @query
 def shipment_first_attrs(spark, sf_dir):
     return metrics.shipment_first_attrs(tables.processed(spark, sf_dir))
@@ -202,6 +258,16 @@ def dim_insert_if_absent(spark, sf_dir):
     return dims.insert_if_absent(existing, batch_rows, "driver_id", ["driver_name"])
 
 
+@query
+def dim_append(spark, sf_dir):
+    """A stored dimension after the same rows were appended twice."""
+    driver, path = tables.drivers(spark, sf_dir), shared_path(spark, "driver")
+    driver.filter(F.substring("driver_id", 5, 4).cast("int") <= 200).withColumn("driver_status", F.lit("REST")).write.parquet(path)
+    for _ in range(2):
+        dims.append_if_absent(spark, path, driver, "driver_id")
+    return spark.read.schema(driver.schema).parquet(path)
+
+
 def _shipments(spark, sf_dir) -> DataFrame:
     return flow.shipment_table(tables.processed(spark, sf_dir), dims.hubs(spark))
 
@@ -288,6 +354,25 @@ def current_status(spark, sf_dir):
     return flow.current_status(tables.unique_events(spark, sf_dir))
 
 
+@query
+def current_status_stream(spark, sf_dir):
+    """The same from the faulty topic records as they arrive, over two restarts; each start finds a third of them more."""
+    arrivals, path, checkpoint = (shared_path(spark, name) for name in ("arrivals", "status", "checkpoint"))
+    records = stored(tables.envelope(spark, sf_dir), "records")
+    for third in range(3):
+        records.filter(F.pmod(F.xxhash64("offset"), F.lit(3)) == third).write.mode("append").parquet(arrivals)
+        status.follow(topic.file_stream(spark, arrivals), path, checkpoint, ingest.UNTIL_CAUGHT_UP).awaitTermination()
+    return status.current_statuses(spark, path)
+
+
+@query
+def status_conformance(spark, sf_dir):
+    """Statuses in the order of their times, some of them untidy."""
+    columns = ["shipment_id", *S.EVENT_ORDER, "event_status"]
+    events = stored(tables.untidy_statuses(tables.unique_events(spark, sf_dir)).select(*columns), "ordered-events")
+    return flow.status_conformance(events, order=("event_timestamp", "event_sequence", "event_id"))
+
+
 @query
 def shipment_table(spark, sf_dir):
     return _shipments(spark, sf_dir)
@@ -380,6 +465,20 @@ def refdata_clean(spark, sf_dir):
     return refdata.clean_reference(typed)
 
 
+@query
+def refdata_clean_approx(spark, sf_dir):
+    """Whether the sketched medians that fill the file lie within the rank error asked for, and what they fill."""
+    typed = stored(refdata.type_reference(tables.reference_text(spark, sf_dir)), "reference-typed")
+    guesses = stored(medians.approximate_medians(typed, refdata.IMPUTED, APPROXIMATION), "guesses")
+    errors = medians.rank_errors(typed, guesses, refdata.IMPUTED)
+    clean = refdata.clean_reference(typed, APPROXIMATION)
+    left = clean.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in refdata.IMPUTED])
+    left = left.unpivot([], list(refdata.IMPUTED), "column_name", "null_count")
+    return errors.join(left, "column_name").select(
+        "column_name", "value_count", (F.col("rank_error") <= APPROXIMATION).alias("within_bound"), "null_count"
+    )
+
+
 @query
 def refdata_roundtrip(spark, sf_dir):
     source, target = shared_path(spark, "reference-source"), shared_path(spark, "reference-clean")
@@ -411,6 +510,19 @@ def refdata_defaults(spark, sf_dir):
 # ---- the whole batch
 
 
+@query
+def batch_bounded(spark, sf_dir):
+    """The processed layer after half of the records of three days came late, and a run over those days only."""
+    raw_path, processed_path = shared_path(spark, "raw"), shared_path(spark, "processed")
+    raw = stored(ingest.to_raw(tables.envelope(spark, sf_dir)), "raw")
+    late = F.coalesce(F.col("event_date").between(*LATE_DAYS) & (F.pmod(F.xxhash64("kafka_offset"), F.lit(2)) == 0), F.lit(False))
+    raw.filter(~late).write.partitionBy("event_date").parquet(raw_path)
+    batch.build_processed(spark, raw_path, processed_path)
+    raw.filter(late).write.mode("append").partitionBy("event_date").parquet(raw_path)
+    batch.build_processed(spark, raw_path, processed_path, *LATE_DAYS)
+    return layers.read_processed(spark, processed_path).drop("processed_at")
+
+
 def _published(spark, sf_dir, table: str) -> DataFrame:
     """A table the batch publishes, from the faulty topic records through all layers."""
     raw, processed = shared_path(spark, "raw"), shared_path(spark, "processed")

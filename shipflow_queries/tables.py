@@ -125,7 +125,8 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     By l_partkey % 97: 0 text that is not JSON, 1 no event_id, 2 unreadable event_timestamp,
     3 text as event_sequence, 4 no event_status.
     """
-    copies = event_copies(spark, sf_dir).selectExpr(
+    # The tables are few row groups, which would leave the encoding, and the files of a stream, to as few tasks.
+    copies = event_copies(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).selectExpr(
         "* EXCEPT (event_id, event_status)",
         "IF(fault <> 1, event_id, NULL) AS event_id",
         "IF(fault <> 4, event_status, NULL) AS event_status",
@@ -162,6 +163,28 @@ def activity_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lossy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw columns of the events table as a topic of three partitions, of which one holds four fifths of the records.
+
+    Offsets have no holes but for the records that are lost: five of every 97. Some records were stored twice.
+    """
+    events = table(spark, sf_dir, "events").filter("event_id % 97 NOT BETWEEN 5 AND 9")
+    return events.selectExpr(
+        "explode(IF(event_id % 31 = 0, array(0, 60), array(0))) AS again",
+        "'activity' AS kafka_topic",
+        "CAST(IF(event_id % 10 < 8, 0, event_id % 10 - 7) AS INT) AS kafka_partition",
+        "IF(event_id % 10 < 8, event_id div 10 * 8 + event_id % 10, event_id div 10) AS kafka_offset",
+        "timestampadd(SECOND, again, CAST(ts AS TIMESTAMP)) AS kafka_timestamp",
+    ).drop("again")
+
+
+def untidy_statuses(events: DataFrame) -> DataFrame:
+    """Events of which some repeat the status before theirs, and some have one outside the order."""
+    before = f"element_at({_array(C.STATUSES)}, greatest(event_sequence - 1, 1))"
+    status = f"CASE weather_severity WHEN 3 THEN {before} WHEN 5 THEN 'LOST' ELSE event_status END"
+    return events.withColumn("event_status", F.expr(status))
+
+
 def _numbers(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(f"CAST(o_custkey % {count} + 1 AS INT) AS i").distinct()
 
