@@ -8,7 +8,8 @@ values in ever finer buckets and follow the buckets that hold the middle ranks:
 3. the values themselves within the steps kept, of which a step can hold at most 2**24.
 
 Every bucket function is monotone, so ranks carry over exactly. The counts are combined on the map
-side, so a value held by most rows is one row per task.
+side, so a value held by most rows is one row per task. Of the buckets of a pass, parts of about a thousand are
+ranked first and then the buckets of the middle parts, so a task ranks some thousands of rows.
 """
 
 import math
@@ -17,9 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shipflow.session import stored
+
 STEPS_PER_OCTAVE = 256
 OCTAVES = 1100  # more than the exponents of a double reach
 STEPS = 1 << 20
+PART = 1 << 10  # buckets or steps of a part
 
 
 def _magnitude_bucket(value: Column) -> Column:
@@ -29,12 +33,8 @@ def _magnitude_bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
 
 
-def _keep_middle(counts: DataFrame, bucket: str) -> DataFrame:
-    """Buckets per column that hold a middle rank.
-
-    ``counts`` has name, first_rank (rank of the first value that was counted), low_rank and
-    high_rank (the ranks looked for, from 0), the bucket and its n rows.
-    """
+def _around_middle(counts: DataFrame, bucket: str) -> DataFrame:
+    """Buckets that hold a middle rank, and the rank each begins with; a task sees all buckets of a column."""
     running = Window.partitionBy("name").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("first_rank", F.col("first_rank") + F.coalesce(F.sum("n").over(running), F.lit(0)))
     return ranked.filter(
@@ -42,11 +42,27 @@ def _keep_middle(counts: DataFrame, bucket: str) -> DataFrame:
     )
 
 
+def _keep_middle(counts: DataFrame, bucket: str, part: Column) -> DataFrame:
+    """Buckets per column that hold a middle rank.
+
+    ``counts`` has name, first_rank (rank of the first value that was counted), low_rank and
+    high_rank (the ranks looked for, from 0), the bucket and its n rows. ``part`` is a monotone function of the
+    bucket with far fewer values: the one or two parts around the middle are found first, then the buckets in them.
+    """
+    counts = counts.withColumn("part", part)
+    parts = counts.groupBy("name", "part", "first_rank", "low_rank", "high_rank").agg(F.sum("n").alias("n"))
+    kept = _around_middle(parts, "part")
+    start = F.min("first_rank").over(Window.partitionBy("name"))  # of at most two rows
+    starts = kept.select("name", "part", start.alias("part_rank"))
+    inside = counts.join(F.broadcast(starts), ["name", "part"]).withColumn("first_rank", F.col("part_rank"))
+    return _around_middle(inside.drop("part", "part_rank"), bucket)
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the median of each column; nulls and NaN skipped, no values gives null.
 
     With an even number of values it is the mean of the middle two. The input is read three times,
-    only these columns of it.
+    only these columns of it, by jobs that run right away; what they count is stored.
     """
     values = (
         df.select(*columns)
@@ -55,11 +71,12 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .withColumn("bucket", _magnitude_bucket(F.col("value")))
     )
 
-    whole = F.sum("n").over(Window.partitionBy("name"))
     coarse = values.groupBy("name", "bucket").agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    coarse = coarse.withColumns(
+    whole = F.col("whole")
+    coarse = stored(coarse, "bucket-counts")
+    coarse = coarse.join(F.broadcast(coarse.groupBy("name").agg(F.sum("n").alias("whole"))), "name").withColumns(
         {
             "first_rank": F.lit(0).cast("long"),
             "low_rank": F.floor((whole - 1) / 2).cast("long"),
@@ -67,7 +84,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         }
     )
     ranks = ["low_rank", "high_rank"]
-    kept = _keep_middle(coarse, "bucket")
+    kept = stored(_keep_middle(coarse, "bucket", F.floor(F.col("bucket") / PART)), "buckets")
 
     # Two columns of at most two rows each: the joins below are with a handful of rows.
     span = F.col("high") - F.col("low")
@@ -76,19 +93,25 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.broadcast(kept.select("name", "bucket", "low", "high", "first_rank", *ranks)), ["name", "bucket"]
     ).withColumn("step", F.struct("bucket", F.coalesce(step, F.lit(0)).alias("at")))
 
-    def first_of_bucket(counts: DataFrame, finer: str) -> DataFrame:
-        # The first kept bucket carries the rank at which counting starts, for all finer buckets.
-        start = F.min("first_rank").over(Window.partitionBy("name"))
-        return _keep_middle(counts.withColumn("first_rank", start), finer)
-
-    fine = stepped.groupBy("name", "step", "first_rank", *ranks).agg(F.count("*").alias("n"))
-    kept_steps = first_of_bucket(fine, "step").select("name", "step", F.col("first_rank").alias("step_rank"))
+    # The first kept bucket carries the rank at which counting starts, for all finer buckets.
+    begin = kept.groupBy("name").agg(F.min("first_rank").alias("first_rank"))
+    fine = stepped.drop("first_rank").groupBy("name", "step", *ranks).agg(F.count("*").alias("n"))
+    fine = stored(fine, "step-counts").join(F.broadcast(begin), "name")
+    part = F.struct("step.bucket", F.floor(F.col("step.at") / PART).alias("at"))
+    kept_steps = stored(_keep_middle(fine, "step", part).select("name", "step", F.col("first_rank").alias("step_rank")), "steps")
+    step_begin = kept_steps.groupBy("name").agg(F.min("step_rank").alias("first_rank"))
     exact = (
         stepped.join(F.broadcast(kept_steps), ["name", "step"])
-        .groupBy("name", "value", F.col("step_rank").alias("first_rank"), *ranks)
+        .groupBy("name", "value", *ranks)
         .agg(F.count("*").alias("n"))
     )
-    middle = first_of_bucket(exact, "value").groupBy("name").agg(
+    exact = stored(exact, "value-counts").join(F.broadcast(step_begin), "name")
+    # A step holds few values unless the data are dense down to the last bits; then its parts hold few.
+    ends = exact.groupBy("name").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    at = F.coalesce(F.floor((F.col("value") - F.col("low")) / width * PART * 4), F.lit(0))
+    exact = exact.join(F.broadcast(ends), "name")
+    middle = _keep_middle(exact, "value", at).groupBy("name").agg(
         ((F.min("value") + F.max("value")) / 2).alias("median")
     )
     return middle.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shipflow import schemas as S
+from shipflow.operators import keyfilter
+from shipflow.session import stored
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -65,11 +67,14 @@ def fk_violations(
     tables: Mapping[str, DataFrame],
     foreign_keys: Sequence[tuple[str, str, str]] = S.FOREIGN_KEYS,
     keys: Mapping[str, str] = S.PRIMARY_KEYS,
+    large_parents: bool = False,
 ) -> DataFrame:
     """Per foreign key: rows checked, rows and distinct values without a parent. Nulls pass, as in SQL.
 
     Each child is read once for all its keys and reduced to distinct values before the one join, so
-    a value held by most rows does not skew it.
+    a value held by most rows does not skew it. With ``large_parents`` the distinct values are stored, and parents
+    that cannot be among them are dropped by a Bloom filter before they are shuffled: for parents that are many
+    times what their children name.
     """
     children = []
     for child in dict.fromkeys(child for child, _, _ in foreign_keys):
@@ -93,10 +98,13 @@ def fk_violations(
             tables[parent].select(F.lit(parent).alias("parent_table"), F.col(keys[parent]).alias("value"))
             for parent in dict.fromkeys(parent for _, _, parent in foreign_keys)
         ]
-    ).distinct()
-    checked = _union(children).join(
-        known.withColumn("found", F.lit(True)), ["parent_table", "value"], "left"
     )
+    named, reference = _union(children), ["parent_table", "value"]
+    if large_parents:
+        named = stored(named, "references")
+        blocks = keyfilter.blocks_for(named.count())
+        known = keyfilter.possible(known, reference, keyfilter.key_filter(named, reference, blocks), blocks)
+    checked = named.join(known.distinct().withColumn("found", F.lit(True)), reference, "left")
     lost = F.col("found").isNull()
     return checked.groupBy("table_name", "column_name", "parent_table").agg(
         F.sum("n").alias("checked_rows"),

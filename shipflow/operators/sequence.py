@@ -5,7 +5,7 @@ therefore cut into consecutive pieces along the order; the window runs per (key,
 piece needs from the one before it is carried over from a small per-piece summary. Smaller groups
 stay whole, and if no group is larger the plan is the plain window.
 
-Input is read more than once: pass a stored layer, not a long lineage.
+Input is read more than once unless the size of the largest group is given: pass a stored layer, not a long lineage.
 """
 
 from collections.abc import Sequence
@@ -58,7 +58,12 @@ def _pivots_up_to(pivots: Column, position: Column, bits: int = 24) -> Column:
 
 
 def cut_groups(
-    df: DataFrame, key: str, order: Sequence[str], max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    max_rows: int = MAX_GROUP_ROWS,
+    sizes: DataFrame | None = None,
+    largest: int | None = None,
 ) -> Groups:
     """Cut groups of more than ``max_rows`` rows into pieces of about a quarter of that.
 
@@ -66,12 +71,22 @@ def cut_groups(
     is not random, so a recomputed task cuts alike. There is about one pivot in ``max_rows / 4`` rows
     of large groups; up to ``BROADCAST_PIVOTS`` they are broadcast, beyond that joined with a salt.
     Rows tied in the order columns are told apart by a hash of the whole row, so only rows that are
-    equal throughout stay together. Rows without a key are in no group and are left out. The sizes
-    of the groups are counted by a job right away, since they decide the plan.
+    equal throughout stay together. Rows without a key are in no group and are left out.
+
+    The sizes of the groups decide the plan, so a job looks at them right away. It counts the rows, unless ``sizes``
+    (key, rows) tells, for which a table that has been made anyway will do, such as the event counts of the shipment
+    metrics; sizes that are too high cut more than is needed. With ``largest``, the rows of the largest group at
+    most, no job runs if that is not above ``max_rows``, and the input is read once.
     """
     df = df.filter(F.col(key).isNotNull()).withColumn(TIE, F.xxhash64(*df.columns))
     order = (*order, TIE)
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_rows)
+    if largest is not None and largest <= max_rows:
+        return Groups(df, key, tuple(order), has_pieces=False)
+    if sizes is None:
+        sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    else:
+        sizes = sizes.toDF(key, "_rows")
+    sizes = sizes.filter(F.col("_rows") > max_rows)
     large = sizes.agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).first()
     if large.groups == 0:
         return Groups(df, key, tuple(order), has_pieces=False)

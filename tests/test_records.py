@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shipflow import constants as C
 from shipflow import schemas as S
-from shipflow.operators import cleanse, dims, flow, medians, offsets, refdata
+from shipflow.operators import cleanse, dims, flow, keyfilter, medians, offsets, quality, refdata
 from shipflow.plans import checked
 from shipflow.sources import compaction, layers, topic
 from shipflow.streaming import ingest
@@ -255,3 +255,63 @@ def test_the_file_is_filled_by_either_median(spark, rows):
         refdata.clean_reference(typed).drop("shipping_costs", "lead_time_days")
     )
     assert refdata.clean_reference(typed, rank_error=1e-6).filter("shipping_costs IS NULL").count() == 0
+
+
+# ---- key filters and group sizes
+
+
+def test_key_filters_pass_all_keys_and_few_others(spark):
+    keys = spark.range(20_000).select(F.lit("p").alias("table"), F.concat(F.lit("K"), (F.col("id") * 7).cast("string")).alias("value"))
+    others = spark.range(200_000).select(F.lit("p").alias("table"), F.concat(F.lit("X"), F.col("id").cast("string")).alias("value"))
+    for blocks in (keyfilter.blocks_for(20_000), 1):
+        found = keyfilter.key_filter(keys, ["table", "value"], blocks).cache()
+        assert keyfilter.possible(keys, ["table", "value"], found, blocks).count() == 20_000
+        strangers = keyfilter.possible(others, ["table", "value"], found, blocks).count()
+        assert strangers < 4_000 if blocks > 1 else strangers > 100_000
+    assert keyfilter.possible(others, ["table", "value"], keyfilter.key_filter(keys.limit(0), ["table", "value"], 1), 1).count() == 0
+    assert keyfilter.blocks_for(0) == 1 and keyfilter.blocks_for(10**9) == keyfilter.MAX_BLOCKS
+
+
+def test_fk_violations_of_large_parents(spark, rows):
+    tables = {
+        "parent": spark.range(50_000).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("parent_id")),
+        "child": spark.range(900).select(
+            F.when(F.col("id") % 9 > 0, F.concat(F.lit("P"), (F.col("id") * 60).cast("string"))).alias("parent_id"),
+            F.concat(F.lit("P"), (F.col("id") % 5).cast("string")).alias("other_id"),
+        ),
+    }
+    keys, references = {"parent": "parent_id"}, [("child", "parent_id", "parent"), ("child", "other_id", "parent")]
+    plain = quality.fk_violations(tables, references, keys)
+    filtered = quality.fk_violations(tables, references, keys, large_parents=True)
+    assert rows(filtered) == rows(plain)
+    assert {row.column_name: row.missing_values for row in plain.collect()} == {"parent_id": 59, "other_id": 0}
+    filtered.collect()
+    plan = filtered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("substring(bitmap") > plan.index("LeftOuter")  # the parents are filtered below the join
+    named = spark.range(900).select(F.lit("parent").alias("parent_table"), F.concat(F.lit("P"), (F.col("id") * 60).cast("string")).alias("value"))
+    parents = tables["parent"].select(F.lit("parent").alias("parent_table"), F.col("parent_id").alias("value"))
+    blocks = keyfilter.blocks_for(900)
+    left = keyfilter.possible(parents, ["parent_table", "value"], keyfilter.key_filter(named, ["parent_table", "value"], blocks), blocks)
+    assert left.count() < 2_500  # of 50,000
+
+
+def test_known_sizes_of_groups(spark, rows):
+    data = [("HOT" if i < 200 else f"S{i % 20}", i, at(i), f"E{i:04d}", C.STATUSES[i % 7]) for i in range(300)]
+    events = spark.createDataFrame(data, "shipment_id string, event_sequence int, event_timestamp timestamp, event_id string, event_status string")
+    expected = rows(flow.stage_transitions(events))
+    sizes = events.groupBy("shipment_id").agg((F.count("*") + 1).alias("event_count"))
+    cut = flow.stage_transitions(events, max_rows=40, sizes=sizes)
+    assert rows(cut) == expected and "_piece" in cut._jdf.queryExecution().optimizedPlan().toString()
+    whole = flow.stage_transitions(events, max_rows=40, largest=40)  # taken at its word
+    assert rows(whole) == expected and "_piece" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(flow.stage_transitions(events, max_rows=40, largest=200)) == expected
+
+
+def test_medians_rank_few_rows_in_a_task(spark):
+    values = spark.range(200_000).select((F.randn(3) * F.exp(F.randn(4))).alias("x"))
+    expected = values.select(F.median("x")).first()[0]
+    assert medians.medians(values, ["x"]).first().x == pytest.approx(expected, rel=1e-15)
+    counted = values.groupBy(F.lit("x").alias("name"), F.col("x").alias("value")).agg(F.count("*").alias("n"))
+    counted = counted.withColumns({"first_rank": F.lit(0).cast("long"), "low_rank": F.lit(99_999), "high_rank": F.lit(100_000)})
+    kept = medians._keep_middle(counted, "value", F.floor(F.col("value") * 100))
+    assert kept.select(F.avg("value")).first()[0] == pytest.approx(expected, rel=1e-15)
