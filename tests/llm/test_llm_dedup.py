@@ -290,12 +290,52 @@ def test_no_embeddings(spark):
     assert sorted(map(tuple, embeddings.embedding_dedup(only_bad).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_bounds_drop_no_pair():
+def _tile(rows, dims, heads, axes=None):
+    row = {"tile": 0, "size": dims, "low": [0.0], "high": [0.0], "vectors": rows.astype(np.float64).tobytes()}
+    numbers = np.arange(len(rows), dtype=np.int64).tobytes()
+    return embeddings.Tile(row | {"nodes": numbers, "times": numbers}, dims, np.eye(dims) if axes is None else axes, heads)
+
+
+@pytest.mark.parametrize("heads", [(16, 32), (8, 16, 32), (16,), ()])
+def test_bounds_drop_no_pair(heads):
     chance = np.random.default_rng(7)
     rows = chance.normal(size=(200, 40)) * np.linspace(2, 0.1, 40)
     rows = np.concatenate((rows, rows[:80] + chance.normal(size=(80, 40)) * 0.05))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    rest = [np.sqrt(np.square(rows[:, head:]).sum(axis=1)) for head in (8, 16, 32)]
-    i, j = embeddings.block_links(rows, rows, rest, rest, (8, 16, 32), 0.95)
+    tile, whole = _tile(rows, 40, heads), slice(0, 280)
+    i, j = embeddings.block_links(tile, whole, tile, whole, heads, 0.95)
     want = set(zip(*np.nonzero(rows @ rows.T >= 0.95)))
     assert want <= set(zip(i, j)) and len(want) > 280
+
+
+def test_links_at_the_threshold(spark, multiset):
+    rows, chance = [], np.random.default_rng(2)
+    for i in range(40):  # pairs whose cosine is a little above or below
+        base, other = chance.normal(size=(2, 48))
+        base /= np.linalg.norm(base)
+        other -= (other @ base) * base
+        other /= np.linalg.norm(other)
+        cosine = 0.95 + (-1) ** i * 10.0 ** -(i % 11 + 2)
+        rows += [(2 * i, base.tolist()), (2 * i + 1, (cosine * base + np.sqrt(1 - cosine**2) * other).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    found = {row.vec_id: row.n_links for row in embeddings.embedding_dedup(frame).collect()}
+    clear = [i for i in range(0, 80, 2) if abs(units[i] @ units[i + 1] - 0.95) > 1e-14]
+    assert len(clear) >= 36
+    assert all(found[i] == found[i + 1] == int(units[i] @ units[i + 1] >= 0.95) for i in clear)
+
+
+def test_a_cluster_with_half_of_all_vectors(spark, multiset):
+    chance = np.random.default_rng(8)
+    centre = chance.normal(size=24)
+    rows = [(i, (centre + chance.normal(size=24) * 0.1 if i % 2 else chance.normal(size=24)).astype(np.float32).tolist()) for i in range(400)]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, VEC_ID string").repartition(6)
+    found = embeddings.embedding_dedup(frame, tile_rows=7).collect()  # dozens of groups of small tiles
+    assert multiset(found) == multiset(_linked(rows, 0.95))
+    assert sum(row.n_links for row in found) > 10_000
+
+
+def test_order_keeps_close_vectors_together():
+    turned = np.array([[-0.9, 0.5, 0, 0], [-0.9, 0.51, 0, 0], [0.9, -0.5, 0, 0], [1.0, -1.0, 1.0, -1.0]])
+    codes = embeddings._code(turned)
+    assert abs(codes[0] - codes[1]) < abs(codes[0] - codes[2]) and codes.min() >= 0 and codes.max() < 1 << 40
