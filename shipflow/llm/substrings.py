@@ -193,13 +193,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     bases = rows.filter(F.size("hashes") > 0).join(keys, speaking(rows, keys))
     bases = bases.select("m", F.explode(F.arrays_zip("places", "hashes")).alias("a"))
     bases = bases.select("m", F.col("a.places").alias("start"), F.col("a.hashes").alias("hash"))
-    anchors = bases.join(_seen_twice(bases), "hash").groupBy("m").agg(F.collect_set("start").alias("places"))
+    # What is seen twice is stored before it is joined: then Spark can split a hash that has very many places.
+    anchors = bases.join(stored(_seen_twice(bases), "base-hashes"), "hash").groupBy("m").agg(F.collect_set("start").alias("places"))
     held = anchors.join(texts.select("m", *CONTENT, "of_doc"), "m")
     candidates = frame.join(held, speaking(frame, held)).select("m", held["k1"], held["k2"], "text", "places")
     candidates = stored(candidates, "candidates")
 
     halves = stored(candidates.select("m", "text", "places").mapInArrow(partial(_halves, window), "m long, start int, hash long"), "halves")
-    counted = _seen_twice(halves, (F.count("*") > HOT_WINDOWS).alias("hot"))
+    counted = stored(_seen_twice(halves, (F.count("*") > HOT_WINDOWS).alias("hot")), "half-hashes")
     starts = halves.join(counted, "hash").groupBy("m").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("start"))).alias("starts"),
         F.collect_set(F.when(F.col("hot"), F.col("start"))).alias("hot_starts"),
@@ -216,7 +217,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     place, group = F.xxhash64("m", "start"), Window.partitionBy("hash")
     rare = fulls(False).select("m", "start", (F.min(place).over(group) != F.max(place).over(group)).alias("twice"))
     hot = stored(fulls(True), "hot-windows")
-    hot = hot.join(_seen_twice(hot), "hash").select("m", "start")
+    hot = hot.join(stored(_seen_twice(hot), "hot-hashes"), "hash").select("m", "start")
     found = rare.filter("twice").select("m", "start").unionByName(hot).groupBy("m").agg(F.collect_set("start").alias("starts"))
     return rows, texts, candidates.join(found, "m")
 
