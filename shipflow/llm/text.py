@@ -5,6 +5,7 @@ A word is a longest run of characters other than the six ASCII white-space chara
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -134,21 +135,24 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return mixed((sums[length:] - sums[:-length]) * _power(INVERSE, len(hashes))[:count])
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows here are whole texts: hand them to Python some hundreds at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 256:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+BATCH_ROWS, BATCH_BYTES = 256, 4 * 1024 * 1024
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+}
 
 
-def needed(frame: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so others can have any name; an absent one is an error."""
-    missing = [name for name in names if name not in frame.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return frame.select(*[frame[name] for name in names])
+def small_batches(spark: SparkSession) -> None:
+    """Rows here are whole texts: hand them to Python some hundreds, or some megabytes, at a time."""
+    for name, most in BATCHES.items():
+        held = re.fullmatch(r"([0-9]+)b?", spark.conf.get(name))
+        if not held or not 0 < int(held[1]) <= most:
+            spark.conf.set(name, str(most))
 
 
-BATCH_ROWS, BATCH_BYTES = 256, 4 * 1024 * 1024
+def needed(frame: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, so others can have any name, also one that differs in case only; an absent one is an error."""
+    return columns_of(frame, *names)
 
 
 @contextmanager
@@ -157,14 +161,10 @@ def text_batches(spark: SparkSession) -> Iterator[None]:
 
     Only plans that run within the block are affected, so a job that reads texts has to be started there.
     """
-    bounds = {
-        "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
-    }
-    before = {name: spark.conf.get(name) for name in bounds}
+    before = {name: spark.conf.get(name) for name in BATCHES}
     try:
-        for name, value in bounds.items():
-            spark.conf.set(name, value)
+        for name, most in BATCHES.items():
+            spark.conf.set(name, str(most))
         yield
     finally:
         for name, value in before.items():

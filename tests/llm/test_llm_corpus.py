@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -17,6 +18,7 @@ import __spark_entry__ as entry_points
 import check
 import corpus_pipeline
 from shipflow.llm import mixing, packing, queries, warc
+from shipflow.llm import text as T
 from shipflow.llm.tokens import Tokens
 from shipflow.session import shared_path
 
@@ -245,3 +247,26 @@ def test_each_operator_has_a_query():
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES}
     assert numbers == set(range(1, 11))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry_points.queries())
+
+
+@has_tables
+def test_pipelines_at_the_same_time(spark):
+    """Each run deletes only what it has stored itself."""
+    results = {}
+
+    def work(name):
+        results[name] = corpus_pipeline.run(spark, SMALL).count()
+
+    threads = [threading.Thread(target=work, args=(i,)) for i in range(2)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert set(results) == {0, 1} and results[0] == results[1] > 0
+
+
+def test_columns_that_differ_in_case(spark):
+    frame = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, TEXT string, Doc_ID int")
+    assert T.needed(frame, "doc_id", "text").collect() == [(1, "a b")]
+    with pytest.raises(ValueError, match="missing columns: Text"):
+        T.needed(frame, "Text")
