@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +12,19 @@ from shipflow.llm import line_dedup, mixing, ngram_join, packing, quality
 from shipflow.llm.ship import ship
 from shipflow.session import discard, prepare, recorded, stored
 
-
-_spent: list[str] = []  # tables that the stages before have stored; their results are written when the next begins
+# Tables that the last stage of this thread has stored; its result is written when the next stage begins.
+_spent: ContextVar[tuple[str, ...]] = ContextVar("spent", default=())
 
 
 def _stage(function):
-    """A stage that begins by deleting what the one before it has stored, and notes what it stores itself."""
+    """A stage that begins by deleting what the one before it in the thread has stored, and notes what it stores itself."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(_spent)
+        discard(list(_spent.get()))
         with recorded() as paths:
             result = function(spark, docs, sf_dir)
-        _spent.extend(paths)
+        _spent.set(tuple(paths))
         return result
 
     return run_stage
@@ -83,9 +84,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is stored and read by the next.
 
-    The result is to be written or collected before stages run again: they delete what the last run has stored.
+    What a stage has stored is deleted once its result is, and that result once the next one is. Runs do not share
+    any of it, so several can go on at once. The tables of the last stage stay, as its result is not written here.
     """
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recorded() as used:
+            result = stage.__wrapped__(spark, docs, sf_dir)
+        with recorded() as kept:
+            docs = stored(result, name)
+        discard(used)
+        discard(before)
+        before = kept
+    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)

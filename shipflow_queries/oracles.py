@@ -736,4 +736,5 @@ def all_sql() -> dict[str, str]:
             ),
         ),
     }
+    sql["fk_violations_filtered"] = sql["fk_violations"]
     return sql

@@ -285,12 +285,22 @@ def _constrained(spark, sf_dir, events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-@query
-def fk_violations(spark, sf_dir):
-    # Shipments are child and parent here, so the columns of the two tables are stored once.
+def _referring(spark, sf_dir) -> dict[str, DataFrame]:
+    """Shipments are child and parent here, so the columns of the two tables are stored once."""
     columns = {"dispatch_id", "event_status", *S.EVENT_ORDER, *flow.SHIPMENT_ATTRIBUTES, *flow.DISPATCH_ATTRIBUTES}
     events = stored(tables.unique_events(spark, sf_dir).select(*sorted(columns)), "events")
-    return quality.fk_violations(_constrained(spark, sf_dir, events))
+    return _constrained(spark, sf_dir, events)
+
+
+@query
+def fk_violations(spark, sf_dir):
+    return quality.fk_violations(_referring(spark, sf_dir))
+
+
+@query
+def fk_violations_filtered(spark, sf_dir):
+    """The same with parents that no child names dropped before the join."""
+    return quality.fk_violations(_referring(spark, sf_dir), large_parents=True)
 
 
 def _layer(spark, sf_dir) -> DataFrame:
