@@ -305,13 +305,3 @@ def test_known_sizes_of_groups(spark, rows):
     whole = flow.stage_transitions(events, max_rows=40, largest=40)  # taken at its word
     assert rows(whole) == expected and "_piece" not in whole._jdf.queryExecution().optimizedPlan().toString()
     assert rows(flow.stage_transitions(events, max_rows=40, largest=200)) == expected
-
-
-def test_medians_rank_few_rows_in_a_task(spark):
-    values = spark.range(200_000).select((F.randn(3) * F.exp(F.randn(4))).alias("x"))
-    expected = values.select(F.median("x")).first()[0]
-    assert medians.medians(values, ["x"]).first().x == pytest.approx(expected, rel=1e-15)
-    counted = values.groupBy(F.lit("x").alias("name"), F.col("x").alias("value")).agg(F.count("*").alias("n"))
-    counted = counted.withColumns({"first_rank": F.lit(0).cast("long"), "low_rank": F.lit(99_999), "high_rank": F.lit(100_000)})
-    kept = medians._keep_middle(counted, "value", F.floor(F.col("value") * 100))
-    assert kept.select(F.avg("value")).first()[0] == pytest.approx(expected, rel=1e-15)
