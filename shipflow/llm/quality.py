@@ -28,7 +28,7 @@ KEPT_SHARE = 0.75
 # Share / P(chi2 with 7 degrees <= the 75 % point of chi2 with 5 degrees): makes the trimmed covariance unbiased.
 CONSISTENCY = 1.41
 CUTOFF = 41.0  # about the 1 - 1e-7 point of chi2 with 5 degrees
-STEPS = 4
+LEAST_FALL = 1e-3  # of the log determinant in a C-step; with less a group rests
 PRIOR_ROWS = 50  # how many rows' worth of the language's estimate a source's estimate includes
 BUCKETS_PER_E = 64  # distances are counted in buckets of 1 / 64 on the log scale
 
@@ -120,8 +120,8 @@ def _middle(counts: DataFrame, columns: list[str], value: str) -> DataFrame:
     return half.filter("2 * upto >= all").groupBy(*columns).agg(F.min(value).alias("middle"))
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and median deviations per group, as the first centre and (diagonal) spread."""
+def _medians(vectors: DataFrame) -> DataFrame:
+    """Medians and median deviations per group, as a first centre and (diagonal) spread."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.col(n) / 50).alias("cell")) for n in NAMES]))
     counts = stored(vectors.select(*GROUP, cells.alias("c")).groupBy(*GROUP, "c.name", "c.cell").agg(F.count("*").alias("rows")), "cells")
     key = [*GROUP, "name"]
@@ -164,42 +164,92 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("distance", square)
 
 
+SUMS = ["rows", *[f"t_{n}" for n in NAMES], *[f"t_{a}_{b}" for a, b in PAIRS]]
+KEY = [*GROUP, "start"]
+
+
+def _sums() -> list[Column]:
+    """Rows, sums and sums of products of the whole-numbered coordinates."""
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"t_{a}_{b}") for a, b in PAIRS]
+    return [F.count("*").alias("rows"), *[F.sum(n).alias(f"t_{n}") for n in NAMES], *products]
+
+
+def _moments(sums: DataFrame) -> DataFrame:
+    """Centre and covariance of each group and start; a source's are mixed with PRIOR_ROWS rows of its language's."""
+    language = sums.groupBy("lang", "start").agg(*[(F.sum(name) / F.sum("rows") * PRIOR_ROWS).alias(f"p_{name}") for name in SUMS])
+    mixed = _joined(sums, language, ["lang", "start"]).select(*KEY, *[(F.col(n) + F.col(f"p_{n}")).alias(n) for n in SUMS])
+    mean = {n: F.col(f"t_{n}") / F.col("rows") for n in NAMES}
+    return mixed.select(
+        *KEY,
+        *[(mean[n] / UNIT).alias(f"m_{n}") for n in NAMES],
+        *[((F.col(f"t_{a}_{b}") / F.col("rows") - mean[a] * mean[b]) / UNIT**2 * CONSISTENCY).alias(f"s_{a}_{b}") for a, b in PAIRS],
+    )
+
+
+def _directions(vectors: DataFrame, medians: DataFrame) -> DataFrame:
+    """The medians with the covariance of the directions in which rows lie from them, however far."""
+    away = _distance(_joined(vectors, medians))
+    unit = {n: F.when(F.col("distance") > 0, F.round(UNIT * F.col(f"z_{n}") / F.sqrt("distance"))).otherwise(0).cast("long") for n in NAMES}
+    sums = away.select(*GROUP, *[value.alias(n) for n, value in unit.items()]).groupBy(*GROUP).agg(*_sums())
+    size = lambda a, b: F.col(f"l_{a}_{a}") * F.col(f"l_{b}_{b}") * len(NAMES) / UNIT**2
+    spread = [(size(a, b) * F.col(f"t_{a}_{b}") / F.col("rows")).alias(f"s_{a}_{b}") for a, b in PAIRS]
+    return _joined(sums, medians).select(*GROUP, *[f"m_{n}" for n in NAMES], *spread)
+
+
+def starts(vectors: DataFrame) -> DataFrame:
+    """Three estimates of each group: medians, the moments of all its rows, and directions from the medians."""
+    medians = stored(_cholesky(_medians(vectors)), "estimate")
+    whole = _moments(vectors.groupBy(*GROUP).agg(*_sums()).withColumn("start", F.lit(1)))
+    columns = [*KEY, *[f"m_{n}" for n in NAMES], *[f"s_{a}_{b}" for a, b in PAIRS]]
+    first = medians.withColumn("start", F.lit(0)).select(*columns)
+    directions = _directions(vectors, medians).withColumn("start", F.lit(2)).select(*columns)
+    return stored(_cholesky(first.unionByName(whole.select(*columns)).unionByName(directions)), "starts")
+
+
 def _concentrate(vectors: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
-    """A C-step: centre and covariance of the share of rows nearest by the last estimate, per group.
+    """A C-step: centre and covariance of the share of rows nearest by the last estimate, per group and start.
 
-    Rows are counted and summed per bucket of distance in one pass; the nearest share is the buckets up to the one
-    that fills it. A source's moments are mixed with PRIOR_ROWS rows of its language's.
+    Rows are counted and summed per bucket of distance in one pass for all starts; the nearest share is the buckets up
+    to the one that fills it.
     """
     bucket = F.floor(F.log1p("distance") * BUCKETS_PER_E)
-    sums = [F.sum(n).alias(f"t_{n}") for n in NAMES] + [F.sum(F.col(a) * F.col(b)).alias(f"t_{a}_{b}") for a, b in PAIRS]
-    buckets = _distance(_joined(vectors, estimate)).groupBy(*GROUP, bucket.alias("bucket")).agg(F.count("*").alias("rows"), *sums)
-    below = Window.partitionBy(*GROUP).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*GROUP)
+    buckets = _distance(_joined(vectors, estimate)).groupBy(*KEY, bucket.alias("bucket")).agg(*_sums())
+    below = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*KEY)
     near = buckets.withColumn("below", F.coalesce(F.sum("rows").over(below), F.lit(0))).withColumn("all", F.sum("rows").over(whole))
-    names = ["rows", *[f"t_{n}" for n in NAMES], *[f"t_{a}_{b}" for a, b in PAIRS]]
     near = near.filter(F.col("below") < KEPT_SHARE * F.col("all"))
-    near = stored(near.groupBy(*GROUP).agg(*[F.sum(name).cast("double").alias(name) for name in names]), "moments", groups)
-    language = near.groupBy("lang").agg(*[(F.sum(name) / F.sum("rows") * PRIOR_ROWS).alias(f"p_{name}") for name in names])
-    mixed = _joined(near, language, ["lang"]).select(*GROUP, *[(F.col(n) + F.col(f"p_{n}")).alias(n) for n in names])
-    mean = {n: F.col(f"t_{n}") / F.col("rows") for n in NAMES}
-    moments = mixed.select(
-        *GROUP,
-        *[(mean[n] / UNIT).alias(f"m_{n}") for n in NAMES],
-        *[((F.col(f"t_{a}_{b}") / F.col("rows") - mean[a] * mean[b]) / UNIT**2 * CONSISTENCY).alias(f"s_{a}_{b}") for a, b in PAIRS],
-    )
-    return stored(_cholesky(moments), "estimate", groups)
+    near = stored(near.groupBy(*KEY).agg(*[F.sum(name).cast("double").alias(name) for name in SUMS]), "moments", groups)
+    return _cholesky(_moments(near))
+
+
+def _lower(after: DataFrame, before: DataFrame) -> DataFrame:
+    """The estimates after a step where they have the smaller determinant, else those before; fell says which."""
+    values = [name for name in before.columns if name not in (*KEY, "fell")]
+    kept = before.select(*KEY, F.struct(*values).alias("before"))
+    both = _joined(after.select(*KEY, F.struct(*values).alias("after")), kept, KEY)
+    both = both.withColumn("fell", F.col("after.log_determinant") < F.col("before.log_determinant") - LEAST_FALL)
+    return both.select(*KEY, F.when(F.col("fell"), F.col("after")).otherwise(F.col("before")).alias("kept"), "fell").select(*KEY, "kept.*", "fell")
 
 
-def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Robust centre, covariance factor and log determinant of each language and source."""
-    found = stored(_cholesky(_start(vectors)), "estimate")
+def estimates(vectors: DataFrame) -> DataFrame:
+    """Robust centre, covariance factor and log determinant of each language and source.
+
+    C-steps go on from each start until no determinant falls any more (each step that counts lowers one by LEAST_FALL,
+    and the noise bounds them from below, so it ends). Of a group's starts the one with the least determinant stays.
+    """
+    found = starts(vectors)
     groups = found.count()
-    for _ in range(steps):
-        found = _concentrate(vectors, found, groups)
-    return found
+    found = stored(_concentrate(vectors, found, groups), "estimate", groups)
+    while True:
+        found = stored(_lower(_concentrate(vectors, found.drop("fell"), groups), found), "estimate", groups)
+        if found.filter("fell").isEmpty():
+            break
+    values = [name for name in found.columns if name not in (*GROUP, "fell")]
+    least = F.min_by(F.struct(*values), F.struct(F.round("log_determinant", 9), "start")).alias("best")
+    return stored(found.groupBy(*GROUP).agg(least).select(*GROUP, "best.*"), "best", groups)
 
 
-def judge(counts: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+def judge(counts: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Stored statistics with base_failed, distance and kept.
 
     The vectors of rows that pass the base rules make the estimates; a row is kept if it passes them and lies within
@@ -209,7 +259,7 @@ def judge(counts: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> Data
     named = counts.withColumn("base_failed", base_failed())
     coordinates = {n: F.round(F.expr(value) * UNIT).cast("long") for n, (value, _) in COORDINATES.items()}
     passed = named.filter("NOT base_failed").withColumns(coordinates)
-    found = estimates(passed.select(*GROUP, *NAMES), steps)
+    found = estimates(passed.select(*GROUP, *NAMES))
     inner = [name for name in found.columns if name not in GROUP] + [f"z_{n}" for n in NAMES] + NAMES
     near = _distance(_joined(passed, found)).drop(*inner).withColumn("kept", F.col("distance") <= cutoff)
     failed = named.filter("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
