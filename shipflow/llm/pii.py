@@ -28,7 +28,8 @@ LOCAL_WORD = r"[A-Za-z0-9.%+]++(?:[_-](?!(?i:at|dot)[_-])[A-Za-z0-9.%+]++)*+"
 HOST_WORD = r"[A-Za-z0-9]++(?:[_-](?!(?i:dot)[_-])[A-Za-z0-9]++)*+"
 RUNS = {
     "digits": rf"(?<![A-Za-z0-9@+:._%/-])\+?\(?{DIGIT_GROUP}(?:(?:\)[\x20-]?|\x20\(?|\(){DIGIT_GROUP})++",
-    "spelled": rf"(?<![A-Za-z0-9._%+-]){LOCAL_WORD}(?:{DOT}{LOCAL_WORD}){{0,7}}+{AT}{HOST_WORD}(?:{DOT}{HOST_WORD})++",
+    # begins with the first of its words: from a later one the same search would end at the same place
+    "spelled": rf"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9.%+]{DOT}){LOCAL_WORD}(?:{DOT}{LOCAL_WORD})*+{AT}{HOST_WORD}(?:{DOT}{HOST_WORD})++",
 }
 SHAPES = {
     "email": r"@|(?i)[^a-z]at[^a-z].*[^a-z]dot[^a-z]",
@@ -37,8 +38,7 @@ SHAPES = {
     "phone": r"^\+?(?:[^0-9A-Za-z]*[0-9]){7,15}[^0-9A-Za-z]*$",
 }
 KINDS = list(FORMS)
-CONTEXT_CHARACTERS = 64
-ROUNDS = 3
+LEAST_RISE = 1e-6  # of a score; with less it rests
 LEAST_SUPPORT = 3.0  # identifiers of a kind that a pattern must be seen with
 PATTERN_CONFIDENCE = 0.6
 INSTANCE_CONFIDENCE = 0.8
@@ -46,7 +46,7 @@ INSTANCE_CONFIDENCE = 0.8
 
 def _near_words(gap: Column, before: bool) -> Column:
     """The two words next to a gap's end or start, lower case and without digits; '^' where the gap ends."""
-    part = F.right(gap, F.lit(CONTEXT_CHARACTERS)) if before else F.left(gap, F.lit(CONTEXT_CHARACTERS))
+    part = T.last_words(gap, 2) if before else T.first_words(gap, 1)
     words = F.regexp_extract_all(F.regexp_replace(F.lower(part), "[0-9]+", "#"), F.lit(T.WORD), F.lit(0))
     return F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words), -2, 2) if before else F.slice(F.concat(words, F.array(F.lit("^"))), 1, 1)
 
@@ -149,12 +149,13 @@ def mentions(scanned: DataFrame) -> DataFrame:
     return stored(marked, "mentions")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+def discover(found: DataFrame) -> DataFrame:
     """value, kind of candidates that confident patterns reach.
 
     Patterns and values are the two sides of a graph, each distinct edge counted once. In a round, a pattern's
     confidence for a kind is the score of the values it is seen with over their number; a candidate of fitting shape
-    gets the chance that one of its confident patterns is right; those that pass become seeds of the next round.
+    gets the chance that one of its confident patterns is right; those that pass become seeds of the next round. More
+    seeds only raise confidences and chances, so rounds go on until no value is new and no score rises.
     """
     value = F.lower("value").alias("value")
     edges = found.select(F.explode("patterns").alias("pattern"), value, "kind").distinct()
@@ -164,7 +165,7 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     candidates = stored(candidates, "candidates")
     seeds = edges.filter("kind <> ''").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
     reached = None
-    for _ in range(rounds):
+    while True:
         scored = seeds
         if reached is not None:
             scored = seeds.unionByName(candidates.join(reached, ["value", "kind"]).select("pattern", "value", "kind", "score"))
@@ -174,11 +175,15 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
         missed = F.round(F.sum(F.log(1 - F.col("confidence"))), 9)
         chances = candidates.join(confident, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(missed)).alias("score"))
         after = stored(chances.filter(F.col("score") >= INSTANCE_CONFIDENCE), "reached")
-        count = after.count()
-        if count == 0 or (reached is not None and count == reached.count()):
-            reached = after
-            break
+        before = reached
         reached = after
+        if before is None:
+            rests = after.isEmpty()
+        else:
+            old = before.withColumnRenamed("score", "old")
+            rests = after.join(old, ["value", "kind"], "left").filter(F.coalesce(F.col("score") - F.col("old"), F.lit(1.0)) > LEAST_RISE).isEmpty()
+        if rests:
+            break
     best = reached.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     return best
 
@@ -189,7 +194,7 @@ def _joined_spans(spans: Column) -> Column:
     return F.array_join(text, ",")
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found: one row per row of docs.
 
     Base spans are the valid matches of each form in the whole text, in code points, end exclusive; base_sha256 is the
@@ -199,7 +204,7 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     frame = T.needed(docs, "doc_id", "text")
     scanned = scan(frame)
     found = mentions(scanned)
-    reached = discover(found, rounds).withColumnsRenamed({"value": "_value", "kind": "_kind"})
+    reached = discover(found).withColumnsRenamed({"value": "_value", "kind": "_kind"})
     more = found.filter("kind = ''").join(reached, F.lower("value") == F.col("_value"))
     # of reached candidates inside one another the longest stays
     outer_end = F.max("end").over(Window.partitionBy("row").orderBy("begin", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))

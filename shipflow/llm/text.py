@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]++"
@@ -179,3 +179,16 @@ def columns_of(frame: DataFrame, *names: str) -> DataFrame:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     places = [fields.index(name) for name in names]
     return frame.toDF(*[f"_{i}" for i in range(len(fields))]).select(*[F.col(f"_{i}").alias(name) for i, name in zip(places, names)])
+
+
+BLANK, SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+
+def last_words(text: Column, most: int) -> Column:
+    """The end of a text from its last words on, whole words however long; empty if it has none."""
+    return F.regexp_extract(text, rf"(?<!{SOLID}){SOLID}++(?:{BLANK}++{SOLID}++){{0,{most - 1}}}+{BLANK}*+$", 0)
+
+
+def first_words(text: Column, most: int) -> Column:
+    """The beginning of a text up to its first words' end, whole words however long."""
+    return F.regexp_extract(text, rf"^{BLANK}*+(?:{SOLID}++{BLANK}*+){{0,{most}}}+", 0)

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shipflow.llm import pii, quality, secrets
 
@@ -102,6 +103,33 @@ def test_contexts_find_runs_of_words(spark):
     assert [(result[i].n_phone, result[i].n_email, result[i].n_found) for i in range(30)] == [(1, 1, 0)] * 30
 
 
+def test_discovery_goes_on_until_it_rests(spark):
+    """Each context shows some of the values of the next one; the last are five rounds away from the addresses."""
+    sizes, layers = [60, 36, 20, 11, 6, 3], []
+    for layer, size in enumerate(sizes):
+        layers.append([f"v{layer}x{i}@local" if layer else f"user{i}@host{i}.org" for i in range(size)])
+    names = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    texts = [f"see {names[k]}: {value} today" for k in range(5) for value in layers[k] + layers[k + 1]]
+    texts += [f"room v9x{i}@local elsewhere" for i in range(3)]
+    rows = list(enumerate(texts))
+    result = {row.doc_id: row.n_found for row in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [result[i] for i, text in rows] == [int("v" in text and "v9" not in text) for _, text in rows]
+
+
+def test_contexts_and_addresses_have_no_length(spark):
+    long = "w" * 300
+    texts = [f"call {long}mail user{i}@host{i}.org today" for i in range(8)] + [f"{long}call user{i}x at room{i}" for i in range(8)]
+    spelled = " dot ".join(f"p{i}" for i in range(12)) + " at host dot org"
+    hidden = [f"call {long}mail carol@local today", f"call {long}mail {spelled} today", f"call x{long}mail dora@local then"]
+    hidden += ["a1 dot " * 20_000 + "b", "z@ " + "q" * 30_000 + " " * 30_000 + "1"]
+    rows = list(enumerate(texts + hidden))
+    result = {row.doc_id: row for row in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, value in ((16, "carol@local"), (17, spelled)):
+        begin = rows[i][1].index(value)
+        assert result[i].spans == f"email:{begin}:{begin + len(value)}"
+    assert [result[i].n_found for i in (18, 19, 20)] == [0, 0, 0]
+
+
 def test_personal_data_of_nothing(no_documents):
     assert pii.personal_data(no_documents).count() == 0
 
@@ -280,6 +308,30 @@ def test_forest_keeps_short_values(spark):
     assert sorted(row.value for row in judged if row.is_secret) == ["AbCdEfGhIjKlMnOpQrSt", "S3cr3t!9", "hunter2"]
 
 
+FINDING_DOCS = "doc_id long, text string, source string"
+
+
+def test_verdicts_do_not_change_with_size(spark):
+    """A corpus and twenty copies of it have the same dictionary, and so the same verdict on each value."""
+    chance = np.random.default_rng(4)
+    docs = _with_secrets(spark, 0, 40).unionByName(
+        # pieces of keys that a few documents of many hold as words
+        spark.createDataFrame([(5000 + i, f"plain {'abc' if i == 0 else 'text'} {chance.integers(9)} words", "src2") for i in range(400)], FINDING_DOCS)
+    )
+    docs = docs.unionByName(spark.createDataFrame([(9000, "password=abc1abc2abc3abc4 and token: abcabcabcabc99 here", "src0")], FINDING_DOCS))
+    copies = docs.crossJoin(spark.range(20).select(F.col("id").alias("copy"))).withColumn("doc_id", F.col("doc_id") + 100_000 * F.col("copy")).drop("copy")
+    words = [{row.word for row in secrets.dictionary(frame).collect()} for frame in (docs, copies)]
+    assert words[0] == words[1] and "abc" not in words[0] and "plain" in words[0]
+    verdicts = [{(row.value, row.is_secret, round(row.score, 9)) for row in secrets.scan_secrets(frame).collect()} for frame in (docs, copies)]
+    assert verdicts[0] == verdicts[1]
+
+
+def test_names_have_no_length(spark):
+    name = "password_of_" + "the_very_long_name_" * 10
+    row = secrets.findings(spark.createDataFrame([(1, f"set {name}='hunter22ab' now", None)], "doc_id long, text string, source string")).first()
+    assert (row.value, row.left, row.f_assigned, row.label) == ("hunter22ab", f"set {name}='", 1.0, 1.0)
+
+
 def test_secret_spans_and_odd_tables(spark, documents, corpus, no_documents):
     docs = _with_secrets(spark, 0, 5)
     texts = defaultdict(list)
