@@ -14,7 +14,7 @@ from shipflow.session import stored
 # A candidate is a longest run of such characters, of 12 or more, with a digit; and any value of a secret-like name.
 CHARACTERS = "A-Za-z0-9+/_.@%-"
 CANDIDATE = rf"(?<![{CHARACTERS}])(?=[A-Za-z+/_.@%-]*+[0-9])[{CHARACTERS}]{{12,}}+"
-CONTEXT_CHARACTERS = 48
+WORDS_BEFORE, WORDS_AFTER = 4, 2  # of the text beside a candidate
 SECRET_NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)"
 ASSIGNED = rf"{SECRET_NAMES}[A-Za-z0-9_-]*[\x20\x09]*[=:][\x20\x09]*[\"']?$"
 # Values assigned to a name or following one, quoted or up to a blank. Each form is what leads to the value, and it.
@@ -31,7 +31,7 @@ KEY_FORMS = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs
 # What a candidate is instead of a secret: an address, a host or file name, a number.
 OTHER_FORMS = r"@[A-Za-z0-9-]+\.|^(?:[A-Za-z0-9-]+\.)+[a-z]{2,4}$|^[0-9.+%/-]+$|/.*\.[a-z]{2,4}$"
 TRAINING_ROWS = 20_000  # labelled findings the forest is fitted on, at most, drawn by hash
-DICTIONARY_DOCUMENTS = 10  # a run of letters is a word if so many documents have it
+DICTIONARY_SHARE = 0.002  # of all documents
 FEATURES = (
     "length digits upper lower other transitions distinct hexadecimal covered slashes dots at example"
     " assigned quoted left_word right_word document_path"
@@ -66,8 +66,8 @@ def _found(text: Column, form: int, pattern: str, leading: str | None = None) ->
             F.length(whole).alias("whole"),
             F.length(lead).alias("lead"),
             value.alias("value"),
-            F.right(F.concat(F.get(p["gaps"], i), lead), F.lit(CONTEXT_CHARACTERS)).alias("left"),
-            F.left(F.concat(tail, F.get(p["gaps"], i + 1)), F.lit(CONTEXT_CHARACTERS)).alias("right"),
+            T.last_words(F.concat(F.get(p["gaps"], i), lead), WORDS_BEFORE).alias("left"),
+            T.first_words(F.concat(tail, F.get(p["gaps"], i + 1)), WORDS_AFTER).alias("right"),
         )
 
     return F.transform(F.array(pair), lambda p: F.transform(p["wholes"], lambda whole, i: cell(p, whole, i)))[0]
@@ -76,8 +76,8 @@ def _found(text: Column, form: int, pattern: str, leading: str | None = None) ->
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, source, begin, end, value, left, right: every candidate of each whole text, each span once.
 
-    left and right are the text next to it, up to the candidates of its form beside it and 48 characters at most. The
-    value of a name may hold candidates that are runs; it does not replace them.
+    left and right are the words next to it, four before and two after at most, whole, and none of the candidates of its
+    form beside it. The value of a name may hold candidates that are runs; it does not replace them.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     runs, named = _found(text, 0, CANDIDATE), text.rlike(SECRET_NAMES)
@@ -92,11 +92,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     return placed.withColumn("copy", copy).filter("copy = 1").select("doc_id", "source", "begin", "end", "value", "left", "right")
 
 
-def dictionary(docs: DataFrame, least_documents: int = DICTIONARY_DOCUMENTS) -> DataFrame:
-    """Words of three letters or more, lower case, that so many documents have."""
+def dictionary(docs: DataFrame, least_share: float = DICTIONARY_SHARE) -> DataFrame:
+    """Words of three letters or more, lower case, that more than this share of all documents and two different texts have.
+
+    A share, so that a corpus and many times the same corpus have one dictionary.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"), F.lit(0)))
-    each = docs.select(F.explode(words).alias("word"))
-    return each.groupBy("word").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least_documents).select("word")
+    each = docs.select(F.xxhash64("text").alias("text"), F.explode(words).alias("word"))
+    counted = each.groupBy("word").agg(F.count("*").alias("documents"), (F.min("text") < F.max("text")).alias("several"))
+    return counted.filter(F.col("several") & (F.col("documents") > least_share * docs.count())).select("word")
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
