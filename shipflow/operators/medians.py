@@ -8,7 +8,10 @@ values in ever finer buckets and follow the buckets that hold the middle ranks:
 3. the values themselves within the steps kept, of which a step can hold at most 2**24.
 
 Every bucket function is monotone, so ranks carry over exactly. The counts are combined on the map
-side, so a value held by most rows is one row per task.
+side, so a value held by most rows is one row per task. Buckets are ranked in two steps, parts of consecutive
+buckets and then the buckets of the parts kept (octaves and their 256 parts, 1,024 ranges of 1,024 steps, 4,096 parts of
+a step with at most some 4,096 doubles each), so no window sees more than about 8,000 rows and no row holds more
+than about 4,096 cells.
 """
 
 import math
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 STEPS_PER_OCTAVE = 256
 OCTAVES = 1100  # more than the exponents of a double reach
 STEPS = 1 << 20
+RANGE_STEPS = 1 << 10  # steps that are ranked together
+STEP_PARTS = 1 << 12  # of a step, whose values are ranked together
+RANKS = ["low_rank", "high_rank"]
 
 
 def _magnitude_bucket(value: Column) -> Column:
@@ -29,17 +35,28 @@ def _magnitude_bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(0)
 
 
-def _keep_middle(counts: DataFrame, bucket: str) -> DataFrame:
-    """Buckets per column that hold a middle rank.
+def _holding_middle(rows: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
+    """Rows of each group that hold a middle rank, with first_rank, the rank of their first value.
 
-    ``counts`` has name, first_rank (rank of the first value that was counted), low_rank and
-    high_rank (the ranks looked for, from 0), the bucket and its n rows.
+    Rows have n values each, in the order of place; start is the rank at which their group begins, low_rank and
+    high_rank are the ranks looked for, from 0.
     """
-    running = Window.partitionBy("name").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("first_rank", F.col("first_rank") + F.coalesce(F.sum("n").over(running), F.lit(0)))
-    return ranked.filter(
-        (F.col("first_rank") <= F.col("high_rank")) & (F.col("first_rank") + F.col("n") > F.col("low_rank"))
-    )
+    running = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("first_rank", F.col("start") + F.coalesce(F.sum("n").over(running), F.lit(0)))
+    return ranked.filter((F.col("first_rank") <= F.col("high_rank")) & (F.col("first_rank") + F.col("n") > F.col("low_rank")))
+
+
+def _parts(counts: DataFrame, keys: Sequence[str], part: Column, cell: Sequence[str]) -> DataFrame:
+    """Consecutive buckets put together: a row per part with its n values, and its buckets as an array of cells."""
+    cells = F.array_sort(F.collect_list(F.struct(*cell, "n"))).alias("cells")
+    return counts.groupBy(*keys, part.alias("part")).agg(cells, F.sum("n").alias("n"))
+
+
+def _keep_middle(parts: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """Buckets that hold a middle rank: first the parts that do, then the buckets in these."""
+    kept = _holding_middle(parts, keys, "part")
+    buckets = kept.select(*keys, "part", *RANKS, F.col("first_rank").alias("start"), F.inline("cells"))
+    return _holding_middle(buckets, [*keys, "part"], bucket).drop("part", "start")
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -55,40 +72,38 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .withColumn("bucket", _magnitude_bucket(F.col("value")))
     )
 
-    whole = F.sum("n").over(Window.partitionBy("name"))
     coarse = values.groupBy("name", "bucket").agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    coarse = coarse.withColumns(
+    octave = F.floor(F.col("bucket") / STEPS_PER_OCTAVE)
+    whole = F.sum("n").over(Window.partitionBy("name"))
+    octaves = _parts(coarse, ["name"], octave, ["bucket", "low", "high"]).withColumns(
         {
-            "first_rank": F.lit(0).cast("long"),
+            "start": F.lit(0).cast("long"),
             "low_rank": F.floor((whole - 1) / 2).cast("long"),
             "high_rank": F.floor(whole / 2).cast("long"),
         }
     )
-    ranks = ["low_rank", "high_rank"]
-    kept = _keep_middle(coarse, "bucket")
+    kept = _keep_middle(octaves, ["name"], "bucket").withColumnRenamed("first_rank", "start").drop("n")
 
     # Two columns of at most two rows each: the joins below are with a handful of rows.
-    span = F.col("high") - F.col("low")
-    step = F.floor((F.col("value") - F.col("low")) / F.nullif(span, F.lit(0.0)) * STEPS)
-    stepped = values.join(
-        F.broadcast(kept.select("name", "bucket", "low", "high", "first_rank", *ranks)), ["name", "bucket"]
-    ).withColumn("step", F.struct("bucket", F.coalesce(step, F.lit(0)).alias("at")))
-
-    def first_of_bucket(counts: DataFrame, finer: str) -> DataFrame:
-        # The first kept bucket carries the rank at which counting starts, for all finer buckets.
-        start = F.min("first_rank").over(Window.partitionBy("name"))
-        return _keep_middle(counts.withColumn("first_rank", start), finer)
-
-    fine = stepped.groupBy("name", "step", "first_rank", *ranks).agg(F.count("*").alias("n"))
-    kept_steps = first_of_bucket(fine, "step").select("name", "step", F.col("first_rank").alias("step_rank"))
+    span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    place = F.coalesce(F.floor((F.col("value") - F.col("low")) / span * (STEPS * STEP_PARTS)), F.lit(0))
+    stepped = values.join(F.broadcast(kept), ["name", "bucket"]).withColumn("place", place)
+    stepped = stepped.withColumn("step", F.floor(F.col("place") / STEP_PARTS))
+
+    keys = ["name", "bucket"]
+    fine = stepped.groupBy(*keys, "step", "start", *RANKS).agg(F.count("*").alias("n"))
+    ranges = _parts(fine, [*keys, "start", *RANKS], F.floor(F.col("step") / RANGE_STEPS), ["step"])
+    steps = _keep_middle(ranges, keys, "step").select(*keys, "step", F.col("first_rank").alias("step_rank"))
     exact = (
-        stepped.join(F.broadcast(kept_steps), ["name", "step"])
-        .groupBy("name", "value", F.col("step_rank").alias("first_rank"), *ranks)
+        stepped.join(F.broadcast(steps), [*keys, "step"])
+        .groupBy(*keys, "step", "place", "value", F.col("step_rank").alias("start"), *RANKS)
         .agg(F.count("*").alias("n"))
     )
-    middle = first_of_bucket(exact, "value").groupBy("name").agg(
+    keys = [*keys, "step"]
+    places = _parts(exact, [*keys, "start", *RANKS], F.col("place"), ["value"])
+    middle = _keep_middle(places, keys, "value").groupBy("name").agg(
         ((F.min("value") + F.max("value")) / 2).alias("median")
     )
     return middle.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])

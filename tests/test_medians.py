@@ -6,6 +6,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from shipflow.operators import medians as M
 from shipflow.operators.medians import medians
 
 
@@ -50,6 +53,27 @@ def test_close_values_of_both_signs(spark):
     assert median_of(spark, values) == statistics.median(values)
 
 
+def test_neighbouring_doubles_of_a_step(spark):
+    values = [1.0 + i * 2.0**-52 for i in range(20_000)] + [1.0 + 2.0**-9]
+    assert median_of(spark, values) == statistics.median(values)
+
+
+def test_no_window_sees_all_buckets(spark, monkeypatch):
+    """Values over all magnitudes, and many in one bucket: the rows that meet in a window stay few."""
+    draw = random.Random(11)
+    values = [math.ldexp(draw.uniform(1, 2), draw.randint(-1000, 1000)) for _ in range(20_000)]
+    values += [draw.uniform(1, 1.002) for _ in range(40_001)]
+    seen, plain = [], M._holding_middle
+
+    def watched(rows, keys, place):
+        seen.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return plain(rows, keys, place)
+
+    monkeypatch.setattr(M, "_holding_middle", watched)
+    assert median_of(spark, values) == statistics.median(values)
+    assert len(seen) == 6 and max(seen) <= 8192
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64), min_size=1, max_size=30))
 def test_any_list(spark, values):
