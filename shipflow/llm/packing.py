@@ -12,6 +12,7 @@ import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shipflow.llm import text as T
 from shipflow.llm.tokens import Tokens
@@ -136,7 +137,7 @@ def pack(
     same mix of lengths whatever the input, and copies spread like other rows. An empty table gives no rows.
     """
     groups = max(1, -(-stored_pieces.count() // group_pieces))
-    schema = stored_pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*stored_pieces.schema]).add("sequence_id", "long").add("offset", "long")
 
     def packed(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="packing_group").sort_values("piece_row", ignore_index=True)

@@ -188,6 +188,25 @@ def discover(found: DataFrame) -> DataFrame:
     return best
 
 
+def held_out_recall(docs: DataFrame, one_in: int = 10) -> DataFrame:
+    """kind, withheld, reached, wrong: how many identifiers contexts find that are not told to be any.
+
+    Of the distinct base values of each kind one in so many, drawn by hash, are made candidates in all places; reached
+    counts those that patterns of the other seeds give back with their kind, wrong those with another one. A kind of
+    which nothing is drawn has no row. Nulls, empty texts and repeated rows count as in personal_data.
+    """
+    found = mentions(scan(T.needed(docs, "doc_id", "text")))
+    drawn = F.col("kind").isin(*KINDS) & (F.pmod(F.xxhash64(F.lower("value")), F.lit(one_in)) == 0)
+    hidden = found.withColumn("kind", F.when(drawn, "").otherwise(F.col("kind")))
+    reached = discover(hidden).withColumnsRenamed({"value": "_value", "kind": "_kind"})
+    withheld = found.filter(drawn).select("kind", F.lower("value").alias("value")).distinct()
+    return withheld.join(reached, F.col("value") == F.col("_value"), "left").groupBy("kind").agg(
+        F.count("*").alias("withheld"),
+        F.count_if(F.col("_kind") == F.col("kind")).alias("reached"),
+        F.count_if(F.col("_kind") != F.col("kind")).alias("wrong"),
+    )
+
+
 def _joined_spans(spans: Column) -> Column:
     """kind:begin:end by begin, then kind in the order of KINDS, joined by commas."""
     text = F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string")))

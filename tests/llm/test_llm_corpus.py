@@ -87,6 +87,18 @@ def test_whole_sequences(documents):
         assert len(row.ids) == row.n_tokens == sum(row.lengths)
 
 
+def test_one_table_of_pieces_packed_under_several_capacities(documents):
+    cut = packing.pieces(documents, packing.tokenizer_path())
+    cut.write.mode("overwrite").parquet(path := shared_path(documents.sparkSession, "pieces"))
+    stored = documents.sparkSession.read.parquet(path)
+    columns, n = stored.columns, stored.count()
+    for most in (2, 3):
+        packed = packing.pack(stored, packing.CAPACITIES | {"documents": most})
+        sizes = [row["count"] for row in packed.groupBy("sequence_id").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= most
+    assert stored.columns == columns == [field.name for field in stored.schema]
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_every_capacity_holds(score):
     lengths = np.random.default_rng(1).integers(1, 900, 500)

@@ -87,6 +87,18 @@ def test_contexts_find_more(spark):
     assert result[3].n_found == 0
 
 
+def test_held_out_recall(spark, no_documents):
+    """Addresses after a telling word come back when withheld; numbers after words that tell nothing do not."""
+    texts = [f"please write to mailbox: user{i}@host{i}.org today" for i in range(60)]
+    texts += [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} +1386555{i:04d} rest" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(900, None), (901, "")], "doc_id long, text string")
+    result = {row.kind: row for row in pii.held_out_recall(docs, 4).collect()}
+    assert set(result) == {"email", "phone"}
+    assert result["email"].withheld > 5 and result["email"].reached == result["email"].withheld
+    assert result["phone"].withheld > 5 and result["phone"].reached == result["phone"].wrong == 0
+    assert pii.held_out_recall(no_documents).count() == 0
+
+
 def test_contexts_find_runs_of_words(spark):
     texts = [f"please call +1 (386) 555-37{i:02d} now or write to mailbox: user{i}@host{i}.org today" for i in range(30)]
     hidden = ["555 123 4567", "(555) 123-4567", "030 12345678", "(0)30 1234 5678", "5551234567"]
@@ -282,6 +294,18 @@ def test_forest_on_held_out_findings(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def test_forest_on_a_form_it_was_not_taught(spark):
+    """Keys of an issuer by a name, judged by a forest that saw hexadecimal values only."""
+    rows = [(i, f"set api_key=AKIA{hashlib.md5(str(i).encode()).hexdigest()[:16].upper()} there", "src0") for i in range(20)]
+    rows += [(100 + i, f"see page{i}.example.com, 4{i:015d} there", "src0") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taught = secrets.findings(_with_secrets(spark, 0, 60)).filter("value NOT LIKE 'AKIA%'")
+    judged = secrets.judge(secrets.findings(docs), secrets.train(taught)).collect()
+    keys = [row for row in judged if row.value.startswith("AKIA")]
+    assert len(keys) == 20 and sum(row.is_secret for row in keys) >= 18
+    assert not any(row.is_secret for row in judged if row.doc_id >= 100)
+
+
 def test_values_of_names_are_candidates(spark):
     texts = {
         "user password=hunter2, pwd: S3cr3t!9 or token=AbCdEfGhIjKlMnOpQrSt.": ["hunter2", "S3cr3t!9", "AbCdEfGhIjKlMnOpQrSt"],
