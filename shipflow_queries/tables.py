@@ -16,6 +16,7 @@ from shipflow.sources import topic
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 TOPIC = "delivery_events"
+RECORDS_PER_TASK = 400_000  # some 400 MB of JSON text, which writers by date sort
 
 # Cargo types, licence types, vehicle types with capacity.
 CARGO_TYPES = ("일반화물", "신선식품", "냉장식품", "전자제품", "의류", "생활용품", "산업자재")
@@ -90,15 +91,22 @@ EVENT_COLUMNS = f"""
 """
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order."""
-    orders = table(spark, sf_dir, "orders")
-    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+def _lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Lines with their order; ``dealt`` to all cores, and to tasks of a bounded number of rows.
+
+    They are dealt before the join, by its key: events are several times as wide, and records wider still.
+    """
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    if dealt:
+        rows = lines.count()  # from the footers of the files
+        tasks = max(spark.sparkContext.defaultParallelism, -(-rows // RECORDS_PER_TASK))
+        lines = lines.repartition(tasks, "l_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def event_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_copies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """All events with every copy: 31 payload columns, arrival order and the number of the fault rule."""
-    numbered = _lines(spark, sf_dir).selectExpr(
+    numbered = _lines(spark, sf_dir, dealt).selectExpr(
         "*",
         "CAST(l_orderkey % 12 + 1 AS INT) AS oh",
         "CAST(o_custkey % 12 + 1 AS INT) AS dh",
@@ -125,8 +133,9 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     By l_partkey % 97: 0 text that is not JSON, 1 no event_id, 2 unreadable event_timestamp,
     3 text as event_sequence, 4 no event_status.
     """
-    # The tables are few row groups, which would leave the encoding, and the files of a stream, to as few tasks.
-    copies = event_copies(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).selectExpr(
+    # Dealt, as the tables are few row groups, which would leave the encoding, and the files of a stream, to as few tasks.
+    # In order of arrival, as in a topic. Joined and encoded in one go, they would be a method too large for HotSpot to compile.
+    copies = event_copies(spark, sf_dir, dealt=True).sortWithinPartitions("kafka_timestamp").selectExpr(
         "* EXCEPT (event_id, event_status)",
         "IF(fault <> 1, event_id, NULL) AS event_id",
         "IF(fault <> 4, event_status, NULL) AS event_status",
