@@ -35,7 +35,7 @@ def write_checked(raw: DataFrame, path: str) -> tuple[int, int]:
     checked = cleanse.checked_records(raw).observe(
         seen, F.count("*").alias("raw"), F.count_if("is_rejected").alias("rejected")
     )
-    checked.write.mode("overwrite").partitionBy("is_rejected").parquet(path)
+    checked.write.mode("overwrite").option("compression", layers.COMPRESSION).partitionBy("is_rejected").parquet(path)
     counts = seen.get
     return counts["raw"], counts["rejected"]
 

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shipflow import schemas as S
+from shipflow.session import configured
 from shipflow.sources import layers
 from shipflow.sources.files import Folder, plain_path
 
 TARGET_BYTES = 256 * 1024 * 1024
 COMPLETE = "_SUCCESS"
+GROUPS_AT_ONCE = 100  # files that one job writes
 
 
 class CompactedRaw:
@@ -51,12 +53,12 @@ class CompactedRaw:
         return found
 
     def _read(self, files: dict[str, str]) -> DataFrame:
-        """Raw rows of some files, and the file each comes from."""
+        """Raw rows of some files."""
         by_base = defaultdict(list)
         for file, base in files.items():
             by_base[base].append(file)
         parts = [self.spark.read.schema(S.RAW).option("basePath", base).parquet(*some) for base, some in by_base.items()]
-        return reduce(DataFrame.unionByName, [part.select("*", F.col("_metadata.file_path").alias("_file")) for part in parts])
+        return reduce(DataFrame.unionByName, parts)
 
     def read(self) -> DataFrame:
         """The raw layer as it is now, from as few files as there are."""
@@ -95,17 +97,21 @@ class CompactedRaw:
         if not groups:
             return 0
         run = max(self._runs(), default=-1) + 1
-        number = {file: i for i, group in enumerate(groups) for file in group}
-        places = self.spark.createDataFrame(list(number.items()), "path string, _group int")
-        rows = self._read({file: files[file] for file in number})
-        n_before = rows.count()  # from the footers of the files
-        stated = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
-        path = F.regexp_replace(stated, "^file:/+", "file:/")  # as plain_path has it
-        dealt = rows.join(F.broadcast(places), path == F.col("path")).repartitionById(len(groups), F.col("_group"))
-        written = Observation("compacted")
-        dealt = dealt.select(*S.RAW_COLUMNS).observe(written, F.count("*").alias("n"))
-        dealt.write.mode("overwrite").partitionBy("event_date").parquet(self._data(run))
-        if written.get["n"] != n_before:
-            raise ValueError(f"{written.get['n']} of {n_before} records were written; the files stay as they are")
-        places.select(F.col("path").alias("file")).write.mode("overwrite").parquet(f"{self.folder.path}/replaced/run={run}")
-        return len(number)
+        replaced = [file for group in groups for file in group]
+        n_before, n_written = self._read({file: files[file] for file in replaced}).count(), 0  # from the footers of the files
+        for first in range(0, len(groups), GROUPS_AT_ONCE):
+            some = groups[first : first + GROUPS_AT_ONCE]
+            # a task per group reads its files in turn: no row is shuffled, and with a writer kept open none is sorted
+            parts = [self._read({file: files[file] for file in group}).select(*S.RAW_COLUMNS).coalesce(1) for group in some]
+            written = Observation("compacted")
+            rows = reduce(DataFrame.unionByName, parts).observe(written, F.count("*").alias("n"))
+            one_writer = configured(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "2")
+            task_each = configured(self.spark, "spark.sql.unionOutputPartitioning", "false")  # a union of single partitions is one otherwise
+            with one_writer, task_each:
+                layers.write_raw(rows, self._data(run), "append" if first else "overwrite")
+            n_written += written.get["n"]
+        if n_written != n_before:
+            raise ValueError(f"{n_written} of {n_before} records were written; the files stay as they are")
+        notes = self.spark.createDataFrame([(file,) for file in replaced], "file string")
+        notes.write.mode("overwrite").parquet(f"{self.folder.path}/replaced/run={run}")
+        return len(replaced)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from shipflow.sources.files import Folder
+from shipflow.sources.layers import COMPRESSION
 
 GENERATION = "generation"
 BASE = "base"
@@ -41,7 +42,7 @@ class StateLog:
         if number < last:
             raise ValueError(f"generation {number} comes before {last}, which is there already")
         columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in self.schema]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.folder.path}/{GENERATION}={number}")
+        rows.select(*columns).write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{self.folder.path}/{GENERATION}={number}")
 
     def _read(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.folder.path}/{name}" for name in names])
@@ -73,7 +74,7 @@ class StateLog:
         """
         base, later = self.generations()
         if later:
-            merge(self.read()).select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
+            merge(self.read()).select(*self.schema.fieldNames()).write.mode("overwrite").option("compression", COMPRESSION).parquet(
                 f"{self.folder.path}/{BASE}={later[-1]}"
             )
 

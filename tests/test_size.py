@@ -1,5 +1,7 @@
 """What grows with the tables: widths of shuffles, files of the layers, columns that are stored."""
 
+from shipflow.sources import compaction, layers
+from shipflow.streaming import ingest
 from shipflow_queries import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -16,3 +18,23 @@ def test_records_are_dealt_while_they_are_narrow(spark, monkeypatch):
     many = tables.envelope(spark, SMALL)
     assert many.rdd.getNumPartitions() >= 12 > few.rdd.getNumPartitions()
     assert sorted(many.collect()) == sorted(few.collect())
+
+
+def test_a_compaction_shuffles_and_sorts_no_row_and_has_a_task_per_group(spark, tmp_path, monkeypatch):
+    raw = ingest.to_raw(tables.envelope(spark, SMALL))
+    path, seen = str(tmp_path / "raw"), []
+    for _ in range(2):
+        raw.limit(400).write.mode("append").partitionBy("event_date").parquet(path)
+    write = layers.write_raw
+
+    def watched(rows, *args):
+        seen.append((plan(rows), rows.rdd.getNumPartitions()))
+        write(rows, *args)
+
+    monkeypatch.setattr(layers, "write_raw", watched, raising=False)
+    compacted = compaction.CompactedRaw(spark, path, str(tmp_path / "compacted"))
+    n_groups = len(compacted.groups(compacted.files(), compaction.TARGET_BYTES))
+    assert n_groups > 4 and compacted.compact() > n_groups
+    assert [tasks for _, tasks in seen] == [n_groups]
+    assert all("Exchange" not in text and "Sort" not in text for text, _ in seen)
+    assert compacted.read().count() == 800 and len(compacted.files()) == n_groups
