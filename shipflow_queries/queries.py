@@ -288,8 +288,7 @@ def _constrained(spark, sf_dir, events: DataFrame) -> dict[str, DataFrame]:
 
 def _referring(spark, sf_dir) -> dict[str, DataFrame]:
     """Shipments are child and parent here, so the columns of the two tables are stored once."""
-    columns = {"dispatch_id", "event_status", *S.EVENT_ORDER, *flow.SHIPMENT_ATTRIBUTES, *flow.DISPATCH_ATTRIBUTES}
-    events = stored(tables.unique_events(spark, sf_dir).select(*sorted(columns)), "events")
+    events = stored(tables.unique_events(spark, sf_dir).select(*sorted(FLOW_COLUMNS)), "events")
     return _constrained(spark, sf_dir, events)
 
 
@@ -304,14 +303,19 @@ def fk_violations_filtered(spark, sf_dir):
     return quality.fk_violations(_referring(spark, sf_dir), large_parents=True)
 
 
-def _layer(spark, sf_dir) -> DataFrame:
-    """The processed events as a stored layer, which is where these queries start on a cluster."""
-    return stored(tables.processed(spark, sf_dir), "layer")
+# What shipments and dispatches are made from, and what metrics need besides.
+FLOW_COLUMNS = {"dispatch_id", "event_status", *S.EVENT_ORDER, *flow.SHIPMENT_ATTRIBUTES, *flow.DISPATCH_ATTRIBUTES}
+METRIC_COLUMNS = {*metrics.FIRST_ATTRIBUTES, *metrics.AVERAGED, "exception_type", "risk_classification"}
+
+
+def _layer(spark, sf_dir, *columns: str) -> DataFrame:
+    """The processed events as a stored layer, which is where these queries start; of its columns those that they read."""
+    return stored(tables.processed(spark, sf_dir).select(*sorted(columns)), "layer", compression=layers.COMPRESSION)
 
 
 @query
 def pk_violations(spark, sf_dir):
-    events = _layer(spark, sf_dir)
+    events = _layer(spark, sf_dir, *(FLOW_COLUMNS | METRIC_COLUMNS))
     checked = _constrained(spark, sf_dir, events) | {
         "shipment_metrics": metrics.shipment_metrics(events),
         "event": tables.event_copies(spark, sf_dir),
@@ -321,12 +325,12 @@ def pk_violations(spark, sf_dir):
 
 @query
 def not_null_violations(spark, sf_dir):
-    return quality.not_null_violations(_constrained(spark, sf_dir, _layer(spark, sf_dir)))
+    return quality.not_null_violations(_constrained(spark, sf_dir, _layer(spark, sf_dir, *FLOW_COLUMNS)))
 
 
 @query
 def shipment_dispatch(spark, sf_dir):
-    events = _layer(spark, sf_dir)
+    events = _layer(spark, sf_dir, *FLOW_COLUMNS)
     return flow.shipment_dispatch(flow.shipment_table(events, dims.hubs(spark)), flow.dispatch_table(events))
 
 
@@ -426,7 +430,7 @@ def risk_banding(spark, sf_dir):
 
 @query
 def sla_check(spark, sf_dir):
-    events = _layer(spark, sf_dir)
+    events = _layer(spark, sf_dir, *(FLOW_COLUMNS | METRIC_COLUMNS))
     return lanes.sla_check(flow.shipment_table(events, dims.hubs(spark)), metrics.shipment_metrics(events))
 
 

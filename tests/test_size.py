@@ -2,7 +2,7 @@
 
 from shipflow.sources import compaction, layers
 from shipflow.streaming import ingest
-from shipflow_queries import tables
+from shipflow_queries import queries, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,3 +38,16 @@ def test_a_compaction_shuffles_and_sorts_no_row_and_has_a_task_per_group(spark,
     assert [tasks for _, tasks in seen] == [n_groups]
     assert all("Exchange" not in text and "Sort" not in text for text, _ in seen)
     assert compacted.read().count() == 800 and len(compacted.files()) == n_groups
+
+
+def test_only_columns_that_are_read_are_stored(spark, monkeypatch):
+    kept = []
+    write = queries.stored
+
+    def watched(df, name, **options):
+        kept.append(set(df.columns))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(queries, "stored", watched)
+    assert queries.QUERIES["shipment_dispatch"](spark, SMALL).count() > 0
+    assert "shipment_id" in kept[0] and not kept[0] & {"is_created", "event_hour", "weather_severity"}
