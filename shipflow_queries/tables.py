@@ -104,9 +104,8 @@ def _lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def event_copies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """All events with every copy: 31 payload columns, arrival order and the number of the fault rule."""
-    numbered = _lines(spark, sf_dir, dealt).selectExpr(
+def _numbered(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
         "*",
         "CAST(l_orderkey % 12 + 1 AS INT) AS oh",
         "CAST(o_custkey % 12 + 1 AS INT) AS dh",
@@ -114,12 +113,23 @@ def event_copies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataF
         f"{EPOCH} + (l_orderkey % 720) * 3600 AS start",
         f"{EPOCH} + (l_orderkey % 720) * 3600 + (l_linenumber * 600 + l_partkey % 900) * 60 AS event_second",
     )
-    return numbered.selectExpr(*EVENT_COLUMNS.split(";"))
+
+
+def event_copies(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """All events with every copy: 31 payload columns, arrival order and the number of the fault rule."""
+    return _numbered(_lines(spark, sf_dir, dealt)).selectExpr(*EVENT_COLUMNS.split(";"))
 
 
 def unique_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """31 payload columns, first arrival of each event."""
-    return cleanse.first_arrivals(event_copies(spark, sf_dir)).select(*S.PAYLOAD_COLUMNS)
+    """31 payload columns, first arrival of each event.
+
+    Lines are a third as wide as events, so copies meet as lines with the event's id and arrival.
+    """
+    lines = _lines(spark, sf_dir)
+    needed = [column for column in EVENT_COLUMNS.split(";") if column.split()[-1] in ("event_id", *S.ARRIVAL_ORDER)]
+    arrived = _numbered(lines).selectExpr(*lines.columns, *needed)
+    first = cleanse.first_arrivals(arrived).select(*lines.columns)
+    return _numbered(first).selectExpr(*EVENT_COLUMNS.split(";")).select(*S.PAYLOAD_COLUMNS)
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,11 @@ def test_only_columns_that_are_read_are_stored(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored", watched)
     assert queries.QUERIES["shipment_dispatch"](spark, SMALL).count() > 0
     assert "shipment_id" in kept[0] and not kept[0] & {"is_created", "event_hour", "weather_severity"}
+
+
+def test_copies_of_an_event_meet_as_lines(spark):
+    text = plan(tables.unique_events(spark, SMALL))
+    assert "concat(DSP_" in text.split("Window [")[0] and "concat(DSP_" not in text.split("Window [", 1)[1]
+    assert sorted(tables.unique_events(spark, SMALL).collect(), key=repr) == sorted(
+        queries.cleanse.first_arrivals(tables.event_copies(spark, SMALL)).select(*queries.S.PAYLOAD_COLUMNS).collect(), key=repr
+    )
