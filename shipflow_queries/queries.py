@@ -182,7 +182,8 @@ def shipment_metrics(spark, sf_dir):
 @query
 def shipment_metrics_incremental(spark, sf_dir):
     """Three slices of days, each added to the states of those before; the last metrics of each shipment."""
-    events, path = stored(tables.processed(spark, sf_dir), "events"), shared_path(spark, "incremental")
+    columns = METRIC_COLUMNS | {"event_date", "shipment_id", "event_status", *S.EVENT_ORDER}
+    events, path = _layer(spark, sf_dir, *columns), shared_path(spark, "incremental")
     for number, (first, last) in enumerate(SLICES):
         incremental.add_events(events.filter(F.col("event_date").between(first, last)), path, number)
     return _compared(incremental.current_metrics(spark, path))

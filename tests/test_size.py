@@ -59,3 +59,16 @@ def test_copies_of_an_event_meet_as_lines(spark):
     assert sorted(tables.unique_events(spark, SMALL).collect(), key=repr) == sorted(
         queries.cleanse.first_arrivals(tables.event_copies(spark, SMALL)).select(*queries.S.PAYLOAD_COLUMNS).collect(), key=repr
     )
+
+
+def test_slices_store_only_columns_that_metrics_read(spark, monkeypatch):
+    kept = []
+    write = queries.stored
+
+    def watched(df, name, **options):
+        kept.append(set(df.columns))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(queries, "stored", watched)
+    assert queries.QUERIES["shipment_metrics_incremental"](spark, SMALL).count() > 0
+    assert "shipment_id" in kept[0] and not kept[0] & {"is_created", "event_hour", "cargo_type", "latitude"}
