@@ -72,3 +72,15 @@ def test_slices_store_only_columns_that_metrics_read(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored", watched)
     assert queries.QUERIES["shipment_metrics_incremental"](spark, SMALL).count() > 0
     assert "shipment_id" in kept[0] and not kept[0] & {"is_created", "event_hour", "cargo_type", "latitude"}
+
+
+def test_processed_events_moves_an_event_once_from_bounded_tasks(spark, monkeypatch):
+    """Lines are dealt before they are events; events only meet after each task has dropped its own later copies."""
+    text = plan(queries.QUERIES["processed_events"](spark, SMALL))
+    assert "RoundRobin" not in text
+    flags, events, lines = text.split("Exchange hashpartitioning(")
+    assert "WindowGroupLimit" in events and "from_json" in events
+    assert "from_json" not in flags + lines and "concat(SHP_" in events and "concat(SHP_" not in flags + lines
+    monkeypatch.setattr(tables, "RECORDS_PER_TASK", 500, raising=False)
+    usable = queries.cleanse.valid_events(ingest.to_raw(tables.envelope(spark, SMALL)))
+    assert usable.rdd.getNumPartitions() >= 12  # that sort events on the way to the shuffle
