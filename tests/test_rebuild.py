@@ -69,3 +69,32 @@ def test_tasks_hold_one_date_and_few_rows():
         (("a", "b"), 0, None), (("c",), 0, 10), (("c",), 10, 20), (("c",), 20, 30), (("d",), 0, None),
     ]
     assert first_task == {"a": 0, "b": 0, "c": 1, "d": 4}
+
+
+def test_layers_are_listed_once_for_all_tasks(spark, tmp_path, rows, monkeypatch):
+    """Not by a reader per task, and names of any kind are found."""
+    raw_path, path = str(tmp_path / "it's a layer %20"), str(tmp_path / "processed")
+    raw_frame(spark, *records(60)).write.partitionBy("event_date").parquet(raw_path)
+    raw = layers.read_raw(spark, raw_path)
+    expected = rows(cleanse.processed_events(raw).drop("processed_at"))
+    reader, readers = type(spark).read.fget, []
+    monkeypatch.setattr(type(spark), "read", property(lambda self: readers.append(1) or reader(self)))
+    rebuild.rebuild(spark, raw, raw_path, path, rows_per_task=10)
+    assert len(readers) == 1
+    got = layers.read_processed(spark, path)
+    assert rows(got.select(*cleanse.processed_events(raw).columns).drop("processed_at")) == expected
+
+
+def test_single_partitions_are_joined_as_they_are_in_a_large_layer(spark, tmp_path, monkeypatch):
+    raw_path, path, seen = str(tmp_path / "raw"), str(tmp_path / "processed"), []
+    raw_frame(spark, *records(60)).write.partitionBy("event_date").parquet(raw_path)
+    write = layers.write_sorted
+    monkeypatch.setattr(layers, "write_sorted", lambda events, *args: seen.append(plan(events)) or write(events, *args))
+    before = spark.conf.get("spark.sql.maxSinglePartitionBytes")
+    spark.conf.set("spark.sql.maxSinglePartitionBytes", "1")  # any layer is large
+    try:
+        batch.build_processed(spark, raw_path, path)
+        assert spark.conf.get("spark.sql.maxSinglePartitionBytes") == "1"
+    finally:
+        spark.conf.set("spark.sql.maxSinglePartitionBytes", before)
+    assert seen and all("Join" in text and "Exchange" not in text for text in seen)

@@ -1,5 +1,9 @@
 """What grows with the tables: widths of shuffles, files of the layers, columns that are stored."""
 
+import datetime as dt
+
+from helpers import at, payload, raw_frame
+from shipflow.plans import batch
 from shipflow.sources import compaction, layers
 from shipflow.streaming import ingest
 from shipflow_queries import queries, tables
@@ -84,3 +88,39 @@ def test_processed_events_moves_an_event_once_from_bounded_tasks(spark, monkeypa
     monkeypatch.setattr(tables, "RECORDS_PER_TASK", 500, raising=False)
     usable = queries.cleanse.valid_events(ingest.to_raw(tables.envelope(spark, SMALL)))
     assert usable.rdd.getNumPartitions() >= 12  # that sort events on the way to the shuffle
+
+
+def test_a_bounded_run_decodes_and_shuffles_records_of_its_events_only(spark, tmp_path, monkeypatch):
+    raw, processed, plans, seen = str(tmp_path / "raw"), str(tmp_path / "processed"), {}, []
+    of_day = [payload(event_id=f"e{i}", event_timestamp=at(i * 12).isoformat()) for i in range(1200)]
+    raw_frame(spark, *of_day).write.partitionBy("event_date").parquet(raw)
+    batch.build_processed(spark, raw, processed)
+    store, compare = batch.stored, batch.changed_dates
+
+    def watched(df, name, **options):
+        plans[name] = plan(df)
+        return store(df, name, **options)
+
+    def compared(before, after):
+        seen.append((before.columns, before.count()))
+        return compare(before, after)
+
+    monkeypatch.setattr(batch, "stored", watched)
+    monkeypatch.setattr(batch, "changed_dates", compared)
+    day = dt.date(2024, 3, 2)
+    assert batch.rebuild_dates(spark, raw, processed, first_date=day, last_date=day) == []
+    assert seen == [(["event_id", "event_date", "a", "b"], 120)]
+    text = plans["decided"]  # records of other events go before they are decoded, and what is joined is decoded
+    assert text.index("LeftSemi") < text.index("from_json") < text.index("bitmap")
+
+
+def test_records_are_written_by_few_tasks_whatever_the_shuffles_have(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = tables.envelope(spark, SMALL)
+        assert records.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
