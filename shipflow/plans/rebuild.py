@@ -100,14 +100,6 @@ def _first_copies(records: DataFrame, later: DataFrame, n: int, task: Task, has_
     return rows.select(*S.RAW_COLUMNS)
 
 
-def _one_after_another(parts: list[DataFrame]) -> DataFrame:
-    """All parts in order, united by halves: each union is analysed again with all that is below it."""
-    if len(parts) == 1:
-        return parts[0]
-    half = len(parts) // 2
-    return _one_after_another(parts[:half]).unionByName(_one_after_another(parts[half:]))
-
-
 def rebuild(spark: SparkSession, raw: DataFrame, raw_path: str, processed_path: str, rows_per_task: int | None = None) -> None:
     """Replace the processed layer by the first usable copy of each event of ``raw``, the layer read from ``raw_path``."""
     rows_per_task = rows_per_task or ROWS_PER_TASK
@@ -129,7 +121,7 @@ def rebuild(spark: SparkSession, raw: DataFrame, raw_path: str, processed_path:
                 _first_copies(records, later, n, task, f"task={n}" in with_later)
                 for n, task in enumerate(tasks[first : first + TASKS_AT_ONCE], first)
             ]
-            events = cleanse.valid_events(_one_after_another(parts)).drop(*S.ARRIVAL_ORDER)
+            events = cleanse.valid_events(layers.united(parts)).drop(*S.ARRIVAL_ORDER)
             events = cleanse.flag_events(events).withColumn("processed_at", processed_at)
             # A task per part; single partitions are joined as they are, though the scan counts as large as all of the layer.
             with configured(spark, "spark.sql.unionOutputPartitioning", "false"), configured(spark, SINGLE, str(2**63 - 1)):

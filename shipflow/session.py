@@ -33,6 +33,11 @@ def configured(spark: SparkSession, setting: str, value: str) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+def bytes_setting(spark: SparkSession, setting: str) -> int:
+    """A size of the session's settings, such as 64MB, in bytes."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+
+
 @contextmanager
 def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
     """Within the block, enough shuffle partitions for an input of that size; never fewer than the session has.

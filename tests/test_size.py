@@ -1,6 +1,7 @@
 """What grows with the tables: widths of shuffles, files of the layers, columns that are stored."""
 
 import datetime as dt
+from pathlib import Path
 
 from helpers import at, payload, raw_frame
 from shipflow.plans import batch
@@ -124,3 +125,28 @@ def test_records_are_written_by_few_tasks_whatever_the_shuffles_have(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_events_are_laid_out_by_date_without_a_shuffle(spark, tmp_path, monkeypatch, rows):
+    path, seen, paths = str(tmp_path / "processed"), [], []
+    of_days = [payload(event_id=f"e{i}", event_timestamp=at(i * 480).isoformat()) for i in range(9)]
+    events = queries.cleanse.flag_events(queries.cleanse.valid_events(raw_frame(spark, *of_days)).drop(*queries.S.ARRIVAL_ORDER))
+    events = events.selectExpr("*", "timestamp'2024-01-01' AS processed_at").repartition(3)
+    events = events.unionByName(events.limit(1).selectExpr("* EXCEPT (event_date)", "CAST(NULL AS DATE) AS event_date"))
+    write, new_path = layers.write_sorted, layers.shared_path if hasattr(layers, "shared_path") else None
+
+    def watched(arranged, *args):
+        seen.append((plan(arranged), arranged.rdd.getNumPartitions()))
+        write(arranged, *args)
+
+    def noted(*args, **more):
+        paths.append(new_path(*args, **more))
+        return paths[-1]
+
+    monkeypatch.setattr(layers, "write_sorted", watched)
+    monkeypatch.setattr(layers, "shared_path", noted, raising=False)
+    layers.write_processed(events, path)
+    assert all("Exchange" not in text for text, _ in seen) and len(seen) == 1
+    layer = layers.read_processed(spark, path)
+    assert rows(layer.select(*events.columns)) == rows(events) and len(layer.inputFiles()) == 5  # four days and none
+    assert len(paths) == 1 and not Path(paths[0].removeprefix("file:")).exists()  # what was stored on the way is gone
