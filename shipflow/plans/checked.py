@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shipflow import schemas as S
 from shipflow.operators import cleanse
+from shipflow.plans import rebuild
 from shipflow.sources import layers
 
-CHECKED = """is_rejected boolean, reject_reason string, record struct<{record}>, event struct<{event}>"""
+CHECKED = """is_rejected boolean, reject_reason string, record struct<{record}>, event struct<{event}>, event_date date"""
 
 
 @dataclass(frozen=True)
@@ -29,13 +30,14 @@ class Balance:
 def write_checked(raw: DataFrame, path: str) -> tuple[int, int]:
     """Judge all records in one pass and write both sides below ``path``; the number of records, and of rejected ones.
 
-    The counts are observed while the rows are written, so the input is not read again for them.
+    Events are written by date, as the layer made from them will be; rejected records have none there. The counts are observed while the rows are written, so the input is not read again for them.
     """
     seen = Observation("checked")
     checked = cleanse.checked_records(raw).observe(
         seen, F.count("*").alias("raw"), F.count_if("is_rejected").alias("rejected")
     )
-    checked.write.mode("overwrite").option("compression", layers.COMPRESSION).partitionBy("is_rejected").parquet(path)
+    dated = checked.withColumn("event_date", F.to_date("event.event_timestamp"))
+    dated.write.mode("overwrite").option("compression", layers.COMPRESSION).partitionBy("is_rejected", "event_date").parquet(path)
     counts = seen.get
     return counts["raw"], counts["rejected"]
 
@@ -60,12 +62,15 @@ def usable_events(spark: SparkSession, path: str) -> DataFrame:
 def build_checked(spark: SparkSession, raw: DataFrame, checked_path: str, processed_path: str) -> Balance:
     """The processed layer, as the batch builds it, from records whose rejects stay below ``checked_path``.
 
-    Payloads are read once. What is kept is counted while it is written; copies of an event are what is left.
+    Payloads are read once, and no event is shuffled. What is kept is counted where it is written; copies of an event are
+    what is left.
     """
     n_raw, n_rejected = write_checked(raw, checked_path)
-    unique = cleanse.first_arrivals(usable_events(spark, checked_path)).drop(*S.ARRIVAL_ORDER)
-    kept = Observation("kept")
-    events = cleanse.flag_events(unique).withColumn("processed_at", F.current_timestamp())
-    layers.write_processed(events.observe(kept, F.count("*").alias("n")), processed_path)
-    n_kept = kept.get["n"]
+    records = rebuild.located(_side(spark, checked_path, False))
+    usable = records.select("event.event_id", *[f"event.{name}" for name in S.ARRIVAL_ORDER], "file", "row")
+    events_of = lambda rows: rows.select("event.*").drop(*S.ARRIVAL_ORDER)
+    if not rebuild.write_first_copies(records, usable, events_of, processed_path):
+        nothing = cleanse.decided_events(usable_events(spark, checked_path))
+        layers.write_processed(nothing, processed_path)
+    n_kept = layers.read_processed(spark, processed_path).count()  # from the footers of the files
     return Balance(n_raw, n_rejected, n_raw - n_rejected - n_kept, n_kept)

@@ -5,7 +5,7 @@ task then reads files of one date, leaves those rows out and writes the date's e
 out lies in a folder of its own, so the two are joined where they are read.
 """
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,12 +67,16 @@ def _task(rows_per_task: int) -> Column:
     return (F.col("first_task") + F.floor(F.col("row") / rows_per_task)).cast("int").alias("task")
 
 
-def write_later_copies(raw: DataFrame, first_task: dict[str, int], rows_per_task: int, path: str) -> None:
+def usable_records(records: DataFrame) -> DataFrame:
+    """Event and arrival of the raw records that are usable, with their places."""
+    return cleanse.valid_events(records, keep=[*S.ARRIVAL_ORDER, "file", "row"], fields=cleanse.REQUIRED)
+
+
+def write_later_copies(usable: DataFrame, first_task: dict[str, int], rows_per_task: int, path: str) -> None:
     """Places of usable records whose event a usable record before them has, in a folder per task."""
-    spark = raw.sparkSession
+    spark = usable.sparkSession
     numbered = [(file, number, task) for number, (file, task) in enumerate(first_task.items())]
     files = F.broadcast(spark.createDataFrame(numbered, "file string, number int, first_task int"))
-    usable = cleanse.valid_events(located(raw), keep=[*S.ARRIVAL_ORDER, "file", "row"], fields=cleanse.REQUIRED)
     placed = usable.join(files, "file").select("event_id", *S.ARRIVAL_ORDER, "number", "row")
     later = cleanse.later_arrivals(placed, order=[*S.ARRIVAL_ORDER, "number", "row"])
     dealt = later.join(files, "number").select("number", "row", _task(rows_per_task)).repartition("task")
@@ -97,32 +101,41 @@ def _first_copies(records: DataFrame, later: DataFrame, n: int, task: Task, has_
         places = later.filter(f"task = {n}").selectExpr("file", "row", "true AS _later").coalesce(1)
         # Both are one partition, so there is no shuffle. Spark would move an anti join to before the rows are one.
         rows = rows.join(places.hint("shuffle_hash"), ["file", "row"], "left").filter("_later IS NULL")
-    return rows.select(*S.RAW_COLUMNS)
+    return rows.drop("file", "row", "_later")
 
 
 def rebuild(spark: SparkSession, raw: DataFrame, raw_path: str, processed_path: str, rows_per_task: int | None = None) -> None:
     """Replace the processed layer by the first usable copy of each event of ``raw``, the layer read from ``raw_path``."""
-    rows_per_task = rows_per_task or ROWS_PER_TASK
     dated = located(raw.filter(F.col("event_date").isNotNull()))
-    sizes = dated.groupBy("file").agg(F.min("event_date").alias("date"), (F.max("row") + 1).alias("n"))
+    decoded = lambda records: cleanse.valid_events(records.select(*S.RAW_COLUMNS)).drop(*S.ARRIVAL_ORDER)
+    if not write_first_copies(dated, usable_records(dated), decoded, processed_path, rows_per_task):
+        layers.write_processed(cleanse.processed_events(raw), processed_path)
+
+
+def write_first_copies(
+    records: DataFrame, usable: DataFrame, events_of: Callable[[DataFrame], DataFrame], processed_path: str, rows_per_task: int | None = None
+) -> bool:
+    """Replace the processed layer by what ``events_of`` makes of ``records``, rows of files with their place, without
+    later copies of an event; whether there are records. ``usable``: event, arrival and place of those that count."""
+    spark, rows_per_task = records.sparkSession, rows_per_task or ROWS_PER_TASK
+    sizes = records.groupBy("file").agg(F.min("event_date").alias("date"), (F.max("row") + 1).alias("n"))
     counts = sizes.select("date", "file", "n").collect()  # names and sizes of files; rows stay where they are
     tasks, first_task = tasks_of(counts, rows_per_task)
     if not tasks:
-        layers.write_processed(cleanse.processed_events(raw), processed_path)
-        return
+        return False
     processed_at = F.timestamp_micros(F.lit(spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]))
     with own_tables():
         later_path = shared_path(spark, "later", recorded=True)
-        write_later_copies(raw, first_task, rows_per_task, later_path)
+        write_later_copies(usable, first_task, rows_per_task, later_path)
         with_later = set(Folder(spark, later_path).names())
-        records, later = located(raw), spark.read.schema(LATER).parquet(later_path)
+        later = spark.read.schema(LATER).parquet(later_path)
         for first in range(0, len(tasks), TASKS_AT_ONCE):
             parts = [
                 _first_copies(records, later, n, task, f"task={n}" in with_later)
                 for n, task in enumerate(tasks[first : first + TASKS_AT_ONCE], first)
             ]
-            events = cleanse.valid_events(layers.united(parts)).drop(*S.ARRIVAL_ORDER)
-            events = cleanse.flag_events(events).withColumn("processed_at", processed_at)
+            events = cleanse.flag_events(events_of(layers.united(parts))).withColumn("processed_at", processed_at)
             # A task per part; single partitions are joined as they are, though the scan counts as large as all of the layer.
             with configured(spark, "spark.sql.unionOutputPartitioning", "false"), configured(spark, SINGLE, str(2**63 - 1)):
                 layers.write_sorted(events, processed_path, "append" if first else "overwrite")
+    return True

@@ -158,7 +158,7 @@ def rejected_records(spark, sf_dir):
 
 @query
 def record_balance(spark, sf_dir):
-    """Where the records went, by the counts observed while they were written."""
+    """Where the records went, by the counts observed while they were written, and of the layer."""
     _, balance = _checked(spark, sf_dir)
     balance.check()
     counts = {"raw": balance.raw, "rejected": balance.rejected, "duplicates": balance.duplicates, "kept": balance.kept}

@@ -4,7 +4,7 @@ import datetime as dt
 from pathlib import Path
 
 from helpers import at, payload, raw_frame
-from shipflow.plans import batch
+from shipflow.plans import batch, checked
 from shipflow.sources import compaction, layers
 from shipflow.streaming import ingest
 from shipflow_queries import queries, tables
@@ -150,3 +150,20 @@ def test_events_are_laid_out_by_date_without_a_shuffle(spark, tmp_path, monkeypa
     layer = layers.read_processed(spark, path)
     assert rows(layer.select(*events.columns)) == rows(events) and len(layer.inputFiles()) == 5  # four days and none
     assert len(paths) == 1 and not Path(paths[0].removeprefix("file:")).exists()  # what was stored on the way is gone
+
+
+def test_a_checked_build_shuffles_no_event(spark, tmp_path, monkeypatch, rows):
+    processed, seen, raw = str(tmp_path / "processed"), [], ingest.to_raw(tables.envelope(spark, SMALL)).limit(900).localCheckpoint()
+    write = layers.write_sorted
+
+    def watched(events, *args):
+        seen.append(plan(events))
+        write(events, *args)
+
+    monkeypatch.setattr(layers, "write_sorted", watched)
+    balance = checked.build_checked(spark, raw, str(tmp_path / "checked"), processed)
+    assert seen and all("Exchange" not in text for text in seen)
+    balance.check()
+    expected = queries.cleanse.processed_events(raw).drop("processed_at")
+    assert rows(layers.read_processed(spark, processed).select(*expected.columns)) == rows(expected)
+    assert balance.kept == expected.count() and balance.duplicates > 0 and balance.rejected > 0
